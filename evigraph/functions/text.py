@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from evigraph.functions.numeric import hash60
+
 # Fixed values that results depend on.
 STOP_WORDS = ["and", "or", "of", "the", "a", "an", "in", "on", "at", "to", "for", "with"]
 
@@ -109,7 +111,7 @@ def _map_phrases(c: Column) -> Column:
 def slug_id(c: Column, prefix: str = "symptom") -> Column:
     """Readable identifier ``prefix::a_b``; text without letters or digits gets a stable hash."""
     slug = F.regexp_replace(F.regexp_replace(F.lower(c), "[^a-z0-9]+", "_"), "^_+|_+$", "")
-    fallback = F.concat(F.lit(f"{prefix}_"), F.abs(F.xxhash64(c)).cast("string"))
+    fallback = F.concat(F.lit(f"{prefix}_"), hash60(c).cast("string"))
     return F.concat(F.lit(f"{prefix}::"), F.when(slug == "", fallback).otherwise(slug))
 
 

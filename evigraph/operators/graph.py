@@ -194,9 +194,9 @@ def related_with_additional(
         .join(features.select(F.col("id").alias("feature_id"), "name", "display_name"), "feature_id")
         .join(asked, ["query_id", "name"], "left_anti")
         .select("query_id", "entity_id", F.col("display_name").alias("additional_feature"),
-                F.round("weight", 4).alias("additional_weight"))
+                F.col("weight").alias("additional_weight"))
     )
-    return ranked.withColumn("total_score", F.round("total_score", 4)).join(others, ["query_id", "entity_id"], "left")
+    return ranked.join(others, ["query_id", "entity_id"], "left")
 
 
 def suggestions_json(related: DataFrame) -> DataFrame:

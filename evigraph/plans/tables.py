@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evigraph.session import tune
@@ -28,3 +28,13 @@ def customer_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select(
         F.col("c_custkey").alias("entity_id"), F.lower("c_name").alias("entity")
     )
+
+
+def rnd(c, places: int = 6) -> Column:
+    """Rounded value for comparison; the tiny shift settles exact halves the same way everywhere."""
+    c = F.col(c) if isinstance(c, str) else c
+    return F.round(c + F.lit(1e-10), places)
+
+
+def rounded(df: DataFrame, *cols: str, places: int = 6) -> DataFrame:
+    return df.withColumns({c: rnd(c, places) for c in cols})
