@@ -6,7 +6,7 @@ from collections.abc import Iterator
 from difflib import SequenceMatcher
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -18,6 +18,10 @@ def sequence_ratio(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.
         yield pd.Series([SequenceMatcher(None, a, b).ratio() for a, b in zip(left, right)], dtype="float64")
 
 
+# keeps the optimizer from pushing a filter on the ratio below a distinct and computing it twice
+sequence_ratio = sequence_ratio.asNondeterministic()
+
+
 def length_ratio(a: Column, b: Column) -> Column:
     return F.coalesce(
         F.try_divide(F.least(F.length(a), F.length(b)), F.greatest(F.length(a), F.length(b))), F.lit(0.0)
@@ -34,10 +38,15 @@ def string_features(mention: Column, candidate: Column) -> Column:
     )
 
 
-def char_tokens(c: Column) -> Column:
-    """Characters of a string made distinct by their running number: 'aba' -> a1, b1, a2.
+def char_tokens(df: DataFrame, col: str) -> DataFrame:
+    """Rows ``col, token``: the characters of each text, told apart by a running number ('aba': a1, b1, a2).
 
-    The size of the intersection of two token sets is the multiset overlap of the characters.
+    The tokens two texts share number as many as their characters do, repeats included.
     """
-    chars = F.array_sort(F.filter(F.split(c, ""), lambda x: x != ""))
-    return F.transform(chars, lambda x, i: F.concat(x, (i - F.array_position(chars, x) + 2).cast("string")))
+    counted = (
+        df.select(col, F.explode(F.split(col, "")).alias("_c")).where(F.col("_c") != "")
+        .groupBy(col, "_c").agg(F.count(F.lit(1)).cast("int").alias("_n"))
+    )
+    return counted.select(col, "_c", F.explode(F.sequence(F.lit(1), "_n")).alias("_i")).select(
+        col, F.concat("_c", F.col("_i").cast("string")).alias("token")
+    )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evigraph.functions import similarity, text as tx
@@ -146,38 +146,28 @@ def _annotation(name: str, display: str) -> Column:
     )
 
 
-TOKEN = r"(?U)\w+|[^\w\s]"
+TOKEN_EDGES = r"(?U)(?<=\w)(?=\W)|(?<=\W)(?=\w)|(?<=[^\w\s])(?=[^\w\s])|(?<=\s)(?=\S)|(?<=\S)(?=\s)"
 
 
-def tokens_with_offsets(text: Column) -> Column:
-    """Words and punctuation marks with zero-based start and exclusive end.
+def tokens_with_offsets(texts: DataFrame) -> DataFrame:
+    """Words and punctuation marks of ``id, text`` rows with zero-based start and exclusive end.
 
-    The text is cut at every token edge, so the running length of the pieces gives the offsets in
-    one linear fold.
+    Texts are cut at every token edge; the running length of the pieces of one text is the offset.
     """
-    pieces = F.split(text, r"(?U)(?<=\w)(?=[^\w])|(?<=[^\w])(?=\w)|(?<=[^\w\s])(?=[^\w\s])|(?<=\s)(?=\S)|(?<=\S)(?=\s)")
-    empty = F.struct(
-        F.lit(0).alias("at"), F.array().cast("array<struct<token:string,start:int,end:int>>").alias("out")
+    pieces = texts.select("id", F.posexplode(F.split("text", TOKEN_EDGES)).alias("_pos", "token"))
+    run = Window.partitionBy("id").orderBy("_pos")
+    placed = pieces.withColumn("end", F.sum(F.char_length("token")).over(run).cast("int"))
+    kept = placed.where(F.col("token").rlike(r"(?U)\S"))
+    return kept.select(
+        "id", (F.row_number().over(run) - 1).alias("token_index"), "token",
+        (F.col("end") - F.char_length("token")).alias("start"), "end",
     )
-    folded = F.aggregate(
-        pieces,
-        empty,
-        lambda s, p: F.struct(
-            (s["at"] + F.char_length(p)).cast("int").alias("at"),
-            F.array_append(
-                s["out"],
-                F.struct(p.alias("token"), s["at"].alias("start"), (s["at"] + F.char_length(p)).cast("int").alias("end")),
-            ).alias("out"),
-        ),
-        lambda s: s["out"],
-    )
-    return F.filter(folded, lambda t: F.trim(F.regexp_replace(t["token"], r"(?U)\s", "")) != "")
 
 
 def bio_labels(annotated: DataFrame) -> DataFrame:
     """Token rows with B-/I-/O labels; a later annotation overwrites an earlier one.
 
-    A text's tokens and spans meet inside its own row: no join and no shuffle.
+    Tokens and spans meet by an equi-join on the text; the interval test runs on its span array.
     """
 
     def spans(c: str, kind: str) -> Column:
@@ -190,19 +180,14 @@ def bio_labels(annotated: DataFrame) -> DataFrame:
             ),
         )
 
-    rows = annotated.select(
-        "id", F.posexplode(tokens_with_offsets(F.col("text"))).alias("token_index", "t"),
-        F.concat(spans("diseases", "DISEASE"), spans("symptoms", "SYMPTOM")).alias("_spans"),
-    )
-    covering = F.filter(
-        "_spans", lambda s: (s["start"] < F.col("t.end")) & (s["end"] > F.col("t.start"))
+    tokens = tokens_with_offsets(annotated.select("id", "text"))
+    marked = annotated.select("id", F.concat(spans("diseases", "DISEASE"), spans("symptoms", "SYMPTOM")).alias("_spans"))
+    covering = F.filter("_spans", lambda s: (s["start"] < F.col("end")) & (s["end"] > F.col("start")))
+    rows = tokens.join(marked, "id").withColumn("_hit", F.try_element_at(covering, F.lit(-1)))
+    label = F.when(F.col("_hit").isNull(), F.lit("O")).otherwise(
+        F.concat(F.when(F.col("start") <= F.col("_hit.start"), F.lit("B-")).otherwise(F.lit("I-")), F.col("_hit.label"))
     )
-    hit = F.try_element_at(covering, F.lit(-1))
-    label = F.when(hit.isNull(), F.lit("O")).otherwise(
-        F.concat(F.when(F.col("t.start") <= hit["start"], F.lit("B-")).otherwise(F.lit("I-")), hit["label"])
-    )
-    return rows.select("id", "token_index", F.col("t.token").alias("token"), F.col("t.start").alias("start"),
-                       F.col("t.end").alias("end"), label.alias("label"))
+    return rows.select("id", "token_index", "token", "start", "end", label.alias("label"))
 
 
 def _found_at(x: Column) -> Column:
@@ -217,8 +202,6 @@ def decode_bio(tokens: DataFrame, text: DataFrame) -> DataFrame:
     A span opens at B-, goes on over I- of its own type, ends at O or the next B-. The islands are
     numbered by a running count of openings inside one document.
     """
-    from pyspark.sql import Window
-
     order = Window.partitionBy("id").orderBy("token_index")
     opens = F.col("label").startswith("B-").cast("int")
     closes = (F.col("label") == "O").cast("int")

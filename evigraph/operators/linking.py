@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from evigraph.functions import similarity
 from evigraph.functions.ordered import top_per_group
 from evigraph.operators import dictionary as dc
+from evigraph.session import spread
 
 STAGES = ("exact", "alias", "fuzzy", "partial")
 FUZZY_MIN = 0.7
@@ -54,42 +55,40 @@ def _rare_prefix(texts: DataFrame, col: str, rarity: DataFrame, minimum: float)
     length = F.char_length(col)
     shortest = F.ceil(F.lit(minimum / (2 - minimum)) * length - 1e-9)
     needed = F.ceil(F.lit(minimum / 2) * (length + shortest) - 1e-9)
-    tokens = texts.select(col, F.explode(similarity.char_tokens(F.col(col))).alias("token"))
+    tokens = similarity.char_tokens(texts, col)
     ranked = tokens.join(rarity, "token", "left").groupBy(col).agg(
         F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "token"))).alias("_o")
     )
     prefix = F.slice("_o", 1, F.greatest(length - needed + 1, F.lit(1)).cast("int"))
-    return ranked.select(col, F.transform(prefix, lambda o: o["token"]).alias(f"{col}_prefix"),
-                         F.transform("_o", lambda o: o["token"]).alias(f"{col}_tokens"))
+    return ranked.select(col, F.explode(prefix).alias("_p")).select(col, "_p.token")
 
 
 def fuzzy_pairs(mentions: DataFrame, names: DataFrame, minimum: float = FUZZY_MIN) -> DataFrame:
     """Distinct (mention, name) texts with a sequence ratio in [minimum, 1).
 
     Exact filters before any Python: a shared rare character token (an equi-join, not all pairs of a
-    length), the length band, the character overlap and the edit distance, each of which a
-    qualifying pair cannot fail.
+    length), the length band and the edit distance, none of which a qualifying pair can fail.
     """
     words = names.select("name").distinct()
     asked = mentions.select("mention").distinct()
     rarity = (
-        words.select(F.explode(similarity.char_tokens(F.col("name"))).alias("token"))
+        similarity.char_tokens(words, "name")
         .groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     )
     left = _rare_prefix(asked, "mention", rarity, minimum)
     right = _rare_prefix(words, "name", rarity, minimum)
     la, lb = F.char_length("mention"), F.char_length("name")
     total = la + lb
+    limit = F.floor(F.lit(1 - minimum) * total + 1e-9).cast("int")
     candidates = (
-        left.withColumn("_t", F.explode("mention_prefix"))
-        .join(right.withColumn("_t", F.explode("name_prefix")), "_t")
+        spread(left, "mention").join(right, "token")
         .where((2 * F.least(la, lb) >= F.lit(minimum) * total - 1e-9) & (F.col("mention") != F.col("name")))
-        # a pair sharing several prefix tokens is kept at one of them only
-        .where(F.col("_t") == F.array_min(F.array_intersect("mention_prefix", "name_prefix")))
-        .where(2 * F.size(F.array_intersect("mention_tokens", "name_tokens")) >= F.lit(minimum) * total - 1e-9)
-        .withColumn("_limit", F.floor(F.lit(1 - minimum) * total + 1e-9).cast("int"))
-        .where(F.expr("levenshtein(mention, name)") <= F.col("_limit"))
+        # unmatched characters bound the edit distance from above; native, and it stops at the limit
+        .where(F.levenshtein("mention", "name") <= limit)
+        .select("mention", "name")
+        .distinct()
     )
+    candidates = spread(candidates, "mention", "name")
     return (
         candidates.select("mention", "name", similarity.sequence_ratio("mention", "name").alias("ratio"))
         .where((F.col("ratio") >= minimum) & (F.col("ratio") < 1.0))

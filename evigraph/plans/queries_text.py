@@ -331,7 +331,7 @@ QUERIES = {
     "collection_counts": (collection_counts, None),
     "dictionary_containment": (dictionary_containment, f'WITH {FOUND} SELECT doc_id, label, name, s AS start, e AS "end" FROM found'),
     "dictionary_extract": (dictionary_extract, f"""WITH {KEPT} SELECT doc_id, k.label, k.name, k.mention, k.s AS start, k.e AS "end",
-        0.8 AS confidence FROM kept"""),
+        0.8::DOUBLE AS confidence FROM kept"""),
     "dictionary_extract_words": (dictionary_extract_words, None),
     "aliases": (aliases, f"WITH {PART_NAMES} SELECT * FROM alias"),
     "candidates_exact_alias": (candidates_exact_alias, f"""WITH {PART_NAMES},
@@ -339,8 +339,8 @@ QUERIES = {
             p_name || ',' || p_brand || ',' || p_type || ',' || lower(p_name), '[, ]')) AS m FROM part UNION ALL SELECT p_name FROM part)),
         names AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY concept_type, name ORDER BY load_seq DESC) AS r FROM kb) WHERE r = 1),
         firsts AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY concept_type, concept_id ORDER BY load_seq) AS r FROM kb) WHERE r = 1),
-        hits AS (SELECT mention, n.concept_type, n.concept_id, n.name, 1.0 AS score, 'exact' AS stage FROM asked JOIN names n ON mention = n.name
-          UNION ALL SELECT mention, a.concept_type, a.concept_id, f.name, 0.9, 'alias' FROM asked JOIN alias a ON mention = a.alias
+        hits AS (SELECT mention, n.concept_type, n.concept_id, n.name, 1.0::DOUBLE AS score, 'exact' AS stage FROM asked JOIN names n ON mention = n.name
+          UNION ALL SELECT mention, a.concept_type, a.concept_id, f.name, 0.9::DOUBLE, 'alias' FROM asked JOIN alias a ON mention = a.alias
             JOIN firsts f ON f.concept_id = a.concept_id AND f.concept_type = a.concept_type
             WHERE NOT EXISTS (SELECT 1 FROM names n WHERE n.name = mention AND n.concept_type = a.concept_type))
         SELECT *, count(*) OVER (PARTITION BY mention) AS candidates_considered,
@@ -371,7 +371,7 @@ QUERIES = {
     "bio_decode": (bio_decode, None),
     "ranking_rows": (ranking_rows, f"""WITH {KEPT}, dd AS (SELECT doc_id, text FROM documents)
         SELECT doc_id::VARCHAR AS id, k.mention AS mention_text, k.label AS concept_type,
-          text[greatest(k.s - 49, 1):k.s] AS left_context, text[k.e + 1:k.e + 50] AS right_context, 1.0 AS string_similarity, 1 AS label
+          text[greatest(k.s - 49, 1):k.s] AS left_context, text[k.e + 1:k.e + 50] AS right_context, 1.0::DOUBLE AS string_similarity, 1 AS label
         FROM kept JOIN dd USING (doc_id)"""),
     "string_features": (string_features, None),
     "classification_metrics": (classification_metrics, """WITH c AS (SELECT unnest([0, 1]) AS c), f AS (SELECT c,

@@ -64,3 +64,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared checkpoint folder, so that a lost executor replays from there."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame, *cols: str) -> DataFrame:
+    """Repartition to the session's shuffle width ahead of work that is heavy per input byte.
+
+    Adaptive execution merges partitions by their bytes, which would leave few tasks for rows that
+    multiply or cost much time each; a stated number of partitions is kept.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *cols)
