@@ -43,17 +43,24 @@ def user_conversations(messages: DataFrame, user_id: str) -> DataFrame:
     ).orderBy(F.desc("created_at"), "conv_id")
 
 
-def append_exchange(messages: DataFrame, exchanges: DataFrame) -> DataFrame:
-    """Messages with a user and a bot message added per exchange ``conv_id, user_id, query, response, ts``."""
+def new_messages(messages: DataFrame, exchanges: DataFrame) -> DataFrame:
+    """A user and a bot message per exchange ``conv_id, user_id, query, response, ts``.
+
+    A conversation keeps the time at which it was opened; a new one opens with its exchange.
+    """
     pair = F.array(
         F.struct(F.lit("user").alias("sender"), F.col("query").alias("text")),
         F.struct(F.lit("bot").alias("sender"), F.col("response").alias("text")),
     )
     opened = messages.groupBy("conv_id").agg(F.min("created_at").alias("_opened"))
-    rows = exchanges.join(opened, "conv_id", "left").select(
+    return exchanges.join(opened, "conv_id", "left").select(
         "conv_id", "user_id", F.coalesce("_opened", "ts").alias("created_at"), F.explode(pair).alias("m"), "ts"
     ).select("conv_id", "user_id", "created_at", "m.sender", "m.text", "ts")
-    return messages.unionByName(rows)
+
+
+def append_exchange(messages: DataFrame, exchanges: DataFrame) -> DataFrame:
+    """Messages with those of new exchanges added."""
+    return messages.unionByName(new_messages(messages, exchanges))
 
 
 def entity_timeline(entities: DataFrame) -> DataFrame:

@@ -9,15 +9,26 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from evigraph.session import widen
+
 # A dictionary up to this many names is sent to every executor; a longer one is joined by shuffle.
 BROADCAST_NAMES = 200_000
 
 GENERIC_WORDS = ["syndrome", "disease", "disorder", "condition", "symptom"]
 
 
-def trigrams(c: Column) -> Column:
-    """All character trigrams of a text in one linear regex pass."""
-    return F.array_distinct(F.regexp_extract_all(c, F.lit(r"(?s)(?=(...))"), F.lit(1)))
+SHORT_GRAM, LONG_GRAM = 3, 6
+
+
+def grams(c: Column, n: int) -> Column:
+    """All distinct runs of n characters of a text, in one linear regex pass."""
+    return F.array_distinct(F.regexp_extract_all(c, F.lit(r"(?s)(?=(.{%d}))" % n), F.lit(1)))
+
+
+def anchor_grams(c: Column, short: bool = True, long: bool = True) -> Column:
+    """Runs of a text that may be the anchor of a name in it."""
+    sizes = [n for n, on in ((SHORT_GRAM, short), (LONG_GRAM, long)) if on]
+    return F.concat(*[grams(c, n) for n in sizes]) if sizes else F.array().cast("array<string>")
 
 
 def last_loaded(names: DataFrame) -> DataFrame:
@@ -28,10 +39,15 @@ def last_loaded(names: DataFrame) -> DataFrame:
 
 
 def with_anchor(names: DataFrame, name_col: str = "name", key_cols: tuple[str, ...] = ("concept_type", "name")) -> DataFrame:
-    """Each name's rarest trigram among all names. Any text containing the name contains it."""
-    grams = names.select(*key_cols, F.explode(trigrams(F.col(name_col))).alias("anchor"))
-    rarity = grams.groupBy("anchor").agg(F.count(F.lit(1)).alias("_df"))
-    best = grams.join(rarity, "anchor").groupBy(*key_cols).agg(
+    """Each name's rarest run of characters among all names, long runs for long names.
+
+    Any text containing the name contains its anchor.
+    """
+    c = F.col(name_col)
+    own = F.when(F.char_length(c) >= LONG_GRAM, grams(c, LONG_GRAM)).otherwise(grams(c, SHORT_GRAM))
+    parts = names.select(*key_cols, F.explode(own).alias("anchor"))
+    rarity = parts.groupBy("anchor").agg(F.count(F.lit(1)).alias("_df"))
+    best = parts.join(rarity, "anchor").groupBy(*key_cols).agg(
         F.min_by("anchor", F.struct("_df", "anchor")).alias("anchor")
     )
     return names.join(best, list(key_cols))
@@ -43,18 +59,23 @@ def find_names(
 ) -> DataFrame:
     """First occurrence of every dictionary name (3 characters or more) in every text.
 
-    Names meet texts through one equi-join on the name's rarest trigram and are then verified, so
+    Names meet texts through one equi-join on the name's rarest run and are then verified, so
     there is no pairing of all names with all texts. Positions are zero-based.
     """
     usable = last_loaded(names.where(F.char_length("name") >= 3))
     keyed = with_anchor(usable).select("anchor", "name", "concept_type", "concept_id")
-    lowered = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.lower(text_col).alias("_low"))
-    if usable.limit(broadcast_names + 1).count() <= broadcast_names:
-        # texts stay where they are: trigrams are matched and verified inside the scan stage
-        pairs = lowered.withColumn("anchor", F.explode(trigrams(F.col("_low")))).join(F.broadcast(keyed), "anchor")
+    size = usable.agg(
+        F.count(F.lit(1)).alias("n"),
+        F.max(F.char_length("name") < LONG_GRAM).alias("short"), F.max(F.char_length("name") >= LONG_GRAM).alias("long"),
+    ).first()
+    runs = anchor_grams(F.col("_low"), bool(size["short"]), bool(size["long"]))
+    lowered = widen(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))).withColumn("_low", F.lower("text"))
+    if size["n"] <= broadcast_names:
+        # texts stay where they are: runs are matched and verified inside the scan stage
+        pairs = lowered.withColumn("anchor", F.explode(runs)).join(F.broadcast(keyed), "anchor")
     else:
-        # only ids and trigrams are shuffled; texts come back for the surviving pairs
-        ids = lowered.select("doc_id", F.explode(trigrams(F.col("_low"))).alias("anchor"))
+        # only ids and runs are shuffled; texts come back for the surviving pairs
+        ids = lowered.select("doc_id", F.explode(runs).alias("anchor"))
         pairs = ids.join(keyed, "anchor").join(lowered, "doc_id")
     at = F.regexp_instr("_low", F.concat(F.lit(r"(?U)(?<!\w)\Q"), F.col("name"), F.lit(r"\E(?!\w)"))) if word_bounded else F.instr(
         F.col("_low"), F.col("name"))

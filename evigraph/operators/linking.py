@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from evigraph.functions import similarity
 from evigraph.functions.ordered import top_per_group
 from evigraph.operators import dictionary as dc
-from evigraph.session import spread
+from evigraph.session import cut_lineage, spread
 
 STAGES = ("exact", "alias", "fuzzy", "partial")
 FUZZY_MIN = 0.7
@@ -81,14 +81,14 @@ def fuzzy_pairs(mentions: DataFrame, names: DataFrame, minimum: float = FUZZY_MI
     total = la + lb
     limit = F.floor(F.lit(1 - minimum) * total + 1e-9).cast("int")
     candidates = (
-        spread(left, "mention").join(right, "token")
+        left.join(right, "token")
         .where((2 * F.least(la, lb) >= F.lit(minimum) * total - 1e-9) & (F.col("mention") != F.col("name")))
         # unmatched characters bound the edit distance from above; native, and it stops at the limit
         .where(F.levenshtein("mention", "name") <= limit)
         .select("mention", "name")
         .distinct()
     )
-    candidates = spread(candidates, "mention", "name")
+    candidates = spread(candidates)
     return (
         candidates.select("mention", "name", similarity.sequence_ratio("mention", "name").alias("ratio"))
         .where((F.col("ratio") >= minimum) & (F.col("ratio") < 1.0))
@@ -102,15 +102,15 @@ def fuzzy_candidates(mentions: DataFrame, names: DataFrame) -> DataFrame:
 def containment_pairs(mentions: DataFrame, names: DataFrame, minimum: float = 0.5) -> DataFrame:
     """(mention, name) texts, three characters or more, one inside the other, length ratio >= minimum.
 
-    The shorter text's rarest trigram occurs in the longer one: two equi-joins, one per direction.
+    The shorter text's rarest gram occurs in the longer one: two equi-joins, one per direction.
     """
     words = names.select("name").distinct().where(F.char_length("name") >= 3)
     asked = mentions.select("mention").distinct().where(F.char_length("mention") >= 3)
     by_name = dc.with_anchor(words, "name", ("name",)).join(
-        asked.withColumn("anchor", F.explode(dc.trigrams(F.col("mention")))), "anchor"
+        spread(asked).withColumn("anchor", F.explode(dc.anchor_grams(F.col("mention")))), "anchor"
     ).where(F.contains("mention", "name"))
     by_mention = dc.with_anchor(asked, "mention", ("mention",)).join(
-        words.withColumn("anchor", F.explode(dc.trigrams(F.col("name")))), "anchor"
+        spread(words).withColumn("anchor", F.explode(dc.anchor_grams(F.col("name")))), "anchor"
     ).where(F.contains("name", "mention") & (F.col("name") != F.col("mention")))
     both = by_name.select("mention", "name").unionByName(by_mention.select("mention", "name"))
     return both.withColumn("ratio", similarity.length_ratio(F.col("mention"), F.col("name"))).where(
@@ -130,8 +130,9 @@ def generate_candidates(
     The gate on partial matches counts earlier candidates before duplicates go; a concept keeps its
     first stage, not its best score.
     """
-    asked = mentions.select(F.lower(F.trim("mention")).alias("mention")).distinct()
-    names = dc.last_loaded(kb_names)
+    # mentions and names feed every stage: written once rather than derived again per stage
+    asked = cut_lineage(mentions.select(F.lower(F.trim("mention")).alias("mention")).distinct())
+    names = cut_lineage(dc.last_loaded(kb_names))
     parts = []
     if "exact" in stages:
         parts.append(exact_candidates(asked, names))
@@ -143,6 +144,7 @@ def generate_candidates(
     for part in parts[1:]:
         found = found.unionByName(part)
     if "partial" in stages:
+        found = cut_lineage(found)
         crowded = found.groupBy("mention", "concept_type").agg(F.count(F.lit(1)).alias("_n")).where(
             F.col("_n") >= PARTIAL_GATE
         )

@@ -12,7 +12,9 @@ from evigraph.operators import walks as wk
 from evigraph.operators import evaluate as ev
 from evigraph.operators import weights as wt
 from evigraph.functions import text as tx
-from evigraph.plans import queries_serving as qs
+from evigraph.operators import fusion as fu
+from evigraph.operators import graph as gr
+from evigraph.plans import answering
 from evigraph.plans import queries_text as qt
 from evigraph.plans import queries_weights as qw
 from evigraph.plans.tables import pair_bag, rnd, rounded, table
@@ -167,6 +169,25 @@ def retrieve_context(spark, sf_dir):
     return rt.response_context(found, passages(spark, sf_dir))
 
 
+def benchmark_graph(spark, sf_dir):
+    """Graph over the benchmark dictionary: passages as entities, their long words as features."""
+    names = qt.benchmark_names(spark, sf_dir)
+    base = table(spark, sf_dir, "benchmark")
+    words = F.explode(F.split(F.lower("text"), r"[^\p{L}]+"))
+    pairs = base.select(F.col("item_id").alias("entity_id"), words.alias("feature")).where(F.char_length("feature") >= 7)
+    titles = base.select(F.col("item_id").alias("entity_id"), F.concat(F.lit("passage "), F.col("item_id").cast("string")).alias("entity"))
+    weights = cut_lineage(wt.combined_weights(pairs))
+    return names, gr.build_graph(weights, titles, 0.2)
+
+
+def answer_batch(spark, sf_dir):
+    """Every benchmark passage asked as a question against the documents and the passage graph."""
+    names, (entities, features, edges) = benchmark_graph(spark, sf_dir)
+    know = answering.Knowledge(names, entities, features, edges, document_chunks(spark, sf_dir), fu.default_reliability(spark))
+    out = answering.answer(passages(spark, sf_dir), know)
+    return rounded(out, "confidence", "uncertainty", "confidence_override")
+
+
 # --- SQL counterparts -------------------------------------------------------------------------
 
 def _h(*parts: str) -> str:
@@ -275,4 +296,5 @@ QUERIES = {
     "retrieve_documents": (retrieve_documents, f"""WITH {RETRIEVE} SELECT query_id, chunk_id, collection, round(1 - d + 1e-10, 6) AS relevance_score, source AS source_file,
         row_number() OVER (PARTITION BY query_id ORDER BY round(d, 9), collection, chunk_id) AS rank FROM p WHERE r <= 5 QUALIFY rank <= 5"""),
     "retrieve_context": (retrieve_context, None),
+    "answer_batch": (answer_batch, None),
 }

@@ -66,10 +66,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def spread(df: DataFrame, *cols: str) -> DataFrame:
+def spread(df: DataFrame) -> DataFrame:
     """Repartition to the session's shuffle width ahead of work that is heavy per input byte.
 
     Adaptive execution merges partitions by their bytes, which would leave few tasks for rows that
     multiply or cost much time each; a stated number of partitions is kept.
     """
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *cols)
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def widen(df: DataFrame) -> DataFrame:
+    """Spread a scan that has fewer partitions than there are cores; a wide one stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
