@@ -304,6 +304,9 @@ def flatten_record(df, exclude: tuple[str, ...] = (), keys: tuple[str, ...] = ("
     def texts(struct_type) -> list[str]:
         return [k for k in keys if k in struct_type.names and isinstance(struct_type[k].dataType, T.StringType)]
 
+    def joined_texts(c: Column, inner: list[str]) -> Column:
+        return F.transform(c, lambda item: F.concat_ws(" ", *[item[k] for k in inner]))
+
     parts: list[Column] = []
     for field in df.schema.fields:
         if field.name in exclude:
@@ -318,6 +321,5 @@ def flatten_record(df, exclude: tuple[str, ...] = (), keys: tuple[str, ...] = ("
         elif isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.StructType):
             inner = texts(kind.elementType)
             if inner:
-                joined = F.transform(c, lambda item, inner=inner: F.concat_ws(" ", *[item[k] for k in inner]))
-                parts.append(F.when(F.size(c) > 0, F.array_join(joined, " ")))
+                parts.append(F.when(F.size(c) > 0, F.array_join(joined_texts(c, inner), " ")))
     return F.regexp_replace(F.concat_ws(" ", *parts), r"(?U)^\s+|\s+$", "")

@@ -9,8 +9,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evigraph.session import widen
-
 # A dictionary up to this many names is sent to every executor; a longer one is joined by shuffle.
 BROADCAST_NAMES = 200_000
 
@@ -69,7 +67,7 @@ def find_names(
         F.max(F.char_length("name") < LONG_GRAM).alias("short"), F.max(F.char_length("name") >= LONG_GRAM).alias("long"),
     ).first()
     runs = anchor_grams(F.col("_low"), bool(size["short"]), bool(size["long"]))
-    lowered = widen(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))).withColumn("_low", F.lower("text"))
+    lowered = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).withColumn("_low", F.lower("text"))
     if size["n"] <= broadcast_names:
         # texts stay where they are: runs are matched and verified inside the scan stage
         pairs = lowered.withColumn("anchor", F.explode(runs)).join(F.broadcast(keyed), "anchor")

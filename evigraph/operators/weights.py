@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from evigraph.functions.numeric import clamp, ratio
 from evigraph.functions.ordered import attach_scalars, top_per_group
+from evigraph.session import cut_lineage
 
 KEYS = ["entity_id", "feature"]
 
@@ -23,7 +24,12 @@ def pair_counts(pairs: DataFrame) -> DataFrame:
 
 
 def with_totals(counts: DataFrame) -> DataFrame:
-    """Counts joined to entity totals, feature totals, document frequency and table totals."""
+    """Counts joined to entity totals, feature totals, document frequency and table totals.
+
+    The counts are written once: three aggregates and the join read them, and the pair table they
+    come from would otherwise be scanned for each.
+    """
+    counts = cut_lineage(counts)
     by_entity = counts.groupBy("entity_id").agg(F.sum("tf").alias("entity_total"))
     by_feature = counts.groupBy("feature").agg(
         F.sum("tf").alias("feature_total"), F.count(F.lit(1)).alias("entities_with_feature")

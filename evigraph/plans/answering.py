@@ -42,8 +42,9 @@ def answer(queries: DataFrame, know: Knowledge, method: str = "weighted_average"
     valid = F.trim(F.coalesce("text", F.lit(""))) != ""
     asked = queries.where(valid)
     linked = cut_lineage(ln.link_documents(asked.withColumnRenamed("query_id", "doc_id"), know.names).withColumnRenamed("doc_id", "query_id"))
+    # stages below are read several times each, so their small results are written once
     symptoms = linked.where(F.col("concept_type") == "SYMPTOM").select("query_id", F.col("concept_name").alias("feature"))
-    found = rt.retrieve(asked, know.chunks)
+    found = cut_lineage(rt.retrieve(asked, know.chunks).select("query_id", "rank", "chunk_id"))
     ranked = gr.rank_entities(symptoms, know.entities, know.features, know.edges, min_weight, top_n)
     labels = pr.label_vocabulary(know.entities.select(F.col("id").alias("entity_id")))
     predicted = pr.predict_top_k(
@@ -56,8 +57,8 @@ def answer(queries: DataFrame, know: Knowledge, method: str = "weighted_average"
         found.select("query_id"),
         predicted.join(shown, "entity_id").select(F.col("case_id").alias("query_id"), "entity", "probability"),
     ))
-    src = fu.sources(evidence, know.reliability)
-    fused = fu.fuse_bayesian(evidence, src) if method == "bayesian" else fu.fuse_weighted(evidence, src)
+    src = cut_lineage(fu.sources(evidence, know.reliability))
+    fused = cut_lineage(fu.fuse_bayesian(evidence, src) if method == "bayesian" else fu.fuse_weighted(evidence, src))
     overall = fu.overall(fused, src, asked)
     text = cv.response_parts(linked, fused, overall, found, asked)
     # a question's own entities: as many as its text can hold
