@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -46,7 +47,7 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, memory: st
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Folder for reliable checkpoints: the one the session names, else a temporary one in local mode."""
+    """Folder for written intermediate tables: the one the session names, else a temporary one in local mode."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
@@ -61,9 +62,15 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder, so that a lost executor replays from there."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` once to the shared checkpoint folder and go on from the written table.
+
+    A lost executor re-reads it instead of replaying the plan behind it; as Parquet it is pruned by
+    column and has a known size for the choice of joins.
+    """
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark)}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def spread(df: DataFrame) -> DataFrame:

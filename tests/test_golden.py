@@ -165,11 +165,11 @@ def kb(spark):
 
 
 def test_candidates(spark, kb):
-    got = ln.generate_candidates(spark.createDataFrame([("Chest pain ",), ("severe)",)], "mention STRING"), kb).orderBy("mention", "rank").collect()
+    got = ln.generate_candidates(spark.createDataFrame([("Chest pain ",), ("(severe)",)], "mention STRING"), kb).orderBy("mention", "rank").collect()
     chest = [r for r in got if r.mention == "chest pain"]
     assert (chest[0].concept_id, chest[0].score, chest[0].stage) == ("s1", 1.0, "exact")
     assert (chest[1].concept_id, chest[1].stage) == ("s2", "fuzzy")
-    alias = [r for r in got if r.mention == "severe)"]
+    alias = [r for r in got if r.mention == "(severe)"]
     assert (alias[0].concept_id, alias[0].score) == ("d2", 0.9)
 
 
