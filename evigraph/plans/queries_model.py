@@ -200,7 +200,7 @@ def _u(stage: str) -> str:
 
 def _rel(minimum: float) -> str:
     return qw.COMBINED + f""",
-rel AS (SELECT entity_id, 'symptom::' || replace(feature, ' ', '_') AS feature_id, round(w + 1e-10, 6) AS weight FROM weighted WHERE w >= {minimum})"""
+rel AS (SELECT entity_id, 'symptom::' || replace(feature, ' ', '_') AS feature_id, round(w + 1e-9, 6) AS weight FROM weighted WHERE w >= {minimum})"""
 
 
 SIMPLE = _rel(0.4) + f""",
@@ -235,7 +235,7 @@ q AS (SELECT label AS query_id, list(m / l ORDER BY pos) AS v FROM m JOIN (SELEC
 def _search(distance: str, n: int, limit: float) -> str:
     return f"""WITH {CENTROIDS}, d AS (SELECT query_id, label::VARCHAR AS collection, vec_id AS chunk_id, {distance} AS d FROM q, embeddings),
         p AS (SELECT *, row_number() OVER (PARTITION BY query_id, collection ORDER BY round(d, 9), chunk_id) AS r FROM d)
-        SELECT query_id, collection, chunk_id, round(d + 1e-10, 6) AS distance, row_number() OVER (PARTITION BY query_id ORDER BY round(d, 9), collection, chunk_id) AS rank
+        SELECT query_id, collection, chunk_id, round(d + 1e-9, 6) AS distance, row_number() OVER (PARTITION BY query_id ORDER BY round(d, 9), collection, chunk_id) AS rank
         FROM p WHERE r <= {n} AND d <= {limit} + 1e-9 QUALIFY rank <= {n}"""
 
 
@@ -276,16 +276,16 @@ QUERIES = {
         SELECT encounter_id, array_to_string(list_resize(ids, (SELECT max(len(ids)) FROM l), 0), ',') AS ids FROM l"""),
     "bag_rows": (bag_rows, f"""WITH {SIMPLE}, v AS (SELECT feature_id, row_number() OVER (ORDER BY feature_id) AS idx FROM (SELECT DISTINCT feature_id FROM rel))
         SELECT encounter_id, v.idx AS idx, 1.0::DOUBLE AS value FROM simple JOIN v USING (feature_id) WHERE polarity = 'positive'"""),
-    "graph_prior_scores": (graph_prior_scores, f"WITH {CASES} SELECT case_id, entity_id, round(score + 1e-10, 4) AS score, m AS matched_features FROM sc"),
+    "graph_prior_scores": (graph_prior_scores, f"WITH {CASES} SELECT case_id, entity_id, round(score + 1e-9, 4) AS score, m AS matched_features FROM sc"),
     "predict_topk": (predict_topk, f"""WITH {CASES}, lab AS (SELECT entity_id, row_number() OVER (ORDER BY entity_id) AS i FROM (SELECT DISTINCT entity_id FROM rel)),
         n AS (SELECT count(*) AS n FROM lab), sz AS (SELECT case_id, count(k.feature_id) AS matched, count(*) AS total FROM cs
           LEFT JOIN (SELECT DISTINCT feature_id FROM rel) k USING (feature_id) GROUP BY case_id),
         z AS (SELECT case_id, sum(exp(score)) + (SELECT n FROM n) - count(*) AS z FROM sc GROUP BY case_id),
         pr AS (SELECT case_id, entity_id, exp(score) / z AS p FROM sc JOIN z USING (case_id)),
         rk AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY round(p, 12) DESC, entity_id) AS rank FROM pr)
-        SELECT case_id, entity_id, round(p + 1e-10, 6) AS probability, rank, matched AS matched_symptoms, total AS total_symptoms, NULL::VARCHAR AS warning
+        SELECT case_id, entity_id, round(p + 1e-9, 6) AS probability, rank, matched AS matched_symptoms, total AS total_symptoms, NULL::VARCHAR AS warning
         FROM rk JOIN sz USING (case_id) WHERE rank <= 5
-        UNION ALL SELECT case_id, entity_id, round(1.0 / n.n + 1e-10, 6), i, matched, total, 'no known feature' FROM sz, n, lab WHERE matched = 0 AND i <= 5"""),
+        UNION ALL SELECT case_id, entity_id, round(1.0 / n.n + 1e-9, 6), i, matched, total, 'no known feature' FROM sz, n, lab WHERE matched = 0 AND i <= 5"""),
     "classifier_metrics": (classifier_metrics, None),
     "prior_metrics": (prior_metrics, None),
     "random_walks": (random_walks, None),
@@ -293,7 +293,7 @@ QUERIES = {
     "vector_topk": (vector_topk, _search(L2, 5, 2)),
     "vector_topk_cosine": (vector_topk_cosine, _search(COS, 10, 0.8)),
     "vector_topk_blocks": (vector_topk_blocks, _search(L2, 5, 2)),
-    "retrieve_documents": (retrieve_documents, f"""WITH {RETRIEVE} SELECT query_id, chunk_id, collection, round(1 - d + 1e-10, 6) AS relevance_score, source AS source_file,
+    "retrieve_documents": (retrieve_documents, f"""WITH {RETRIEVE} SELECT query_id, chunk_id, collection, round(1 - d + 1e-9, 6) AS relevance_score, source AS source_file,
         row_number() OVER (PARTITION BY query_id ORDER BY round(d, 9), collection, chunk_id) AS rank FROM p WHERE r <= 5 QUALIFY rank <= 5"""),
     "retrieve_context": (retrieve_context, None),
     "answer_batch": (answer_batch, None),

@@ -298,7 +298,7 @@ ERR = "err AS (SELECT ts, 'svc' || user_id AS component, CASE WHEN value > 20 TH
 
 
 def _r(expr: str, name: str, places: int = 6) -> str:
-    return f"round({expr} + 1e-10, {places}) AS {name}"
+    return f"round({expr} + 1e-9, {places}) AS {name}"
 
 
 def _perf_sql(by: str) -> str:
@@ -420,7 +420,7 @@ QUERIES = {
           CASE WHEN highu THEN 'high_uncertainty' END, CASE WHEN lowc THEN 'low_confidence' END], lambda x: x IS NOT NULL), ',') AS flags, 0 AS blocked,
           contra::INT + highu::INT + lowc::INT AS warnings, 2 + highu::INT AS disclaimers, (lowc OR highu)::INT + contra::INT AS recommendations FROM resp"""),
     "safety_risk": (safety_risk, f"""WITH {RESP} SELECT conv_id, turn, CASE WHEN c < 0.5 OR u > 0.7 OR contra OR lowc OR highu THEN 'moderate' ELSE 'low' END AS risk_level,
-          contra AS human_review_required, round(CASE WHEN highu OR contra OR lowc THEN greatest(0, c - (highu::INT * 0.2 + contra::INT * 0.3 + lowc::INT * 0.1)) END + 1e-10, 6)
+          contra AS human_review_required, round(CASE WHEN highu OR contra OR lowc THEN greatest(0, c - (highu::INT * 0.2 + contra::INT * 0.3 + lowc::INT * 0.1)) END + 1e-9, 6)
           AS confidence_override FROM resp"""),
     "safety_sanitized": (safety_sanitized, None),
     "response_parse": (response_parse, None),
@@ -437,7 +437,7 @@ QUERIES = {
     "relevant_turns": (relevant_turns, f"""WITH {ENTS}, n AS (SELECT conv_id, turn_no, count(*) AS n FROM ents GROUP BY ALL),
         o AS (SELECT a.conv_id, a.turn_no, b.turn_no AS past_turn, count(*) AS overlap FROM ents a JOIN ents b ON a.conv_id = b.conv_id AND a.entity = b.entity
           AND b.turn_no BETWEEN a.turn_no - 3 AND a.turn_no - 1 GROUP BY ALL)
-        SELECT conv_id, turn_no, past_turn, overlap, round(overlap / n + 1e-10, 6) AS relevance, row_number() OVER (PARTITION BY conv_id, turn_no
+        SELECT conv_id, turn_no, past_turn, overlap, round(overlap / n + 1e-9, 6) AS relevance, row_number() OVER (PARTITION BY conv_id, turn_no
           ORDER BY overlap / n DESC, past_turn) AS rank FROM o JOIN n USING (conv_id, turn_no) QUALIFY rank <= 3"""),
     "context_summary": (context_summary, f"""WITH {TOPICS}, t AS (SELECT conv_id, count(*) AS n, max(turn_no) AS l FROM turns GROUP BY ALL),
         e AS (SELECT conv_id, list(DISTINCT entity ORDER BY entity)[1:5] AS es FROM ents JOIN t USING (conv_id) WHERE turn_no > l - 3 GROUP BY ALL),
@@ -457,5 +457,5 @@ QUERIES = {
         SELECT 'length' AS component, k AS key_hash, coalesce(st.result, u.result) AS result, CASE WHEN st.k IS NULL THEN 0 ELSE n END AS hits
         FROM u LEFT JOIN st USING (k) WHERE st.k IS NOT NULL OR length(u.result) <= 2"""),
     "memo_statistics": (memo_statistics, f"""WITH {MEMO} SELECT count(st.k) AS hits, count(*) - count(st.k) AS misses, count(*) AS total_requests,
-        round(count(st.k) / count(*) + 1e-10, 6) AS hit_rate FROM req LEFT JOIN st USING (k)"""),
+        round(count(st.k) / count(*) + 1e-9, 6) AS hit_rate FROM req LEFT JOIN st USING (k)"""),
 }

@@ -278,6 +278,15 @@ raw_windows AS (SELECT doc_id, i, substr(text, i * 800 + 1, 1000) AS text, i * 8
 windows AS (SELECT doc_id, text, s, e, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS k
     FROM raw_windows WHERE trim(text, """ + WS + r""") <> '')"""
 
+# no header lines and no blank lines in the given texts: one chunk, or windows of the (stripped, when long) text
+DOC_CHUNKS = f"""based AS (SELECT doc_id, CASE WHEN length(text) > 2000 THEN trim(text, {WS}) ELSE text END AS t,
+    CASE WHEN length(text) > 2000 THEN length(text) - length(ltrim(text, {WS})) ELSE 0 END AS off FROM documents),
+counted AS (SELECT *, CASE WHEN length(t) <= 1000 THEN 1 ELSE ceil((length(t) - 1000) / 800)::INT + 1 END AS n FROM based),
+cut AS (SELECT doc_id, i, length(t) > 1000 AS many, substr(t, i * 800 + 1, 1000) AS text, off + i * 800 AS s, off + least(i * 800 + 1000, length(t)) AS e
+    FROM counted, range(n) r(i)),
+dc AS (SELECT doc_id, CASE WHEN many THEN '_window_' ELSE '_chunk_' END AS kind, text, s, e,
+    row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS k FROM cut WHERE NOT many OR trim(text, {WS}) <> '')"""
+
 NAMES = r"""bw AS (SELECT list_filter(regexp_split_to_array(lower(text), '[^\p{L}]+'), lambda w: w <> '') AS w FROM benchmark),
 names AS (SELECT DISTINCT concept_type, name, lower(concept_type[1]) || ':' || name AS concept_id FROM (
     SELECT 'SYMPTOM' AS concept_type, unnest(w) AS name FROM bw
@@ -311,8 +320,8 @@ alias AS (SELECT concept_type, alias, concept_id FROM (SELECT *, row_number() OV
 QUERIES = {
     "corpus_combine": (corpus_combine, f"WITH {COMBINED} SELECT * FROM combined"),
     "corpus_clean": (corpus_clean, f"WITH {CORPUS} SELECT * FROM corpus"),
-    "corpus_stats": (corpus_stats, f"""WITH {CORPUS} SELECT count(*) AS total_texts, round(avg(cleaned_length) + 1e-10, 6) AS avg_length,
-        round(median(cleaned_length) + 1e-10, 6) AS median_length, min(cleaned_length) AS min_length,
+    "corpus_stats": (corpus_stats, f"""WITH {CORPUS} SELECT count(*) AS total_texts, round(avg(cleaned_length) + 1e-9, 6) AS avg_length,
+        round(median(cleaned_length) + 1e-9, 6) AS median_length, min(cleaned_length) AS min_length,
         max(cleaned_length) AS max_length FROM corpus"""),
     "corpus_splits": (corpus_splits, f"WITH {CORPUS} SELECT split, count(*) AS texts FROM corpus GROUP BY ALL"),
     "doc_clean": (doc_clean, r"""SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\s+', ' ', 'g'),
@@ -326,9 +335,15 @@ QUERIES = {
     "chunk_sections": (chunk_sections, """SELECT text, doc_id || '_chunk_0' AS chunk_id, doc_id::VARCHAR AS document_id, 0 AS chunk_index,
         0 AS start_char, length(text) AS end_char FROM documents"""),
     "chunk_paragraphs": (chunk_paragraphs, None),
-    "chunk_documents": (chunk_documents, None),
-    "route_collections": (route_collections, None),
-    "collection_counts": (collection_counts, None),
+    "chunk_documents": (chunk_documents, f"""WITH {DOC_CHUNKS} SELECT text, doc_id || kind || k AS chunk_id, doc_id::VARCHAR AS document_id,
+        k AS chunk_index, s AS start_char, e AS end_char FROM dc"""),
+    "route_collections": (route_collections, f"""WITH {DOC_CHUNKS}, {METADATA} SELECT dc.doc_id || kind || k AS id, document_type AS collection,
+        k::VARCHAR AS chunk_index, s::VARCHAR AS start_char, source AS source_file,
+        7 + (patient_id IS NOT NULL)::INT + (date IS NOT NULL)::INT AS keys
+        FROM dc JOIN dated USING (doc_id) JOIN (SELECT doc_id, source FROM documents) USING (doc_id)"""),
+    "collection_counts": (collection_counts, f"""WITH {DOC_CHUNKS}, {METADATA}, c AS (SELECT document_type AS collection, count(*) AS documents
+        FROM dc JOIN dated USING (doc_id) GROUP BY ALL)
+        SELECT * FROM c UNION ALL SELECT 'total', sum(documents) FROM c"""),
     "dictionary_containment": (dictionary_containment, f'WITH {FOUND} SELECT doc_id, label, name, s AS start, e AS "end" FROM found'),
     "dictionary_extract": (dictionary_extract, f"""WITH {KEPT} SELECT doc_id, k.label, k.name, k.mention, k.s AS start, k.e AS "end",
         0.8::DOUBLE AS confidence FROM kept"""),
@@ -348,7 +363,7 @@ QUERIES = {
     "candidates_fuzzy": (candidates_fuzzy, None),
     "candidates_partial": (candidates_partial, f"""WITH {NAMES}, n AS (SELECT DISTINCT name FROM names),
         m AS (SELECT DISTINCT m FROM (SELECT name[1:3] || name[6:6] || name[5:5] || name[7:] AS m FROM n UNION ALL SELECT name FROM n))
-        SELECT m AS mention, name, round(least(length(m), length(name)) / greatest(length(m), length(name)) + 1e-10, 6) AS ratio
+        SELECT m AS mention, name, round(least(length(m), length(name)) / greatest(length(m), length(name)) + 1e-9, 6) AS ratio
         FROM m, n WHERE (contains(m, name) OR contains(name, m)) AND length(m) >= 3
           AND least(length(m), length(name)) / greatest(length(m), length(name)) >= 0.5"""),
     "candidates_all": (candidates_all, None),
@@ -363,8 +378,8 @@ QUERIES = {
         ent AS (SELECT DISTINCT doc_id, k.mention AS m, k.label AS label FROM kept),
         pr AS (SELECT count(*) AS p FROM ent a JOIN ed ON a.m = ed.entity AND a.label = 'DISEASE'
                JOIN ent b ON b.doc_id = a.doc_id AND b.m = ed.f AND b.label = 'SYMPTOM')
-        SELECT n AS annotated_texts, d AS diseases, s AS symptoms, p AS pairs, round(d / n + 1e-10, 6) AS diseases_per_text,
-          round(s / n + 1e-10, 6) AS symptoms_per_text, round(p / n + 1e-10, 6) AS pairs_per_text,
+        SELECT n AS annotated_texts, d AS diseases, s AS symptoms, p AS pairs, round(d / n + 1e-9, 6) AS diseases_per_text,
+          round(s / n + 1e-9, 6) AS symptoms_per_text, round(p / n + 1e-9, 6) AS pairs_per_text,
           (SELECT count(*) FROM names WHERE concept_type = 'DISEASE') AS kb_diseases,
           (SELECT count(*) FROM names WHERE concept_type = 'SYMPTOM') AS kb_symptoms FROM per, n, pr"""),
     "bio_tokens": (bio_tokens, None),
@@ -377,6 +392,6 @@ QUERIES = {
     "classification_metrics": (classification_metrics, """WITH c AS (SELECT unnest([0, 1]) AS c), f AS (SELECT c,
           count(*) FILTER (quality = c AND toxic = c) AS tp, count(*) FILTER (quality = c) AS t, count(*) FILTER (toxic = c) AS p
           FROM c, labels GROUP BY c), g AS (SELECT *, 2 * tp / (t + p) AS f1 FROM f)
-        SELECT sum(t) AS n, round(sum(tp) / sum(t) + 1e-10, 6) AS accuracy, round(avg(f1) + 1e-10, 6) AS f1_macro,
-          round(sum(f1 * t) / sum(t) + 1e-10, 6) AS f1_weighted FROM g"""),
+        SELECT sum(t) AS n, round(sum(tp) / sum(t) + 1e-9, 6) AS accuracy, round(avg(f1) + 1e-9, 6) AS f1_macro,
+          round(sum(f1 * t) / sum(t) + 1e-9, 6) AS f1_weighted FROM g"""),
 }

@@ -248,26 +248,26 @@ def _phrase_sql() -> str:
 
 
 QUERIES = {
-    "pair_frequency": (pair_frequency, f"WITH {PAIRS} SELECT entity_id, feature, round(freq + 1e-10, 6) AS frequency_weight FROM plain"),
-    "pair_tfidf": (pair_tfidf, f"""WITH {PAIRS} SELECT entity_id, feature, round(freq + 1e-10, 6) AS tf_normalized,
-        round(idf + 1e-10, 6) AS idf, round(tfidf + 1e-10, 6) AS tfidf_weight FROM plain"""),
-    "pair_pmi": (pair_pmi, f"WITH {PAIRS} SELECT entity_id, feature, round(pmi + 1e-10, 6) AS pmi_raw, round(ppmi + 1e-10, 6) AS pmi_weight FROM plain"),
-    "pair_combined": (pair_combined, f"""WITH {COMBINED} SELECT entity_id, feature, round(tfidf + 1e-10, 6) AS tfidf_weight,
-        round(norm + 1e-10, 6) AS tfidf_normalized, round(ppmi + 1e-10, 6) AS pmi_weight, round(conf + 1e-10, 6) AS pmi_confidence,
-        round(w + 1e-10, 6) AS final_weight, category AS weight_category FROM weighted"""),
-    "plain_weights": (plain_weights, f"""WITH {PAIRS} SELECT entity_id, feature, round(freq + 1e-10, 6) AS frequency_weight,
-        round(tfidf + 1e-10, 6) AS tfidf_weight, round(ppmi + 1e-10, 6) AS pmi_weight FROM plain"""),
-    "weight_union": (weight_union, f"""WITH {PAIRS} SELECT entity_id, feature, round(freq + 1e-10, 6) AS frequency_weight,
-        round(tfidf + 1e-10, 6) AS tfidf_weight, round(ppmi + 1e-10, 6) AS pmi_weight FROM plain"""),
+    "pair_frequency": (pair_frequency, f"WITH {PAIRS} SELECT entity_id, feature, round(freq + 1e-9, 6) AS frequency_weight FROM plain"),
+    "pair_tfidf": (pair_tfidf, f"""WITH {PAIRS} SELECT entity_id, feature, round(freq + 1e-9, 6) AS tf_normalized,
+        round(idf + 1e-9, 6) AS idf, round(tfidf + 1e-9, 6) AS tfidf_weight FROM plain"""),
+    "pair_pmi": (pair_pmi, f"WITH {PAIRS} SELECT entity_id, feature, round(pmi + 1e-9, 6) AS pmi_raw, round(ppmi + 1e-9, 6) AS pmi_weight FROM plain"),
+    "pair_combined": (pair_combined, f"""WITH {COMBINED} SELECT entity_id, feature, round(tfidf + 1e-9, 6) AS tfidf_weight,
+        round(norm + 1e-9, 6) AS tfidf_normalized, round(ppmi + 1e-9, 6) AS pmi_weight, round(conf + 1e-9, 6) AS pmi_confidence,
+        round(w + 1e-9, 6) AS final_weight, category AS weight_category FROM weighted"""),
+    "plain_weights": (plain_weights, f"""WITH {PAIRS} SELECT entity_id, feature, round(freq + 1e-9, 6) AS frequency_weight,
+        round(tfidf + 1e-9, 6) AS tfidf_weight, round(ppmi + 1e-9, 6) AS pmi_weight FROM plain"""),
+    "weight_union": (weight_union, f"""WITH {PAIRS} SELECT entity_id, feature, round(freq + 1e-9, 6) AS frequency_weight,
+        round(tfidf + 1e-9, 6) AS tfidf_weight, round(ppmi + 1e-9, 6) AS pmi_weight FROM plain"""),
     "weight_minmax": (weight_minmax, f"""WITH {PAIRS}, lim AS (SELECT min(freq) f0, max(freq) f1, min(tfidf) t0, max(tfidf) t1,
           min(ppmi) p0, max(ppmi) p1 FROM plain),
         norm AS (SELECT entity_id, feature, CASE WHEN f1 > f0 THEN (freq - f0) / (f1 - f0) ELSE 0.5 END AS f,
           CASE WHEN t1 > t0 THEN (tfidf - t0) / (t1 - t0) ELSE 0.5 END AS t,
           CASE WHEN p1 > p0 THEN (ppmi - p0) / (p1 - p0) ELSE 0.5 END AS p FROM plain, lim)
-        SELECT entity_id, feature, round(f + 1e-10, 6) AS frequency_weight_norm, round(t + 1e-10, 6) AS tfidf_weight_norm,
-          round(p + 1e-10, 6) AS pmi_weight_norm, round(least(1, greatest(0, 0.2 * f + 0.5 * t + 0.3 * p)), 6) AS combined_weight FROM norm"""),
-    "top_features": (top_features, f"""WITH {COMBINED} SELECT * FROM (SELECT entity_id, feature, round(w + 1e-10, 6) AS final_weight,
-        category AS weight_category, row_number() OVER (PARTITION BY entity_id ORDER BY round(w + 1e-10, 6) DESC, feature) AS rank
+        SELECT entity_id, feature, round(f + 1e-9, 6) AS frequency_weight_norm, round(t + 1e-9, 6) AS tfidf_weight_norm,
+          round(p + 1e-9, 6) AS pmi_weight_norm, round(least(1, greatest(0, 0.2 * f + 0.5 * t + 0.3 * p)) + 1e-9, 6) AS combined_weight FROM norm"""),
+    "top_features": (top_features, f"""WITH {COMBINED} SELECT * FROM (SELECT entity_id, feature, round(w + 1e-9, 6) AS final_weight,
+        category AS weight_category, row_number() OVER (PARTITION BY entity_id ORDER BY round(w + 1e-9, 6) DESC, feature) AS rank
         FROM weighted) WHERE rank <= 5"""),
     "pair_distinct_counts": (pair_distinct_counts, f"""WITH {PAIRS} SELECT count(*) AS pairs, count(DISTINCT entity_id) AS entities,
         count(DISTINCT feature) AS features FROM counts"""),
@@ -282,13 +282,13 @@ QUERIES = {
           (SELECT count(*) FROM features) AS f, (SELECT count(*) FROM edges) AS r)
         SELECT unnest(['entities', 'features', 'has_feature', 'indicates', 'total_nodes', 'total_relationships']) AS metric,
                unnest([e, f, r, r, e + f, 2 * r]) AS value FROM c"""),
-    "graph_edges": (graph_edges, f"""WITH {GRAPH} SELECT entity_id, feature_id, round(w + 1e-10, 6) AS weight,
-        round(tfidf + 1e-10, 6) AS tfidf_weight, round(conf + 1e-10, 6) AS pmi_confidence, category FROM edges"""),
+    "graph_edges": (graph_edges, f"""WITH {GRAPH} SELECT entity_id, feature_id, round(w + 1e-9, 6) AS weight,
+        round(tfidf + 1e-9, 6) AS tfidf_weight, round(conf + 1e-9, 6) AS pmi_confidence, category FROM edges"""),
     "graph_upsert": (graph_upsert, f"""WITH {EARLY} {GRAPH} SELECT coalesce(e.entity_id, s.entity_id) AS entity_id,
         coalesce(e.feature_id, s.feature_id) AS feature_id,
-        round(CASE WHEN e.entity_id IS NULL THEN s.w ELSE e.w END + 1e-10, 6) AS weight,
-        round(CASE WHEN e.entity_id IS NULL THEN s.tfidf ELSE e.tfidf END + 1e-10, 6) AS tfidf_weight,
-        round(CASE WHEN e.entity_id IS NULL THEN s.conf ELSE e.conf END + 1e-10, 6) AS pmi_confidence,
+        round(CASE WHEN e.entity_id IS NULL THEN s.w ELSE e.w END + 1e-9, 6) AS weight,
+        round(CASE WHEN e.entity_id IS NULL THEN s.tfidf ELSE e.tfidf END + 1e-9, 6) AS tfidf_weight,
+        round(CASE WHEN e.entity_id IS NULL THEN s.conf ELSE e.conf END + 1e-9, 6) AS pmi_confidence,
         CASE WHEN e.entity_id IS NULL THEN s.category ELSE e.category END AS category
         FROM early_graph s FULL JOIN edges e ON s.entity_id = e.entity_id AND s.feature_id = e.feature_id"""),
     "entity_search": (entity_search, f"WITH {GRAPH} SELECT DISTINCT display AS display_name FROM features WHERE contains(name, 'widget')"),
@@ -302,25 +302,25 @@ QUERIES = {
           CASE WHEN r.type IS NULL AND f.feature_id IS NOT NULL THEN 'Symptom' END AS entity_type
         FROM req r LEFT JOIN features f ON lower(r.name) = f.name"""),
     "rank_entities_by_features": (rank_entities_by_features, f"""WITH {GRAPH} {QUERY_ROWS}
-        SELECT query_id, rank, entity_id, display AS entity_name, round(score + 1e-10, 4) AS total_score, n AS matched_count,
+        SELECT query_id, rank, entity_id, display AS entity_name, round(score + 1e-9, 4) AS total_score, n AS matched_count,
           fs AS matched_features FROM ranked JOIN entities USING (entity_id) WHERE rank <= 10"""),
     "related_with_additional": (related_with_additional, f"""WITH {GRAPH} {QUERY_ROWS},
         best AS (SELECT * FROM ranked WHERE rank <= 5),
         more AS (SELECT query_id, entity_id, display, w FROM best JOIN edges e USING (entity_id) JOIN features f ON f.feature_id = e.feature_id
                  WHERE w >= 0.3 AND (query_id, e.feature) NOT IN (SELECT (query_id, feature) FROM asked))
-        SELECT query_id, rank, entity_id, round(score + 1e-10, 4) AS total_score, n AS matched_count,
-          display AS additional_feature, round(more.w + 1e-10, 4) AS additional_weight
+        SELECT query_id, rank, entity_id, round(score + 1e-9, 4) AS total_score, n AS matched_count,
+          display AS additional_feature, round(more.w + 1e-9, 4) AS additional_weight
         FROM best LEFT JOIN more USING (query_id, entity_id)"""),
     "suggestions": (suggestions, None),
     "features_of_entity": (features_of_entity, f"""WITH {GRAPH} SELECT entity_id, en.display AS entity_name, f.display AS feature,
-        round(w + 1e-10, 6) AS weight, category FROM edges e JOIN entities en USING (entity_id) JOIN features f ON f.feature_id = e.feature_id
+        round(w + 1e-9, 6) AS weight, category FROM edges e JOIN entities en USING (entity_id) JOIN features f ON f.feature_id = e.feature_id
         WHERE w >= 0.3 AND lower(en.display) = 'customer#000000007'"""),
     "concept_relationships": (concept_relationships, f"""WITH {GRAPH}, rel AS (
           SELECT entity_id::VARCHAR AS concept_id, 'DISEASE' AS concept_type, e.feature AS related, w FROM edges e
           UNION ALL SELECT e.feature, 'SYMPTOM', en.name, w FROM edges e JOIN entities en USING (entity_id))
-        SELECT concept_id, concept_type, count(*) AS neighbours, round(sum(w) + 1e-10, 4) AS weight_sum, min(related) AS first_related,
+        SELECT concept_id, concept_type, count(*) AS neighbours, round(sum(w) + 1e-9, 4) AS weight_sum, min(related) AS first_related,
           'Medical ' || lower(concept_type) || ': ' || concept_id AS definition FROM rel GROUP BY ALL"""),
     "relations": (relations, f"""WITH {GRAPH} SELECT entity_id, en.name AS entity, e.feature_id, f.name AS feature, f.display AS feature_name,
-        round(w + 1e-10, 6) AS weight, round(tfidf + 1e-10, 6) AS tfidf_weight, round(conf + 1e-10, 6) AS pmi_confidence
+        round(w + 1e-9, 6) AS weight, round(tfidf + 1e-9, 6) AS tfidf_weight, round(conf + 1e-9, 6) AS pmi_confidence
         FROM edges e JOIN entities en USING (entity_id) JOIN features f ON f.feature_id = e.feature_id WHERE w >= 0.4"""),
 }

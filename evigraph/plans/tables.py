@@ -38,7 +38,7 @@ def customer_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rnd(c, places: int = 6) -> Column:
     """Rounded value for comparison; the tiny shift settles exact halves the same way everywhere."""
     c = F.col(c) if isinstance(c, str) else c
-    return F.round(c + F.lit(1e-10), places)
+    return F.round(c + F.lit(1e-9), places)
 
 
 def rounded(df: DataFrame, *cols: str, places: int = 6) -> DataFrame:
