@@ -7,28 +7,23 @@ from pyspark.sql import functions as F
 
 from evigraph.functions import similarity, text as tx
 from evigraph.functions.numeric import hash60, ratio
+from evigraph.session import once
 
 
 def combine_records(df: DataFrame, id_col: str, split_col: str) -> DataFrame:
     """One text per record from all its textual fields, with its length."""
-    text = tx.flatten_record(df, exclude=(id_col, split_col))
-    return (
-        df.select(
-            F.concat_ws("_", F.col(split_col), F.col(id_col).cast("string")).alias("id"),
-            F.col(split_col).alias("split"),
-            text.alias("combined_text"),
-        )
-        .where(F.col("combined_text") != "")
-        .withColumn("text_length", F.char_length("combined_text"))
+    named = df.select(
+        F.concat_ws("_", F.col(split_col), F.col(id_col).cast("string")).alias("id"), F.col(split_col).alias("split"),
+        F.explode(F.array(tx.flatten_record(df, exclude=(id_col, split_col)))).alias("combined_text"),
     )
+    return named.where(F.col("combined_text") != "").withColumn("text_length", F.char_length("combined_text"))
 
 
 def annotation_corpus(combined: DataFrame, source: str | Column, min_length: int = 50, max_length: int = 5000) -> DataFrame:
     """Texts of admissible length, cleaned; the minimum is checked again after cleaning."""
     return (
-        combined.where(F.col("text_length").between(min_length, max_length))
-        .select("id", "split", tx.clean_corpus_text(F.col("combined_text")).alias("text"),
-                F.col("text_length").alias("original_length"))
+        once(combined.where(F.col("text_length").between(min_length, max_length)), "text", tx.clean_corpus_text(F.col("combined_text")))
+        .select("id", "split", "text", F.col("text_length").alias("original_length"))
         .withColumn("cleaned_length", F.char_length("text"))
         .where(F.col("cleaned_length") >= min_length)
         .withColumn("source", source if isinstance(source, Column) else F.lit(source))

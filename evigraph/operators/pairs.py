@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evigraph.functions import text as tx
+from evigraph.session import once
 
 
 def explode_pairs(
@@ -29,15 +30,8 @@ def explode_pairs(
     items = items.withColumn("_item", F.regexp_replace("_item", r"(?U)^\s+|\s+$", "")).where(F.col("_item") != "")
     if not distinct:
         return items.select("entity_id", F.col("_name").alias("entity"), F.col("_item").alias("feature"))
-    return (
-        items.select(
-            "entity_id",
-            tx.normalise(F.col("_name")).alias("entity"),
-            tx.normalise_feature(F.col("_item"), strict=strict).alias("feature"),
-        )
-        .where(F.length("feature") > 1)
-        .dropDuplicates()
-    )
+    named = once(items, "feature", tx.normalise_feature(F.col("_item"), strict=strict)).where(F.length("feature") > 1)
+    return named.select("entity_id", tx.normalise(F.col("_name")).alias("entity"), "feature").dropDuplicates()
 
 
 def distinct_counts(pairs: DataFrame) -> DataFrame:

@@ -6,7 +6,8 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Runtime settings that the plans rely on. Only SQL confs, so they can be applied to a running session.
 RUNTIME_CONF = {
@@ -86,3 +87,12 @@ def widen(df: DataFrame) -> DataFrame:
     """Spread a scan that has fewer partitions than there are cores; a wide one stays as it is."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def once(df: DataFrame, name: str, expression: Column) -> DataFrame:
+    """Add a costly column so that it is computed a single time per row.
+
+    A filter on a plain projected column is pushed below the projection and repeats the expression
+    there; the one-item explode keeps it where it is, inside the same stage.
+    """
+    return df.select("*", F.explode(F.array(expression)).alias(name))
