@@ -7,6 +7,7 @@ error_type, error_message``.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -206,13 +207,16 @@ ALERT_RULES = [
 ]
 
 
+_PREDICATE_WORDS = {"and", "or", "not", "is", "null", "between", "in", "true", "false"}
+
+
 def alert_candidates(stats: DataFrame, rules: Sequence[tuple[str, str, str, str]] = ALERT_RULES) -> DataFrame:
     """Rule hits per statistics row: ``ts, name, severity, message``. A missing statistic never fires."""
-    have = set(stats.columns)
+    words = {w for _, cond, _, _ in rules for w in re.findall(r"[A-Za-z_]\w*", cond) if w.lower() not in _PREDICATE_WORDS}
+    stats = stats.withColumns({w: F.lit(None).cast("double") for w in sorted(words - set(stats.columns))})
     hits = F.array(*[
         F.when(F.expr(cond), F.struct(F.lit(n).alias("name"), F.lit(s).alias("severity"), F.lit(m).alias("message")))
         for n, cond, s, m in rules
-        if any(c in cond for c in have)
     ])
     return stats.select("ts", F.explode(F.filter(hits, lambda h: h.isNotNull())).alias("a")).select("ts", "a.*")
 

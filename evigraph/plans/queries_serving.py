@@ -265,11 +265,11 @@ def cache_keys(spark, sf_dir):
 
 
 def _reuse(spark, sf_dir):
-    """Stored results of the opening messages serve all user messages."""
+    """Stored results of the assistant's messages serve the messages of everybody."""
     m = messages(spark, sf_dir)
     at = F.to_timestamp(F.lit("2024-02-01 00:00:00"))
-    opening = mm.keyed(m.where(F.col("turn") <= 1).select(F.col("text").alias("input")), "length").groupBy("key_hash").agg(F.min("input").alias("input"))
-    store = opening.select(F.lit("length").alias("component"), "key_hash", "input", F.char_length("input").cast("string").alias("result"),
+    stored = mm.keyed(m.where(F.col("role") == "assistant").select(F.col("text").alias("input")), "length").groupBy("key_hash").agg(F.min("input").alias("input"))
+    store = stored.select(F.lit("length").alias("component"), "key_hash", "input", F.char_length("input").cast("string").alias("result"),
                            (at - F.expr("INTERVAL 10 MINUTES")).alias("stored_at"), F.lit(0).cast("bigint").alias("hits"))
     compute = lambda missing: missing.withColumn("result", F.char_length("input").cast("string"))
     return mm.reuse(m.select("conv_id", "turn", F.col("text").alias("input")), store, "length", compute, at, max_bytes=2)
@@ -354,8 +354,8 @@ apart AS (SELECT conv_id, count(*) > 1 AND var_pop(c) > 0.1 AS contra FROM resp0
 resp AS (SELECT *, 1 - c AS u, c < 0.7 AS lowc, 1 - c > 0.5 AS highu FROM resp0 JOIN apart USING (conv_id))"""
 
 KEY = "'medical:length:' || substr(sha256(lower(trim(text, ' ' || chr(10) || chr(9) || chr(13)))), 1, 16)"
-MEMO = f"""req AS (SELECT conv_id, turn, text, {KEY} AS k FROM conversations),
-st AS (SELECT k, length(min(text))::VARCHAR AS result FROM req WHERE turn <= 1 GROUP BY k)"""
+MEMO = f"""req AS (SELECT conv_id, turn, role, text, {KEY} AS k FROM conversations),
+st AS (SELECT k, length(min(text))::VARCHAR AS result FROM req WHERE role = 'assistant' GROUP BY k)"""
 
 QUERIES = {
     "perf_summary": (perf_summary, _perf_sql("")),

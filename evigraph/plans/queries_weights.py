@@ -24,10 +24,7 @@ def graph_tables(spark: SparkSession, sf_dir: str):
 
 
 def feature_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One query per supplier: the names of the parts it ships most often in its nation's region.
-
-    A supplier's three most frequent part names stand for the features a user would type in.
-    """
+    """One query per supplier: its three most frequent part names stand for the features a user types in."""
     lines = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey")
     parts = table(spark, sf_dir, "part").select("p_partkey", "p_name")
     counted = (

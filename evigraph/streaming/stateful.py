@@ -56,13 +56,14 @@ def alerts(stats: DataFrame, rules: Sequence[tuple[str, str, str, str]] = ALERT_
 
 
 def deliver(alert_rows: DataFrame, handlers: Sequence[Callable[[DataFrame, int], None]], checkpoint: str):
-    """Start a query that hands every batch of alerts to the handlers."""
+    """Start a query that hands every batch of alerts to the handlers; an empty batch goes unreported."""
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        for handler in handlers:
-            handler(batch, batch_id)
+        if not batch.isEmpty():
+            for handler in handlers:
+                handler(batch, batch_id)
 
-    return alert_rows.writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(each)
+    return alert_rows.writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(each).start()
 
 
 _REL = "source_type STRING, accuracy DOUBLE, precision DOUBLE, recall DOUBLE, batches BIGINT"

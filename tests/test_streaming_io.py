@@ -52,6 +52,12 @@ def test_alert_refire(spark, tmp_path):
     stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "s"))
     got = run(st.alerts(stream), "alerts").select(F.unix_timestamp("ts").alias("s"), "name").collect()
     assert sorted((r.s, r.name) for r in got) == [(0, "high_error_rate"), (3601, "high_error_rate")]
+    seen = []
+    own = [("half", "error_rate >= 0.5 AND total IS NULL", "info", "own rule")]
+    q = st.deliver(mo.alert_candidates(stream, own), [lambda rows, i: seen.append(rows.count())], str(tmp_path / "cp"))
+    q.processAllAvailable()
+    q.stop()
+    assert sum(seen) == 4
 
 
 def test_reliability_stream_equals_batch(spark, tmp_path):
