@@ -357,6 +357,13 @@ KEY = "'medical:length:' || substr(sha256(lower(trim(text, ' ' || chr(10) || chr
 MEMO = f"""req AS (SELECT conv_id, turn, role, text, {KEY} AS k FROM conversations),
 st AS (SELECT k, length(min(text))::VARCHAR AS result FROM req WHERE role = 'assistant' GROUP BY k)"""
 
+NOTED = "contains(lower(text), 'consult') OR contains(lower(text), 'healthcare professional')"
+
+
+def _terms(terms: list[str]) -> str:
+    return "(" + " + ".join(f"contains(l, '{t}')::INT" for t in terms) + ")"
+
+
 QUERIES = {
     "perf_summary": (perf_summary, _perf_sql("")),
     "perf_by_component": (perf_by_component, _perf_sql("component")),
@@ -422,8 +429,19 @@ QUERIES = {
     "safety_risk": (safety_risk, f"""WITH {RESP} SELECT conv_id, turn, CASE WHEN c < 0.5 OR u > 0.7 OR contra OR lowc OR highu THEN 'moderate' ELSE 'low' END AS risk_level,
           contra AS human_review_required, round(CASE WHEN highu OR contra OR lowc THEN greatest(0, c - (highu::INT * 0.2 + contra::INT * 0.3 + lowc::INT * 0.1)) END + 1e-9, 6)
           AS confidence_override FROM resp"""),
-    "safety_sanitized": (safety_sanitized, None),
-    "response_parse": (response_parse, None),
+    "safety_sanitized": (safety_sanitized, f"""WITH {RESP} SELECT conv_id, turn, array_to_string(list_filter([
+          array_to_string(list_transform(list_filter([CASE WHEN lowc THEN '{sf.WARNINGS['low_confidence']}' END,
+            CASE WHEN highu THEN '{sf.WARNINGS['high_uncertainty']}' END, CASE WHEN contra THEN '{sf.WARNINGS['contradictory_evidence']}' END],
+            lambda x: x IS NOT NULL), lambda x: 'WARNING: ' || x), chr(10)), text,
+          array_to_string(list_transform(list_filter(['{sf.GENERAL_DISCLAIMER}', '{sf.ENTITY_DISCLAIMER}',
+            CASE WHEN highu THEN '{sf.DISCLAIMERS['high_uncertainty']}' END], lambda x: x IS NOT NULL), lambda x: 'DISCLAIMER: ' || x), chr(10)),
+          array_to_string(list_transform(list_filter([CASE WHEN lowc OR highu THEN 'Arrange an appointment for a proper evaluation.' END,
+            CASE WHEN contra THEN 'Consider a second opinion.' END], lambda x: x IS NOT NULL), lambda x: 'RECOMMENDATION: ' || x), chr(10))],
+          lambda x: x IS NOT NULL AND x <> ''), chr(10) || chr(10)) AS sanitized FROM resp"""),
+    "response_parse": (response_parse, f"""WITH r AS (SELECT conv_id, turn, text, lower(text) AS l, {NOTED} AS noted FROM conversations WHERE role = 'assistant')
+        SELECT conv_id, turn, {_r(f"least(0.9, greatest(0.1, 0.6 + 0.1 * {_terms(tx.SURE_TERMS)} - 0.1 * {_terms(tx.UNSURE_TERMS)} - 0.05 * {_terms(tx.HEDGE_TERMS)} + 0.05 * noted::INT))", 'confidence')},
+          len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')) + CASE WHEN noted THEN 0 ELSE {len(tx.NOTICE.split())} END AS word_count,
+          contains(l, 'disclaimer') OR contains(l, 'consult') AS has_disclaimers, 0 AS steps FROM r"""),
     "conversation_latest": (conversation_latest, """SELECT conv_id, substr(max_by(text, turn), 1, 30) AS latest, count(*) AS messages, max(turn) AS last_turn
         FROM conversations GROUP BY conv_id"""),
     "conversation_context": (conversation_context, """SELECT * FROM (SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS rank
