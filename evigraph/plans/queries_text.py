@@ -343,7 +343,7 @@ QUERIES = {
         FROM dc JOIN dated USING (doc_id) JOIN (SELECT doc_id, source FROM documents) USING (doc_id)"""),
     "collection_counts": (collection_counts, f"""WITH {DOC_CHUNKS}, {METADATA}, c AS (SELECT document_type AS collection, count(*) AS documents
         FROM dc JOIN dated USING (doc_id) GROUP BY ALL)
-        SELECT * FROM c UNION ALL SELECT 'total', sum(documents) FROM c"""),
+        SELECT * FROM c UNION ALL SELECT 'total', sum(documents)::BIGINT FROM c"""),
     "dictionary_containment": (dictionary_containment, f'WITH {FOUND} SELECT doc_id, label, name, s AS start, e AS "end" FROM found'),
     "dictionary_extract": (dictionary_extract, f"""WITH {KEPT} SELECT doc_id, k.label, k.name, k.mention, k.s AS start, k.e AS "end",
         0.8::DOUBLE AS confidence FROM kept"""),
@@ -396,6 +396,6 @@ QUERIES = {
     "classification_metrics": (classification_metrics, """WITH c AS (SELECT unnest([0, 1]) AS c), f AS (SELECT c,
           count(*) FILTER (quality = c AND toxic = c) AS tp, count(*) FILTER (quality = c) AS t, count(*) FILTER (toxic = c) AS p
           FROM c, labels GROUP BY c), g AS (SELECT *, 2 * tp / (t + p) AS f1 FROM f)
-        SELECT sum(t) AS n, round(sum(tp) / sum(t) + 1e-9, 6) AS accuracy, round(avg(f1) + 1e-9, 6) AS f1_macro,
+        SELECT sum(t)::BIGINT AS n, round(sum(tp) / sum(t) + 1e-9, 6) AS accuracy, round(avg(f1) + 1e-9, 6) AS f1_macro,
           round(sum(f1 * t) / sum(t) + 1e-9, 6) AS f1_weighted FROM g"""),
 }

@@ -274,7 +274,7 @@ QUERIES = {
                    'symptom_' || ('0x' || substr(md5(f), 1, 15))::BIGINT) AS feature_id
         FROM (SELECT doc_id, source, {_phrase_sql()} AS f FROM stripped) WHERE length(f) > 1"""),
     "pair_bag_from_text": (pair_bag_from_text, f"""WITH {NORMALISED} SELECT doc_id AS entity_id, count(*) AS items,
-        count(DISTINCT item) AS distinct_items, sum(length(item)) AS chars FROM items WHERE item <> '' GROUP BY ALL"""),
+        count(DISTINCT item) AS distinct_items, sum(length(item))::BIGINT AS chars FROM items WHERE item <> '' GROUP BY ALL"""),
     "graph_stats": (graph_stats, f"""WITH {GRAPH}, c AS (SELECT (SELECT count(*) FROM entities) AS e,
           (SELECT count(*) FROM features) AS f, (SELECT count(*) FROM edges) AS r)
         SELECT unnest(['entities', 'features', 'has_feature', 'indicates', 'total_nodes', 'total_relationships']) AS metric,
