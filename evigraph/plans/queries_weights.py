@@ -146,7 +146,7 @@ def entity_validate(spark, sf_dir):
 
 def rank_entities_by_features(spark, sf_dir):
     ranked = gr.rank_entities(feature_queries(spark, sf_dir), *graph_tables(spark, sf_dir), min_weight=0.3, top_n=10)
-    return rounded(ranked, "total_score", places=4)
+    return rounded(ranked, "total_score", places=4).withColumn("matched_features", F.array_join("matched_features", ","))
 
 
 def related_with_additional(spark, sf_dir):
@@ -300,7 +300,7 @@ QUERIES = {
         FROM req r LEFT JOIN features f ON lower(r.name) = f.name"""),
     "rank_entities_by_features": (rank_entities_by_features, f"""WITH {GRAPH} {QUERY_ROWS}
         SELECT query_id, rank, entity_id, display AS entity_name, round(score + 1e-9, 4) AS total_score, n AS matched_count,
-          fs AS matched_features FROM ranked JOIN entities USING (entity_id) WHERE rank <= 10"""),
+          array_to_string(fs, ',') AS matched_features FROM ranked JOIN entities USING (entity_id) WHERE rank <= 10"""),
     "related_with_additional": (related_with_additional, f"""WITH {GRAPH} {QUERY_ROWS},
         best AS (SELECT * FROM ranked WHERE rank <= 5),
         more AS (SELECT query_id, entity_id, display, w FROM best JOIN edges e USING (entity_id) JOIN features f ON f.feature_id = e.feature_id
