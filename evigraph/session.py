@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,8 +25,25 @@ RUNTIME_CONF = {
 }
 
 
+def ship(spark: SparkSession) -> None:
+    """Send the package to the Python workers of a session, once, wherever the driver was started."""
+    sc = spark.sparkContext
+    if getattr(sc, "_evigraph_shipped", False):
+        return
+    package = Path(__file__).parent
+    folder = tempfile.mkdtemp(prefix="evigraph-package-")  # Spark serves the archive from here to the executors
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    archive = os.path.join(folder, "evigraph_package.zip")
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as packed:
+        for source in sorted(package.rglob("*.py")):
+            packed.write(source, source.relative_to(package.parent))
+    sc.addPyFile(archive)
+    sc._evigraph_shipped = True
+
+
 def tune(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings to a session somebody else created."""
+    ship(spark)
     for key, value in RUNTIME_CONF.items():
         spark.conf.set(key, value)
     return spark
