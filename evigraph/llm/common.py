@@ -51,3 +51,9 @@ def text_key(text: str | Column) -> list[Column]:
 def scalars(df: DataFrame, *aggregates: Column) -> Sequence:
     """One row of totals; its size does not depend on the data."""
     return df.agg(*aggregates).first()
+
+
+def map_arrow(df: DataFrame, function, schema: str, records: int = 2000) -> DataFrame:
+    """``mapInArrow`` in batches of at most ``records`` rows."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(records))
+    return df.mapInArrow(function, schema)

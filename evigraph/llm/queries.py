@@ -6,8 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evigraph.llm.common import table
+from evigraph.llm.licences import licence_digest, scan_licences
 from evigraph.llm.mixing import mix
+from evigraph.llm.packing import pack_documents
 from evigraph.llm.sharding import shard
+from evigraph.llm.tokens import token_histogram
+
+
+def op2_token_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Encoded lengths of all documents with the suffix sums for every context limit."""
+    return token_histogram(table(spark, sf_dir, "documents"))
 
 
 def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,7 +69,20 @@ def op7_lpt_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_packed_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of 4,096 tokens."""
+    return pack_documents(table(spark, sf_dir, "documents"), 4096)
+
+
+def op10_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence phrases and identifier tags of all documents."""
+    return licence_digest(scan_licences(table(spark, sf_dir, "documents")))
+
+
 QUERIES = {
+    "op2_token_histogram": (op2_token_histogram, None),
     "op4_source_mix": (op4_source_mix, OP4_SQL),
     "op7_lpt_shards": (op7_lpt_shards, None),
+    "op9_packed_sequences": (op9_packed_sequences, None),
+    "op10_licence_scan": (op10_licence_scan, None),
 }
