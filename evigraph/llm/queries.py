@@ -9,10 +9,16 @@ from evigraph.llm.common import table
 from evigraph.llm.licences import licence_digest, scan_licences
 from evigraph.llm.mixing import mix
 from evigraph.llm.packing import pack_documents
+from evigraph.llm.quality import classify
 from evigraph.llm.sharding import shard
 from evigraph.llm.tokens import token_histogram
 
 
+def op1_quality_field(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of all documents by a conditional random field over their lines."""
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_token_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encoded lengths of all documents with the suffix sums for every context limit."""
     return token_histogram(table(spark, sf_dir, "documents"))
@@ -80,6 +86,7 @@ def op10_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_quality_field": (op1_quality_field, None),
     "op2_token_histogram": (op2_token_histogram, None),
     "op4_source_mix": (op4_source_mix, OP4_SQL),
     "op7_lpt_shards": (op7_lpt_shards, None),
