@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from evigraph.llm.common import table
 from evigraph.llm.licences import licence_digest, scan_licences
 from evigraph.llm.mixing import mix
+from evigraph.llm.neardup import near_duplicates
 from evigraph.llm.packing import pack_documents
 from evigraph.llm.quality import classify
 from evigraph.llm.sharding import shard
@@ -75,6 +76,11 @@ def op7_lpt_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes and links of all documents at a Jaccard similarity of 0.8 on five-word n-grams."""
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op9_packed_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of 4,096 tokens."""
     return pack_documents(table(spark, sf_dir, "documents"), 4096)
@@ -90,6 +96,7 @@ QUERIES = {
     "op2_token_histogram": (op2_token_histogram, None),
     "op4_source_mix": (op4_source_mix, OP4_SQL),
     "op7_lpt_shards": (op7_lpt_shards, None),
+    "op8_jaccard_join": (op8_jaccard_join, None),
     "op9_packed_sequences": (op9_packed_sequences, None),
     "op10_licence_scan": (op10_licence_scan, None),
 }
