@@ -13,6 +13,8 @@ from evigraph.llm.packing import pack_documents
 from evigraph.llm.quality import classify
 from evigraph.llm.sharding import shard
 from evigraph.llm.tokens import token_histogram
+from evigraph.llm.topk import top_k
+from evigraph.llm.vectordup import near_vectors
 
 
 def op1_quality_field(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,6 +27,24 @@ def op2_token_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_histogram(table(spark, sf_dir, "documents"))
 
 
+def op3_threshold_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five best rows of all embeddings for every fiftieth."""
+    return top_k(table(spark, sf_dir, "embeddings"))
+
+
+OP3_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q FROM embeddings
+  WHERE embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(embedding) > 0),
+s AS (
+  SELECT a.vec_id AS query_id, b.vec_id, list_dot_product(a.q, b.q)::BIGINT AS score
+  FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+
 def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed to weights 1, 2, 3 with at most three epochs a source."""
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
@@ -69,6 +89,30 @@ FROM p
 """
 
 
+def op5_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all embeddings at a cosine of 0.9."""
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+OP5_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, embedding::DOUBLE[] AS e,
+         coalesce(len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+                  AND len(list_filter(embedding, lambda x: x <> 0)) > 0, false) AS ok
+  FROM embeddings),
+l AS (
+  SELECT a.vec_id AS u, b.vec_id AS w FROM v a JOIN v b
+  ON a.ok AND b.ok AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.9),
+c AS (
+  SELECT vec_id AS u, vec_id AS root FROM v
+  UNION
+  SELECT l.w, c.root FROM c JOIN l ON l.u = c.u)
+SELECT v.vec_id, (SELECT count(*) FROM l WHERE l.u = v.vec_id) AS n_links, min(c.root) AS component_id,
+       min(c.root) = v.vec_id AS kept
+FROM v JOIN c ON c.u = v.vec_id GROUP BY v.vec_id
+"""
+
+
 def op7_lpt_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 16 shards of nearly equal bytes, equal texts together."""
     return shard(table(spark, sf_dir, "documents"), 16).select(
@@ -94,7 +138,9 @@ def op10_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_quality_field": (op1_quality_field, None),
     "op2_token_histogram": (op2_token_histogram, None),
+    "op3_threshold_topk": (op3_threshold_topk, OP3_SQL),
     "op4_source_mix": (op4_source_mix, OP4_SQL),
+    "op5_near_vectors": (op5_near_vectors, OP5_SQL),
     "op7_lpt_shards": (op7_lpt_shards, None),
     "op8_jaccard_join": (op8_jaccard_join, None),
     "op9_packed_sequences": (op9_packed_sequences, None),
