@@ -12,6 +12,7 @@ from evigraph.llm.neardup import near_duplicates
 from evigraph.llm.packing import pack_documents
 from evigraph.llm.quality import classify
 from evigraph.llm.sharding import shard
+from evigraph.llm.suffixdup import repeat_digest
 from evigraph.llm.tokens import token_histogram
 from evigraph.llm.topk import top_k
 from evigraph.llm.vectordup import near_vectors
@@ -113,6 +114,11 @@ FROM v JOIN c ON c.u = v.vec_id GROUP BY v.vec_id
 """
 
 
+def op6_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without strings of 200 bytes that start anywhere else too."""
+    return repeat_digest(table(spark, sf_dir, "documents"))
+
+
 def op7_lpt_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 16 shards of nearly equal bytes, equal texts together."""
     return shard(table(spark, sf_dir, "documents"), 16).select(
@@ -141,6 +147,7 @@ QUERIES = {
     "op3_threshold_topk": (op3_threshold_topk, OP3_SQL),
     "op4_source_mix": (op4_source_mix, OP4_SQL),
     "op5_near_vectors": (op5_near_vectors, OP5_SQL),
+    "op6_repeated_bytes": (op6_repeated_bytes, None),
     "op7_lpt_shards": (op7_lpt_shards, None),
     "op8_jaccard_join": (op8_jaccard_join, None),
     "op9_packed_sequences": (op9_packed_sequences, None),

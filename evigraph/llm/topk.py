@@ -51,8 +51,8 @@ def threshold_search(query: np.ndarray, own: int, matrix: np.ndarray, ids: np.nd
             score = matrix[fresh] @ query
             floor = best[-1][0] if len(best) == k else -np.inf
             fit = np.flatnonzero(score >= floor)
-            if len(fit) > 4 * k:
-                low = np.partition(score[fit], len(fit) - k)[len(fit) - k]
+            if len(fit) > 4 * k:  # the query's own row may be one of the best
+                low = np.partition(score[fit], len(fit) - k - 1)[len(fit) - k - 1]
                 fit = fit[score[fit] >= low]
             rows = fresh[fit]
             best = sorted(
