@@ -123,11 +123,12 @@ def improve(bins: Bins, sizes: list[int]) -> None:
             gave += gave_now
             if not gave_now or not bins.items[a]:
                 break
-        if not bins.items[a]:
-            used -= 1
+        if gave:  # bins that could not give before may now
             stuck.clear()
-        else:
+        if bins.items[a]:
             stuck.add(a)
+        else:
+            used -= 1
 
 
 def _give(bins: Bins, sizes: list[int], a: int, i: int, others: list[int]) -> bool:
