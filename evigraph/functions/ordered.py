@@ -56,7 +56,7 @@ def exact_ranks(
         )
 
     bounds = sketch.select(*g, "n", F.array(*[bracket(t) for t in names]).alias("_b"))
-    joined = rows.join(bounds, g) if g else _with_single_row(rows, bounds, ["n", "_b"])
+    joined = same_groups(rows, bounds, g) if g else _with_single_row(rows, bounds, ["n", "_b"])
     hits = (
         joined.select(*g, "n", "_v", F.explode("_b").alias("_t"))
         .where(F.col("_v") <= F.col("_t.high"))
@@ -93,6 +93,13 @@ def nearest_rank(p: float) -> Callable[[Column], Column]:
     return lambda n: F.least(F.floor(F.lit(p / 100.0) * n), n - 1)
 
 
+def same_groups(left: DataFrame, right: DataFrame, group_cols: Sequence[str]) -> DataFrame:
+    """Inner join on group columns in which null is a group like any other."""
+    named = right.withColumnsRenamed({c: f"_same_{c}" for c in group_cols})
+    on = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_same_{c}")) for c in group_cols])
+    return left.join(named, on).drop(*[f"_same_{c}" for c in group_cols])
+
+
 def median_low(n: Column) -> Column:
     return F.floor((n - 1) / 2)
 
@@ -167,7 +174,3 @@ def top_per_group(df: DataFrame, group_cols: Sequence[str], order: Sequence[Colu
     """First k rows of each group. Spark prunes to k rows per group before the shuffle."""
     w = Window.partitionBy(*group_cols).orderBy(*order)
     return df.withColumn(rank, F.row_number().over(w)).where(F.col(rank) <= k)
-
-
-def all_of(conditions: Sequence[Column]) -> Column:
-    return reduce(lambda a, b: a & b, conditions)

@@ -86,53 +86,6 @@ def annotation_statistics(annotated: DataFrame, edges: DataFrame, kb_names: Data
     )
 
 
-# Our own sentence templates and fillers for the synthetic corpus.
-TEMPLATES = [
-    "A {age} {gender} reports {symptom} for {duration}; {disease} is considered.",
-    "{disease} was noted {when} in a {age} {gender} with {symptom}.",
-    "For {duration} the {age} {gender} has had {symptom}, which may point to {disease}.",
-    "Known {disease}, now with {symptom} {when}.",
-]
-FILLERS = {
-    "age": ["young", "middle-aged", "older"],
-    "gender": ["person", "patient", "visitor"],
-    "duration": ["two days", "one week", "three months"],
-    "when": ["yesterday", "last month", "this morning"],
-}
-
-
-def synthetic_corpus(entities: DataFrame, features: DataFrame, n: int, seed: int = 42) -> DataFrame:
-    """n annotated sentences from templates, an entity name and a feature name each.
-
-    ``entities`` and ``features`` carry ``idx`` (0 .. count-1), ``name``, ``display_name``; names are
-    picked by hash and fetched by an equi-join on the index.
-    """
-    spark = entities.sparkSession
-    sizes = F.struct(
-        entities.agg(F.count(F.lit(1))).scalar().alias("e"), features.agg(F.count(F.lit(1))).scalar().alias("f")
-    )
-    pick = lambda what, size: F.pmod(hash60(F.lit(seed), F.lit(what), F.col("i")), size)
-    rows = spark.range(n).select(F.col("id").alias("i")).withColumn("_n", sizes)
-    rows = rows.withColumn("_e", pick("entity", F.col("_n.e"))).withColumn("_f", pick("feature", F.col("_n.f")))
-    e = entities.select(F.col("idx").alias("_e"), F.col("name").alias("e_name"), F.col("display_name").alias("e_display"))
-    f = features.select(F.col("idx").alias("_f"), F.col("name").alias("f_name"), F.col("display_name").alias("f_display"))
-    rows = rows.join(e, "_e").join(f, "_f")
-    choose = lambda what, options: F.element_at(
-        F.array(*[F.lit(o) for o in options]), (pick(what, F.lit(len(options))) + 1).cast("int")
-    )
-    text = choose("template", TEMPLATES)
-    for slot, options in FILLERS.items():
-        text = F.replace(text, F.lit("{%s}" % slot), choose(slot, options))
-    text = F.replace(F.replace(text, F.lit("{disease}"), F.col("e_name")), F.lit("{symptom}"), F.col("f_name"))
-    rows = rows.withColumn("text", text)
-    return rows.select(
-        F.concat(F.lit("synthetic_"), F.col("i").cast("string")).alias("id"),
-        "text",
-        _annotation("e_name", "e_display").alias("diseases"),
-        _annotation("f_name", "f_display").alias("symptoms"),
-    )
-
-
 def _annotation(name: str, display: str) -> Column:
     at = (F.instr(F.col("text"), F.col(name)) - 1).cast("int")
     return F.filter(
@@ -264,8 +217,3 @@ def instruction_rows(conversations: DataFrame, end_mark: str = "</s>") -> DataFr
     ).withColumn("instruction", F.lit(INSTRUCTION)).withColumn(
         "text", F.format_string(PROMPT, "instruction", "input", "output", F.lit(end_mark))
     )
-
-
-def first_rows(df: DataFrame, order_cols: list[str], n: int) -> DataFrame:
-    """Leading n rows in a stated order (a size limit asked for by the caller)."""
-    return df.orderBy(*order_cols).limit(n)

@@ -46,51 +46,53 @@ def alias_candidates(mentions: DataFrame, names: DataFrame, all_names: DataFrame
     return _rows(hits, F.lit(0.9), 1)
 
 
-def _rare_prefix(texts: DataFrame, col: str, rarity: DataFrame, minimum: float) -> DataFrame:
-    """Character tokens of each text, rarest first, cut to the part in which a match must share one.
+def _triples(texts: DataFrame, col: str, rarity: DataFrame, minimum: float, first: bool) -> DataFrame:
+    """Keys of each text per partner length: three of its rarest character tokens and both lengths.
 
-    A ratio of at least r with a text of the same length band needs t = ceil(r/2 * (la + lb)) common
-    characters with lb >= r/(2-r) * la, so any partner shares one of the la - t_min + 1 rarest tokens.
+    Texts of la and lb characters with a ratio of at least r have t = ceil(r/2 * (la + lb)) characters in
+    common, so at least three of them (t, if that is less) are among the la - t + 3 rarest tokens of one
+    and the lb - t + 3 rarest of the other: they share a triple. Where t is below three, filler tokens
+    that every text has take the missing places.
     """
     length = F.char_length(col)
-    shortest = F.ceil(F.lit(minimum / (2 - minimum)) * length - 1e-9)
-    needed = F.ceil(F.lit(minimum / 2) * (length + shortest) - 1e-9)
-    tokens = similarity.char_tokens(texts, col)
-    ranked = tokens.join(rarity, "token", "left").groupBy(col).agg(
-        F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "token"))).alias("_o")
+    ordered = similarity.char_tokens(texts, col).join(rarity, "token", "left").groupBy(col).agg(
+        F.transform(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "token"))), lambda x: x["token"]).alias("_o")
     )
-    prefix = F.slice("_o", 1, F.greatest(length - needed + 1, F.lit(1)).cast("int"))
-    return ranked.select(col, F.explode(prefix).alias("_p")).select(col, "_p.token")
+    shortest = F.ceil(F.lit(minimum / (2 - minimum)) * length - 1e-9)
+    longest = F.floor(F.lit((2 - minimum) / minimum) * length + 1e-9)
+    partner = ordered.withColumn("_l", F.explode(F.sequence(F.greatest(shortest, F.lit(1)), longest)))
+    common = F.ceil(F.lit(minimum / 2) * (length + F.col("_l")) - 1e-9)
+    filler = F.slice(F.array(F.lit("\x01"), F.lit("\x02")), F.lit(1), F.greatest(3 - common, F.lit(0)).cast("int"))
+    prefix = F.concat(filler, F.slice("_o", F.lit(1), (length - common + F.least(common, F.lit(3))).cast("int")))
+    rest = lambda at: F.slice("_p", at + 2, F.greatest(F.size("_p") - at - 1, F.lit(0)))
+    one = partner.select(col, "_l", prefix.alias("_p")).select("*", F.posexplode("_p").alias("_i", "_a"))
+    two = one.select("*", F.posexplode(rest(F.col("_i"))).alias("_j", "_b"))
+    three = two.select("*", F.explode(rest(F.col("_i") + F.col("_j") + 1)).alias("_c"))
+    pair = (length, F.col("_l")) if first else (F.col("_l"), length)
+    return three.select(col, F.xxhash64(*[x.cast("int") for x in pair], "_a", "_b", "_c").alias("key"))
 
 
 def fuzzy_pairs(mentions: DataFrame, names: DataFrame, minimum: float = FUZZY_MIN) -> DataFrame:
     """Distinct (mention, name) texts with a sequence ratio in [minimum, 1).
 
-    Exact filters before any Python: a shared rare character token (an equi-join, not all pairs of a
-    length), the length band and the edit distance, none of which a qualifying pair can fail.
+    Exact filters before any Python, none of which a qualifying pair can fail: a shared triple of rare
+    character tokens for the very pair of lengths (an equi-join), then the edit distance.
     """
-    words = names.select("name").distinct()
-    asked = mentions.select("mention").distinct()
+    words = names.select("name").where(F.char_length("name") > 0).distinct()
+    asked = mentions.select("mention").where(F.char_length("mention") > 0).distinct()
     rarity = (
         similarity.char_tokens(words, "name")
         .groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     )
-    left = _rare_prefix(asked, "mention", rarity, minimum)
-    right = _rare_prefix(words, "name", rarity, minimum)
-    la, lb = F.char_length("mention"), F.char_length("name")
-    total = la + lb
+    left = _triples(asked, "mention", rarity, minimum, True)
+    right = _triples(words, "name", rarity, minimum, False)
+    met = left.join(right, "key").where(F.col("mention") != F.col("name")).select("mention", "name").distinct()
+    total = F.char_length("mention") + F.char_length("name")
     limit = F.floor(F.lit(1 - minimum) * total + 1e-9).cast("int")
-    candidates = (
-        left.join(right, "token")
-        .where((2 * F.least(la, lb) >= F.lit(minimum) * total - 1e-9) & (F.col("mention") != F.col("name")))
-        # unmatched characters bound the edit distance from above; native, and it stops at the limit
-        .where(F.levenshtein("mention", "name") <= limit)
-        .select("mention", "name")
-        .distinct()
-    )
-    candidates = spread(candidates)
+    # unmatched characters bound the edit distance from above; native, and it stops at the limit
+    near = spread(met.where(F.levenshtein("mention", "name") <= limit))
     return (
-        candidates.select("mention", "name", similarity.sequence_ratio("mention", "name").alias("ratio"))
+        near.select("mention", "name", similarity.sequence_ratio("mention", "name").alias("ratio"))
         .where((F.col("ratio") >= minimum) & (F.col("ratio") < 1.0))
     )
 

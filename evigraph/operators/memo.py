@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from evigraph.functions import text as tx
 from evigraph.functions.numeric import ratio
+from evigraph.session import cut_lineage
 
 
 def keyed(inputs: DataFrame, component: str | Column, input_col: str = "input") -> DataFrame:
@@ -39,7 +40,8 @@ def reuse(
     """
     asked = keyed(requests, component)
     valid = fresh(store.where(F.col("component") == component), as_of, ttl_seconds)
-    new = compute(missing_inputs(asked, valid)).select("key_hash", "result")
+    # written once: both results read the table, so the function runs once per missing input
+    new = cut_lineage(compute(missing_inputs(asked, valid)).select("key_hash", "result"))
     results = valid.select("key_hash", "result", F.lit(True).alias("hit")).unionByName(new.withColumn("hit", F.lit(False)))
     answered = asked.join(results, "key_hash", "left")
     uses = asked.groupBy("key_hash").agg(F.count(F.lit(1)).alias("_u"), F.min("input").alias("_i"))

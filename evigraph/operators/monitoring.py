@@ -47,7 +47,7 @@ def performance_summary(events: DataFrame, by: Sequence[str] = ()) -> DataFrame:
         "_m0": od.median_low, "_m1": od.median_high,
         "p95_response_time": od.nearest_rank(95), "p99_response_time": od.nearest_rank(99),
     }).withColumn("median_response_time", (F.col("_m0") + F.col("_m1")) / 2).drop("_m0", "_m1", "n")
-    return base.join(ranks, by) if by else od.attach_scalars(base, ranks)
+    return od.same_groups(base, ranks, by) if by else od.attach_scalars(base, ranks)
 
 
 def accuracy_summary(events: DataFrame) -> DataFrame:

@@ -37,7 +37,7 @@ def _best(queries: tuple[np.ndarray, np.ndarray], pdf: pd.DataFrame, n: int, lim
     """Best n of one batch per query and collection; only these leave the task."""
     ids, q = queries
     out = []
-    for collection, part in pdf.groupby("collection", sort=False):
+    for collection, part in pdf.groupby("collection", sort=False, dropna=False):
         x = np.stack([np.asarray(v, dtype="float64") for v in part["embedding"]])
         keys = part["chunk_id"].to_numpy()
         if metric == "cosine":

@@ -67,11 +67,8 @@ class SafetyLimits:
 
     diagnosis_claim: float = 0.95
     treatment_advice: float = 0.90
-    medication_info: float = 0.85
     general_info: float = 0.70
-    acceptable_uncertainty: float = 0.3
     concerning_uncertainty: float = 0.5
-    unacceptable_uncertainty: float = 0.7
     detect_emergencies: bool = True
     block_diagnosis_claims: bool = True
     block_treatment: bool = True
@@ -179,9 +176,14 @@ def assess(responses: DataFrame, limits: SafetyLimits = SafetyLimits()) -> DataF
     return out.withColumn("human_review_required", review).drop(*[f"_{k}" for k in raised])
 
 
-def sanitize(assessed: DataFrame) -> DataFrame:
-    """Adds ``sanitized``: blocked passages masked, warnings before, notices and advice after the text."""
-    masked = reduce(lambda acc, p: F.regexp_replace(acc, "(?i)" + p, MASK), DIAGNOSIS_PATTERNS + TREATMENT_PATTERNS, F.col("response"))
+def sanitize(assessed: DataFrame, limits: SafetyLimits = SafetyLimits()) -> DataFrame:
+    """Adds ``sanitized``: blocked passages masked, warnings before, notices and advice after the text.
+
+    Only the pattern groups that ``limits`` blocks are masked; pass the limits of the assessment.
+    """
+    groups = ((limits.block_diagnosis_claims, DIAGNOSIS_PATTERNS), (limits.block_treatment, TREATMENT_PATTERNS))
+    patterns = [p for on, group in groups if on for p in group]
+    masked = reduce(lambda acc, p: F.regexp_replace(acc, "(?i)" + p, MASK), patterns, F.col("response"))
     masked = F.when(F.size("blocked_content") > 0, masked).otherwise(F.col("response"))
     block = lambda c, word: F.nullif(F.array_join(F.transform(c, lambda x: F.concat(F.lit(word + ": "), x)), "\n"), F.lit(""))
     return assessed.withColumn(

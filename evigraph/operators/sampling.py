@@ -29,14 +29,15 @@ def split_exact(df: DataFrame, id_col: str, test_fraction: float = 0.2, seed: in
 
 
 def split_stratified(df: DataFrame, id_col: str, label_col: str, val: float = 0.15, test: float = 0.15, seed: int = 42) -> DataFrame:
-    """Adds ``part`` with the same shares inside every label; one label may hold most rows."""
-    rows = df.withColumn("_h", hash60(F.lit(seed), F.col(id_col)))
-    cuts = exact_ranks(rows, [label_col], "_h", {
+    """Adds ``part`` with the same shares inside every label; one label may hold most rows. Null is a label."""
+    label = F.when(F.col(label_col).isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), F.col(label_col).cast("string")))
+    rows = df.withColumn("_h", hash60(F.lit(seed), F.col(id_col))).withColumn("_label", label)
+    cuts = exact_ranks(rows, ["_label"], "_h", {
         "_a": lambda n: F.floor(n * F.lit(1 - val - test) + 1e-9) - 1,
         "_b": lambda n: F.floor(n * F.lit(1 - test) + 1e-9) - 1,
     }).drop("n")
-    return rows.join(cuts, label_col, "left").withColumn(
-        "part", _label(F.col("_h"), [("train", "_a"), ("val", "_b")], "test")).drop("_h", "_a", "_b")
+    return rows.join(cuts, "_label", "left").withColumn(
+        "part", _label(F.col("_h"), [("train", "_a"), ("val", "_b")], "test")).drop("_h", "_a", "_b", "_label")
 
 
 def split_leading(df: DataFrame, order_col: str, fraction: float = 0.8) -> DataFrame:

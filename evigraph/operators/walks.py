@@ -10,7 +10,6 @@ from evigraph.functions.ordered import spread_running
 from evigraph.session import cut_lineage
 
 BUCKETS = 64
-MAX_LOCAL_CELLS = 100_000_000
 
 
 def adjacency(edges: DataFrame) -> DataFrame:
@@ -63,25 +62,10 @@ def random_walks(edges: DataFrame, num_walks: int = 80, length: int = 20, seed:
     return walks.select("start", "walk", "path")
 
 
-def node_embeddings(walks: DataFrame, dim: int = 96, window: int = 5, epochs: int = 5, seed: int = 42, method: str = "auto") -> DataFrame:
-    """Vectors ``kind, node, embedding`` of the nodes on the walks, split by node kind.
-
-    ``skipgram`` is MLlib's Word2Vec, which holds the vocabulary on the driver; ``auto`` uses it up
-    to a checked size and :func:`projected_embeddings` beyond.
-    """
-    if method == "auto":
-        nodes = walks.select("start").distinct().count()
-        method = "skipgram" if nodes * dim <= MAX_LOCAL_CELLS else "projection"
-    if method == "skipgram":
-        from pyspark.ml.feature import Word2Vec
-        from pyspark.ml.functions import vector_to_array
-
-        parts = max(1, walks.sparkSession.sparkContext.defaultParallelism)
-        model = Word2Vec(vectorSize=dim, windowSize=window, minCount=1, maxIter=epochs, seed=seed, numPartitions=parts,
-                         inputCol="path", outputCol="_v").fit(walks)
-        vectors = model.getVectors().select(F.col("word").alias("_n"), vector_to_array("vector").alias("embedding"))
-    else:
-        vectors = projected_embeddings(walks, dim, window, seed)
+def node_embeddings(walks: DataFrame, dim: int = 96, window: int = 5, seed: int = 42) -> DataFrame:
+    """Vectors ``kind, node, embedding`` of the nodes on the walks, split by node kind; see
+    :func:`projected_embeddings`, which is the one method at every size."""
+    vectors = projected_embeddings(walks, dim, window, seed)
     parts = F.split("_n", "::", 2)
     return vectors.select(F.when(F.get(parts, 0) == "d", "entity").otherwise("feature").alias("kind"), F.get(parts, 1).alias("node"), "embedding")
 

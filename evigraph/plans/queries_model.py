@@ -40,15 +40,15 @@ def split_leading(spark, sf_dir):
 
 
 def encounters(spark, sf_dir):
-    return sp.simulate_encounters(relations(spark, sf_dir), 20)
+    return sp.simulate_encounters(relations(spark, sf_dir))
 
 
 def encounters_simple(spark, sf_dir):
-    return sp.simple_encounters(relations(spark, sf_dir), 10)
+    return sp.simple_encounters(relations(spark, sf_dir))
 
 
 def encounters_nested(spark, sf_dir):
-    out = sp.nest_encounters(sp.simulate_encounters(relations(spark, sf_dir), 20))
+    out = sp.nest_encounters(sp.simulate_encounters(relations(spark, sf_dir)))
     return out.select("encounter_id", "entity_id", F.array_join("positive_symptoms", ",").alias("positive"), F.array_join("negative_symptoms", ",").alias("negative"))
 
 
@@ -62,14 +62,14 @@ def label_index(spark, sf_dir):
 
 
 def padded_ids(spark, sf_dir):
-    enc = sp.simple_encounters(relations(spark, sf_dir), 10)
+    enc = sp.simple_encounters(relations(spark, sf_dir))
     vocabulary = pd_.feature_vocabulary(enc.where(F.col("polarity") == "positive"))
     out = pd_.padded_ids(enc, vocabulary)
     return out.select("encounter_id", F.array_join(F.transform("ids", lambda x: x.cast("string")), ",").alias("ids"))
 
 
 def bag_rows(spark, sf_dir):
-    enc = sp.simple_encounters(relations(spark, sf_dir), 10)
+    enc = sp.simple_encounters(relations(spark, sf_dir))
     return pd_.bag_rows(enc, pd_.feature_vocabulary(relations(spark, sf_dir)))
 
 
@@ -105,20 +105,20 @@ def classifier_metrics(spark, sf_dir):
 def prior_metrics(spark, sf_dir):
     """Top-k accuracy of the graph prior on simulated cases."""
     rel = relations(spark, sf_dir)
-    enc = sp.simulate_encounters(rel, 5).where(F.col("polarity") == "positive")
+    enc = sp.simulate_encounters(rel).where(F.col("polarity") == "positive")
     ranked = pd_.predict_top_k(enc.select(F.col("encounter_id").alias("case_id"), "feature_id"), rel, pd_.label_vocabulary(rel))
     truth = enc.select(F.col("encounter_id").alias("case_id"), F.col("entity_id").alias("label")).distinct()
     return rounded(ev.top_k_accuracy(ranked.join(truth, "case_id")), "top1_accuracy", "top3_accuracy", "top5_accuracy")
 
 
 def random_walks(spark, sf_dir):
-    w = wk.random_walks(relations(spark, sf_dir), num_walks=4, length=8)
+    w = wk.random_walks(relations(spark, sf_dir))
     return w.select("start", "walk", F.array_join("path", " ").alias("path"))
 
 
 def node_embeddings(spark, sf_dir):
-    w = cut_lineage(wk.random_walks(relations(spark, sf_dir), num_walks=4, length=8))
-    e = wk.node_embeddings(w, dim=16, epochs=1)
+    w = cut_lineage(wk.random_walks(relations(spark, sf_dir)))
+    e = wk.node_embeddings(w)
     return e.select("kind", "node", F.size("embedding").alias("dim"))
 
 
@@ -204,7 +204,7 @@ rel AS (SELECT entity_id, 'symptom::' || replace(feature, ' ', '_') AS feature_i
 
 
 SIMPLE = _rel(0.4) + f""",
-sh AS (SELECT entity_id, idx, feature_id, {_h('42', 'entity_id', 'idx', 'feature_id')} AS h FROM rel, range(10) t(idx)),
+sh AS (SELECT entity_id, idx, feature_id, {_h('42', 'entity_id', 'idx', 'feature_id')} AS h FROM rel, range(50) t(idx)),
 sr AS (SELECT *, row_number() OVER (PARTITION BY entity_id, idx ORDER BY h, feature_id) AS r FROM sh),
 sn AS (SELECT *, count(*) OVER (PARTITION BY entity_id, idx) AS n FROM sr WHERE r <= 5),
 simple AS (SELECT entity_id || '_' || lpad(idx::VARCHAR, 4, '0') AS encounter_id, entity_id, idx, feature_id,
@@ -213,7 +213,7 @@ simple AS (SELECT entity_id || '_' || lpad(idx::VARCHAR, 4, '0') AS encounter_id
 ENC = _rel(0.4) + f""",
 hv AS (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY weight DESC, feature_id) <= 3 AS heavy,
     row_number() OVER (PARTITION BY entity_id ORDER BY {_h('42', "'sample'", 'entity_id', 'feature_id')}, feature_id) <= 2 AS sampled FROM rel),
-dr AS (SELECT *, {_u('keep')} < least(0.95, weight * 1.5) AS keep, {_u('drop')} > 0.15 AS stay, {_u('noise')} < 0.1 AS noise FROM hv, range(20) t(idx)),
+dr AS (SELECT *, {_u('keep')} < least(0.95, weight * 1.5) AS keep, {_u('drop')} > 0.15 AS stay, {_u('noise')} < 0.1 AS noise FROM hv, range(70) t(idx)),
 ct AS (SELECT *, count(*) FILTER (keep) OVER w AS n1, count(*) FILTER (keep AND stay) OVER w AS nk, count(*) FILTER (heavy AND stay) OVER w AS nh
     FROM dr WINDOW w AS (PARTITION BY entity_id, idx)),
 ps AS (SELECT *, CASE WHEN CASE WHEN n1 < 2 THEN nh ELSE nk END < 2 THEN sampled ELSE CASE WHEN n1 < 2 THEN heavy ELSE keep END AND stay END AS pos FROM ct),

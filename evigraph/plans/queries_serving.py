@@ -67,8 +67,8 @@ def user_turns(spark, sf_dir) -> DataFrame:
 
 
 def turn_entities(spark, sf_dir) -> DataFrame:
-    """Distinct long words of a user turn as its entities."""
-    words = F.array_distinct(F.filter(F.split(F.lower("text"), r"[^\p{L}]+"), lambda w: F.char_length(w) >= 6))
+    """Distinct words of a user turn as its entities."""
+    words = F.array_distinct(F.filter(F.split(F.lower("text"), r"[^\p{L}]+"), lambda w: F.char_length(w) >= 3))
     rows = user_turns(spark, sf_dir).select("conv_id", "turn_no", F.explode(words).alias("entity"))
     n = F.char_length("entity")
     return rows.select("conv_id", "turn_no", "entity", F.least(F.lit(0.95), n / 20).alias("confidence"),
@@ -343,7 +343,7 @@ m AS (SELECT *, (tp + tn) / (tp + fp + fn + tn) AS a, coalesce(tp / nullif(tp +
 TURNS = """turns AS (SELECT conv_id, turn, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS turn_no FROM conversations WHERE role = 'user')"""
 ENTS = TURNS + r""",
 ents AS (SELECT conv_id, turn_no, entity, least(0.95, length(entity) / 20) AS c, CASE WHEN length(entity) > 8 THEN 'SYMPTOM' ELSE 'DISEASE' END AS entity_type
-    FROM (SELECT DISTINCT conv_id, turn_no, unnest(regexp_split_to_array(lower(text), '[^\p{L}]+')) AS entity FROM turns) WHERE length(entity) >= 6)"""
+    FROM (SELECT DISTINCT conv_id, turn_no, unnest(regexp_split_to_array(lower(text), '[^\p{L}]+')) AS entity FROM turns) WHERE length(entity) >= 3)"""
 TOPICS = ENTS + """,
 tops AS (SELECT conv_id, turn_no, lower(entity_type) AS topic FROM ents UNION
     SELECT conv_id, turn_no, unnest(list_filter([""" + ", ".join(

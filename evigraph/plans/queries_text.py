@@ -25,15 +25,15 @@ def corpus_of(spark, sf_dir) -> DataFrame:
 
 
 def benchmark_names(spark, sf_dir) -> DataFrame:
-    """A dictionary from the benchmark passages: long words as symptoms, word pairs as diseases."""
+    """A dictionary from the benchmark passages: words as symptoms, word pairs as diseases."""
     words = F.filter(F.split(F.lower("text"), r"[^\p{L}]+"), lambda w: w != "")
     base = table(spark, sf_dir, "benchmark").select(words.alias("w"))
-    single = base.select(F.explode("w").alias("name")).where(F.char_length("name") >= 7).select(
+    single = base.select(F.explode("w").alias("name")).where(F.char_length("name") >= 3).select(
         F.lit("SYMPTOM").alias("concept_type"), "name")
     pairs = base.where(F.size("w") > 1).select(
         F.explode(F.transform(F.sequence(F.lit(0), F.size("w") - 2),
                               lambda i: F.concat_ws(" ", F.get("w", i), F.get("w", i + 1)))).alias("name")
-    ).where(F.char_length("name") >= 9).select(F.lit("DISEASE").alias("concept_type"), "name")
+    ).where(F.char_length("name") >= 3).select(F.lit("DISEASE").alias("concept_type"), "name")
     return single.unionByName(pairs).distinct().select(
         F.concat(F.lower(F.substring("concept_type", 1, 1)), F.lit(":"), "name").alias("concept_id"), "name",
         tx.display_name(F.col("name")).alias("display_name"), "concept_type", F.lit(0).cast("bigint").alias("load_seq"),
@@ -291,7 +291,7 @@ NAMES = r"""bw AS (SELECT list_filter(regexp_split_to_array(lower(text), '[^\p{L
 names AS (SELECT DISTINCT concept_type, name, lower(concept_type[1]) || ':' || name AS concept_id FROM (
     SELECT 'SYMPTOM' AS concept_type, unnest(w) AS name FROM bw
     UNION ALL SELECT 'DISEASE', unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM bw)
-    WHERE length(name) >= CASE concept_type WHEN 'SYMPTOM' THEN 7 ELSE 9 END)"""
+    WHERE length(name) >= 3)"""
 
 FOUND = NAMES + """,
 found AS (SELECT doc_id, concept_type AS label, name, concept_id, instr(lower(text), name) - 1 AS s,

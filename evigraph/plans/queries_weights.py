@@ -77,7 +77,7 @@ def weight_minmax(spark, sf_dir):
 
 def top_features(spark, sf_dir):
     weights = wt.combined_weights(pair_bag(spark, sf_dir)).withColumn("final_weight", rnd("final_weight"))
-    return wt.top_features(weights, "final_weight", 5).select("entity_id", "feature", "final_weight", "weight_category", "rank")
+    return wt.top_features(weights, "final_weight", 10).select("entity_id", "feature", "final_weight", "weight_category", "rank")
 
 
 def pair_distinct_counts(spark, sf_dir):
@@ -150,13 +150,13 @@ def rank_entities_by_features(spark, sf_dir):
 
 
 def related_with_additional(spark, sf_dir):
-    related = gr.related_with_additional(feature_queries(spark, sf_dir), *graph_tables(spark, sf_dir), min_weight=0.3, top_n=5)
+    related = gr.related_with_additional(feature_queries(spark, sf_dir), *graph_tables(spark, sf_dir), min_weight=0.3, top_n=10)
     related = rounded(related, "total_score", "additional_weight", places=4)
     return related.select("query_id", "rank", "entity_id", "total_score", "matched_count", "additional_feature", "additional_weight")
 
 
 def suggestions(spark, sf_dir):
-    related = gr.related_with_additional(feature_queries(spark, sf_dir), *graph_tables(spark, sf_dir), min_weight=0.3, top_n=5)
+    related = gr.related_with_additional(feature_queries(spark, sf_dir), *graph_tables(spark, sf_dir), min_weight=0.3, top_n=10)
     return gr.suggestions_json(rounded(related, "total_score", "additional_weight", places=4))
 
 
@@ -265,7 +265,7 @@ QUERIES = {
           round(p + 1e-9, 6) AS pmi_weight_norm, round(least(1, greatest(0, 0.2 * f + 0.5 * t + 0.3 * p)) + 1e-9, 6) AS combined_weight FROM norm"""),
     "top_features": (top_features, f"""WITH {COMBINED} SELECT * FROM (SELECT entity_id, feature, round(w + 1e-9, 6) AS final_weight,
         category AS weight_category, row_number() OVER (PARTITION BY entity_id ORDER BY round(w + 1e-9, 6) DESC, feature) AS rank
-        FROM weighted) WHERE rank <= 5"""),
+        FROM weighted) WHERE rank <= 10"""),
     "pair_distinct_counts": (pair_distinct_counts, f"""WITH {PAIRS} SELECT count(*) AS pairs, count(DISTINCT entity_id) AS entities,
         count(DISTINCT feature) AS features FROM counts"""),
     "symptom_pairs_from_text": (symptom_pairs_from_text, f"""WITH {NORMALISED}
@@ -302,7 +302,7 @@ QUERIES = {
         SELECT query_id, rank, entity_id, display AS entity_name, round(score + 1e-9, 4) AS total_score, n AS matched_count,
           array_to_string(fs, ',') AS matched_features FROM ranked JOIN entities USING (entity_id) WHERE rank <= 10"""),
     "related_with_additional": (related_with_additional, f"""WITH {GRAPH} {QUERY_ROWS},
-        best AS (SELECT * FROM ranked WHERE rank <= 5),
+        best AS (SELECT * FROM ranked WHERE rank <= 10),
         more AS (SELECT query_id, entity_id, display, w FROM best JOIN edges e USING (entity_id) JOIN features f ON f.feature_id = e.feature_id
                  WHERE w >= 0.3 AND (query_id, e.feature) NOT IN (SELECT (query_id, feature) FROM asked))
         SELECT query_id, rank, entity_id, round(score + 1e-9, 4) AS total_score, n AS matched_count,

@@ -43,9 +43,14 @@ def read_predictions(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_conversation_records(spark: SparkSession, path: str) -> DataFrame:
-    """Conversation records as rows ``conv_id, turn, role, text``; ids are hashes of the record."""
+    """Conversation records as rows ``conv_id, turn, role, text``.
+
+    Ids are hashes of the record and of its number among equal records, so equal records stay apart.
+    """
     records = spark.read.schema(schema("conversation_records")).json(path).where(F.col("messages").isNotNull())
-    return records.withColumn("conv_id", F.xxhash64(F.to_json("messages"))).dropDuplicates(["conv_id"]).select(
+    counted = records.groupBy(F.to_json("messages").alias("record")).agg(F.count(F.lit(1)).alias("n"), F.first("messages").alias("messages"))
+    numbered = counted.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("n"))))
+    return numbered.withColumn("conv_id", F.xxhash64("record", "copy")).select(
         "conv_id", F.posexplode("messages").alias("turn", "m")
     ).select("conv_id", F.col("turn").cast("bigint").alias("turn"), F.col("m.role").alias("role"), F.col("m.content").alias("text"))
 

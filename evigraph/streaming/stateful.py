@@ -59,9 +59,13 @@ def deliver(alert_rows: DataFrame, handlers: Sequence[Callable[[DataFrame, int],
     """Start a query that hands every batch of alerts to the handlers; an empty batch goes unreported."""
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        if not batch.isEmpty():
-            for handler in handlers:
-                handler(batch, batch_id)
+        held = batch.persist()  # the check and every handler read one evaluation of the batch
+        try:
+            if not held.isEmpty():
+                for handler in handlers:
+                    handler(held, batch_id)
+        finally:
+            held.unpersist()
 
     return alert_rows.writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(each).start()
 
@@ -95,16 +99,18 @@ _CONTEXT = "conv_id BIGINT, turn INT, kept_turns INT, recent_entities ARRAY<STRI
 
 
 class ConversationContext(StatefulProcessor):
-    """Keeps the last turns of a conversation and relates every new turn to the three before it."""
+    """Keeps all topics and the last turns of a conversation and relates every new turn to the three before it."""
 
     def __init__(self, max_turns: int = 10, look_back: int = 3):
         self.max_turns, self.look_back = max_turns, look_back
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.turns = handle.getListState("turns", _TURN)
+        self.topics = handle.getValueState("topics", "topics ARRAY<STRING>")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         kept = [(int(t[0]), list(t[1]), list(t[2])) for t in self.turns.get()] if self.turns.exists() else []
+        told = set(self.topics.get()[0]) if self.topics.exists() else set()
         for frame in rows:
             out = []
             for turn, topics, entities in frame.sort_values("turn")[["turn", "topics", "entities"]].itertuples(index=False):
@@ -112,10 +118,12 @@ class ConversationContext(StatefulProcessor):
                 shared = [(t, len(names & set(e))) for t, _, e in kept[-self.look_back:]]
                 best = [t for t, n in sorted(shared, key=lambda x: (-x[1], x[0])) if n]
                 kept = (kept + [(int(turn), list(topics), list(entities))])[-self.max_turns:]
+                told |= set(topics)
                 recent = sorted({e for _, _, es in kept[-self.look_back:] for e in es})
-                out.append((key[0], int(turn), len(kept), recent, sorted({x for _, ts, _ in kept for x in ts}), best))
+                out.append((key[0], int(turn), len(kept), recent, sorted(told), best))
             yield pd.DataFrame(out, columns=["conv_id", "turn", "kept_turns", "recent_entities", "topics", "overlapping_turns"])
         self.turns.put(kept)
+        self.topics.update((sorted(told),))
 
     def close(self) -> None:
         pass

@@ -317,8 +317,8 @@ def test_walks(spark):
     assert all((r.path[i], r.path[i + 1]) in ok for r in walks.collect() for i in range(2))
     share = walks.where("start = 'd::1'").agg(F.avg((F.col("path")[1] == "s::a").cast("double"))).first()[0]
     assert 0.6 < share < 0.8
-    assert wk.node_embeddings(walks, dim=4, epochs=1).count() == 4
-    assert wk.node_embeddings(walks, dim=4, method="projection").where(F.size("embedding") == 4).count() == 4
+    assert wk.node_embeddings(walks, dim=4).count() == 4
+    assert wk.node_embeddings(walks, dim=4).where(F.size("embedding") == 4).count() == 4
 
 
 def test_memo(spark):
