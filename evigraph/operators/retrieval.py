@@ -5,7 +5,7 @@ Distances are squared Euclidean; a result is kept when distance <= 1 - threshold
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
@@ -19,8 +19,10 @@ from evigraph.functions.ordered import top_per_group
 MAX_RESULTS = 5
 SIMILARITY_THRESHOLD = 0.0
 
-BROADCAST_BYTES = 64 << 20
-BLOCK_ROWS = 50_000
+# Queries and chunks that meet in one task, and chunks multiplied at a time.
+QUERY_ROWS = 2_000
+CHUNK_ROWS = 20_000
+TILE_ROWS = 1_000
 
 
 def restrict(chunks: DataFrame, collections: Sequence[str] | None = None, metadata: dict[str, str] | None = None) -> DataFrame:
@@ -33,71 +35,68 @@ def restrict(chunks: DataFrame, collections: Sequence[str] | None = None, metada
     return out
 
 
+def _tile_distances(q: np.ndarray, x: np.ndarray, metric: str) -> np.ndarray:
+    if metric == "cosine":
+        return 1.0 - (q @ x.T) / np.outer(np.linalg.norm(q, axis=1), np.linalg.norm(x, axis=1))
+    return np.maximum(0.0, (q**2).sum(1)[:, None] + (x**2).sum(1)[None, :] - 2.0 * (q @ x.T))
+
+
 def _best(queries: tuple[np.ndarray, np.ndarray], pdf: pd.DataFrame, n: int, limit: float, metric: str) -> pd.DataFrame:
-    """Best n of one batch per query and collection; only these leave the task."""
+    """Best n of a block of chunks per query and collection; only these leave the task.
+
+    Chunks are taken a tile at a time; between tiles only the best n of every query are held.
+    """
     ids, q = queries
     out = []
     for collection, part in pdf.groupby("collection", sort=False, dropna=False):
-        x = np.stack([np.asarray(v, dtype="float64") for v in part["embedding"]])
         keys = part["chunk_id"].to_numpy()
-        if metric == "cosine":
-            dist = 1.0 - (q @ x.T) / np.outer(np.linalg.norm(q, axis=1), np.linalg.norm(x, axis=1))
-        else:
-            dist = np.maximum(0.0, (q**2).sum(1)[:, None] + (x**2).sum(1)[None, :] - 2.0 * (q @ x.T))
-        for i in range(len(ids)):
-            d = dist[i]
-            near = np.flatnonzero(d <= limit + 1e-9)
-            if len(near) > n:
-                edge = np.partition(d[near], n - 1)[n - 1]
-                near = near[d[near] <= edge + 1e-9]
-            order = near[np.lexsort((keys[near], np.round(d[near], 9)))][:n]
-            out.append(pd.DataFrame({"query_id": ids[i], "collection": collection, "chunk_id": keys[order], "distance": d[order]}))
+        embeddings = part["embedding"].to_numpy()
+        row, dist, key = np.empty(0, np.int64), np.empty(0), np.empty(0, keys.dtype)
+        edge = np.full(len(ids), limit)
+        for at in range(0, len(keys), TILE_ROWS):
+            x = np.stack([np.asarray(v, dtype="float64") for v in embeddings[at : at + TILE_ROWS]])
+            d = _tile_distances(q, x, metric)
+            if d.shape[1] > n:
+                edge = np.minimum(edge, np.partition(d, n - 1, axis=1)[:, n - 1])
+            i, j = np.nonzero(d <= edge[:, None] + 1e-9)
+            row, dist, key = np.concatenate((row, i)), np.concatenate((dist, d[i, j])), np.concatenate((key, keys[at + j]))
+            order = np.lexsort((key, np.round(dist, 9), row))
+            row, dist, key = row[order], dist[order], key[order]
+            first = np.searchsorted(row, np.arange(len(ids)))
+            keep = np.arange(len(row)) - first[row] < n
+            row, dist, key = row[keep], dist[keep], key[keep]
+        out.append(pd.DataFrame({"query_id": ids[row], "collection": collection if isinstance(collection, str) else None, "chunk_id": key, "distance": dist}))
     cols = ["query_id", "collection", "chunk_id", "distance"]
     return pd.concat(out, ignore_index=True)[cols] if out else pd.DataFrame(columns=cols)
 
 
 def search_vectors(
     queries: DataFrame, chunks: DataFrame, n_results: int = MAX_RESULTS, threshold: float = SIMILARITY_THRESHOLD, metric: str = "l2sq",
-    broadcast_bytes: int = BROADCAST_BYTES, block_rows: int = BLOCK_ROWS,
+    query_rows: int = QUERY_ROWS, chunk_rows: int = CHUNK_ROWS,
 ) -> DataFrame:
     """Exact nearest chunks of dense query vectors: n per collection, merged, cut to n.
 
     ``queries``: ``query_id BIGINT, embedding``; ``chunks``: ``collection, chunk_id BIGINT, embedding``.
-    A task multiplies a batch of chunks with a block of queries and lets only the best n per query
-    and collection out. Queries of a checked size travel with the tasks and the chunks are not
-    shuffled; more queries are cut into blocks of rows that meet blocks of chunks.
+    Blocks of queries meet blocks of chunks in an equi-join on the block numbers; a task multiplies
+    them tile by tile and lets only the best n per query and collection out. Null is a collection.
     """
     limit = 1.0 - threshold
     q = queries.select("query_id", "embedding")
     c = chunks.select("collection", "chunk_id", "embedding")
+    q_blocks = max(1, -(-q.count() // query_rows))
+    c_blocks = max(1, -(-c.count() // chunk_rows))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = c.withColumn("cb", F.pmod(F.xxhash64("chunk_id"), F.lit(c_blocks)).cast("int")).withColumn("qb", every(q_blocks))
+    right = q.withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(q_blocks)).cast("int")).withColumn("cb", every(c_blocks))
+
+    def pair(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if a.empty or b.empty:
+            return pd.DataFrame(columns=["query_id", "collection", "chunk_id", "distance"])
+        block = (b["query_id"].to_numpy(), np.stack([np.asarray(v, dtype="float64") for v in b["embedding"]]))
+        return _best(block, a, n_results, limit, metric)
+
     schema = "query_id BIGINT, collection STRING, chunk_id BIGINT, distance DOUBLE"
-    size = q.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("embedding")).alias("d")).first()
-    if (size["n"] or 0) * (size["d"] or 0) * 8 <= broadcast_bytes:
-        rows = q.collect()
-        packed = (np.array([r[0] for r in rows], dtype="int64"),
-                  np.array([r[1] for r in rows], dtype="float64").reshape(len(rows), size["d"] or 0))
-        shared = q.sparkSession.sparkContext.broadcast(packed)
-
-        def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                if len(pdf) and len(shared.value[0]):
-                    yield _best(shared.value, pdf, n_results, limit, metric)
-
-        local = c.mapInPandas(scan, schema)
-    else:
-        q_blocks = max(1, -(-size["n"] // block_rows))
-        c_blocks = max(1, -(-c.count() // block_rows))
-        every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-        left = c.withColumn("cb", F.pmod(F.xxhash64("chunk_id"), F.lit(c_blocks)).cast("int")).withColumn("qb", every(q_blocks))
-        right = q.withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(q_blocks)).cast("int")).withColumn("cb", every(c_blocks))
-
-        def pair(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-            if a.empty or b.empty:
-                return pd.DataFrame(columns=["query_id", "collection", "chunk_id", "distance"])
-            block = (b["query_id"].to_numpy(), np.stack([np.asarray(v, dtype="float64") for v in b["embedding"]]))
-            return _best(block, a, n_results, limit, metric)
-
-        local = left.groupBy("cb", "qb").cogroup(right.groupBy("cb", "qb")).applyInPandas(pair, schema)
+    local = left.groupBy("cb", "qb").cogroup(right.groupBy("cb", "qb")).applyInPandas(pair, schema)
     return merge_results(local, n_results, threshold)
 
 
@@ -193,3 +192,13 @@ def retrieve(queries: DataFrame, chunks: DataFrame, collections: Sequence[str] |
     vectors = term_weights(wanted, "chunk_id", "text", idf).join(wanted.select(F.col("chunk_id").alias("id"), "collection"), "id")
     asked = term_weights(queries.select("query_id", tx.expand_query(F.col("text")).alias("text")), "query_id", "text", idf)
     return format_results(search_terms(asked, vectors, n_results, threshold), wanted)
+
+
+def retrieve_dense(queries: DataFrame, chunks: DataFrame, collections: Sequence[str] | None = None, metadata: dict[str, str] | None = None,
+                   n_results: int = MAX_RESULTS, threshold: float = SIMILARITY_THRESHOLD) -> DataFrame:
+    """Query vectors ``query_id, embedding`` matched on supplied chunk vectors and formatted.
+
+    ``chunks``: ``collection, chunk_id, text, metadata, embedding``.
+    """
+    wanted = restrict(chunks, collections, metadata)
+    return format_results(search_vectors(queries, wanted, n_results, threshold), wanted)

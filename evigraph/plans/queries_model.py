@@ -145,8 +145,16 @@ def vector_topk_cosine(spark, sf_dir):
 
 
 def vector_topk_blocks(spark, sf_dir):
-    """The same search along the path for query tables too large to travel with the tasks."""
-    return rounded(rt.search_vectors(label_centroids(spark, sf_dir), vectors(spark, sf_dir), threshold=-1.0, broadcast_bytes=0), "distance")
+    """The same search in many small blocks."""
+    return rounded(rt.search_vectors(label_centroids(spark, sf_dir), vectors(spark, sf_dir), threshold=-1.0, query_rows=3, chunk_rows=150), "distance")
+
+
+def retrieve_dense(spark, sf_dir):
+    """Label centroids as questions against documents that have a supplied vector."""
+    docs = table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("chunk_id"), "text", F.create_map(F.lit("source_file"), F.col("source")).alias("metadata"))
+    found = rt.retrieve_dense(label_centroids(spark, sf_dir), vectors(spark, sf_dir).join(docs, "chunk_id"), threshold=-1.0)
+    return rounded(found.select("query_id", "rank", "chunk_id", "collection", "relevance_score", "source_file"), "relevance_score")
 
 
 def document_chunks(spark, sf_dir) -> DataFrame:
@@ -293,6 +301,9 @@ QUERIES = {
     "vector_topk": (vector_topk, _search(L2, 5, 2)),
     "vector_topk_cosine": (vector_topk_cosine, _search(COS, 10, 0.8)),
     "vector_topk_blocks": (vector_topk_blocks, _search(L2, 5, 2)),
+    "retrieve_dense": (retrieve_dense, _search(L2, 5, 2).replace("FROM q, embeddings", "FROM q, embeddings JOIN documents ON doc_id = vec_id").replace(
+        "SELECT query_id, collection, chunk_id, round(d + 1e-9, 6) AS distance,",
+        "SELECT query_id, collection, chunk_id, round(1 - d + 1e-9, 6) AS relevance_score, (SELECT source FROM documents WHERE doc_id = chunk_id) AS source_file,")),
     "retrieve_documents": (retrieve_documents, f"""WITH {RETRIEVE} SELECT query_id, chunk_id, collection, round(1 - d + 1e-9, 6) AS relevance_score, source AS source_file,
         row_number() OVER (PARTITION BY query_id ORDER BY round(d, 9), collection, chunk_id) AS rank FROM p WHERE r <= 5 QUALIFY rank <= 5"""),
     "retrieve_context": (retrieve_context, None),

@@ -348,10 +348,11 @@ QUERIES = {
     "dictionary_extract": (dictionary_extract, f"""WITH {KEPT} SELECT doc_id, k.label, k.name, k.mention, k.s AS start, k.e AS "end",
         0.8::DOUBLE AS confidence FROM kept"""),
     "dictionary_extract_words": (dictionary_extract_words, "WITH " + FOUND + r""",
-        w AS (SELECT doc_id, label, name, '(?s)^(.*?)(^|[^\p{L}\p{N}\p{M}_])' || name || '($|[^\p{L}\p{N}\p{M}_])' AS pat FROM found),
-        b AS (SELECT w.doc_id, label, name, length(regexp_extract(lower(text), pat, 1)) + length(regexp_extract(lower(text), pat, 2)) AS s
-              FROM w JOIN documents d ON d.doc_id = w.doc_id WHERE regexp_matches(lower(text), pat))
-        SELECT doc_id, label, name, s AS start, s + length(name) AS "end" FROM b"""),
+        t AS (SELECT doc_id, chr(1) || regexp_replace(lower(text), '[^\p{L}\p{N}\p{M}_ ]', chr(1), 'g') || chr(1) AS t FROM documents),
+        b AS (SELECT doc_id, label, name, least(nullif(instr(t, ' ' || name || ' '), 0), nullif(instr(t, ' ' || name || chr(1)), 0),
+                nullif(instr(t, chr(1) || name || ' '), 0), nullif(instr(t, chr(1) || name || chr(1)), 0)) - 1 AS s
+              FROM (SELECT DISTINCT doc_id, label, name FROM found) JOIN t USING (doc_id))
+        SELECT doc_id, label, name, s AS start, s + length(name) AS "end" FROM b WHERE s IS NOT NULL"""),
     "aliases": (aliases, f"WITH {PART_NAMES} SELECT * FROM alias"),
     "candidates_exact_alias": (candidates_exact_alias, f"""WITH {PART_NAMES},
         asked AS (SELECT DISTINCT lower(trim(m)) AS mention FROM (SELECT unnest(regexp_split_to_array(

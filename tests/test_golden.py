@@ -271,8 +271,8 @@ def test_retrieval(spark):
     q = spark.createDataFrame([(1, [1.0, 0.0])], "query_id LONG, embedding ARRAY<DOUBLE>")
     c = spark.createDataFrame([("a", 10, [0.5, math.sqrt(0.75)]), ("a", 11, [0.4, math.sqrt(0.84)]), ("b", 12, [1.0, 0.0])],
                               "collection STRING, chunk_id LONG, embedding ARRAY<DOUBLE>")
-    for limit in (rt.BROADCAST_BYTES, 0):
-        got = rt.search_vectors(q, c, broadcast_bytes=limit).orderBy("rank").collect()
+    for limit in (rt.CHUNK_ROWS, 1):
+        got = rt.search_vectors(q, c, chunk_rows=limit).orderBy("rank").collect()
         assert [(r.chunk_id, round(r.distance, 9)) for r in got] == [(12, 0.0), (10, 1.0)]
     docs = spark.createDataFrame([("c", 1, "red fox jumps", {"patient_id": "p"}), ("c", 2, "blue whale", {}), ("e", 3, "green tree frog", {})],
                                  "collection STRING, chunk_id LONG, text STRING, metadata MAP<STRING,STRING>")
