@@ -263,6 +263,39 @@ qv AS (SELECT *, x / sqrt(sum(x * x) OVER (PARTITION BY item_id)) AS w FROM qx),
 dot AS (SELECT item_id AS query_id, doc_id AS chunk_id, lang AS collection, source, greatest(0, 2 - 2 * sum(dv.w * qv.w)) AS d FROM dv JOIN qv USING (term) GROUP BY ALL),
 p AS (SELECT *, row_number() OVER (PARTITION BY query_id, collection ORDER BY round(d, 9), chunk_id) AS r FROM dot WHERE d <= 1 + 1e-9)"""
 
+CLASSIFIER = f"""WITH seg AS (SELECT c_custkey AS case_id, c_mktsegment AS label FROM customer),
+hs AS (SELECT case_id, {_h('42', 'case_id')} AS h FROM seg),
+cut AS (SELECT case_id, row_number() OVER (ORDER BY h) <= floor(count(*) OVER () * 0.7 + 1e-9) AS train FROM hs),
+bag AS (SELECT DISTINCT o_custkey AS case_id, p_name AS f FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey),
+data AS (SELECT * FROM bag JOIN seg USING (case_id) JOIN cut USING (case_id)),
+pairs AS (SELECT label, f, count(*) AS c FROM data WHERE train GROUP BY ALL),
+lab AS (SELECT label, count(DISTINCT case_id) AS cases, count(*) AS total FROM data WHERE train GROUP BY label),
+sums AS (SELECT sum(cases) AS n, count(*) AS l, (SELECT count(DISTINCT f) FROM pairs) AS w FROM lab),
+test AS (SELECT case_id, label, f FROM data WHERE NOT train),
+score AS (SELECT t.case_id, t.label, lab.label AS prediction, any_value(ln((cases + 1) / (n + l)))
+      + coalesce(sum(ln((coalesce(c, 0) + 1) / (total + w))) FILTER (t.f IN (SELECT f FROM pairs)), 0) AS s
+    FROM test t CROSS JOIN lab CROSS JOIN sums LEFT JOIN pairs ON pairs.label = lab.label AND pairs.f = t.f GROUP BY ALL),
+rk AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY round(s, 9) DESC, prediction) AS r FROM score),
+one AS (SELECT label AS t, prediction AS p FROM rk WHERE r = 1),
+f1 AS (SELECT c, count(*) FILTER (t = c AND p = c) AS tp, count(*) FILTER (t = c) AS t, count(*) FILTER (p = c) AS p
+    FROM one, (SELECT t AS c FROM one UNION SELECT p FROM one) GROUP BY c),
+best AS (SELECT case_id, min(r) FILTER (label = prediction) AS r FROM rk WHERE r <= 5 GROUP BY case_id)
+SELECT sum(t)::BIGINT AS n, round(sum(tp) / sum(t) + 1e-9, 6) AS accuracy, round(avg(2 * tp / (t + p)) + 1e-9, 6) AS f1_macro,
+  round(sum(2 * tp / (t + p) * t) / sum(t) + 1e-9, 6) AS f1_weighted,
+  (SELECT round(avg((coalesce(r, 9) <= 1)::INT) + 1e-9, 6) FROM best) AS top1_accuracy,
+  (SELECT round(avg((coalesce(r, 9) <= 3)::INT) + 1e-9, 6) FROM best) AS top3_accuracy,
+  (SELECT round(avg((coalesce(r, 9) <= 5)::INT) + 1e-9, 6) FROM best) AS top5_accuracy FROM f1"""
+
+PRIOR = f"""WITH {ENC},
+cs AS (SELECT DISTINCT encounter_id AS case_id, entity_id AS label, feature_id FROM enc WHERE polarity = 'positive'),
+sc AS (SELECT case_id, label, rel.entity_id, sum(weight) AS score FROM cs JOIN rel USING (feature_id) GROUP BY ALL),
+z AS (SELECT case_id, sum(exp(score)) + (SELECT count(DISTINCT entity_id) FROM rel) - count(*) AS z FROM sc GROUP BY case_id),
+rk AS (SELECT case_id, label, entity_id, row_number() OVER (PARTITION BY case_id ORDER BY round(exp(score) / z, 12) DESC, entity_id) AS r
+    FROM sc JOIN z USING (case_id) QUALIFY r <= 5),
+best AS (SELECT case_id, min(r) FILTER (label = entity_id) AS r FROM rk GROUP BY case_id)
+SELECT count(*) AS n, round(avg((coalesce(r, 9) <= 1)::INT) + 1e-9, 6) AS top1_accuracy, round(avg((coalesce(r, 9) <= 3)::INT) + 1e-9, 6) AS top3_accuracy,
+  round(avg((coalesce(r, 9) <= 5)::INT) + 1e-9, 6) AS top5_accuracy FROM best"""
+
 QUERIES = {
     "split_exact": (split_exact, f"""WITH h AS (SELECT doc_id, {_h('42', 'doc_id')} AS h FROM documents)
         SELECT doc_id, CASE WHEN row_number() OVER (ORDER BY h) <= floor(count(*) OVER () * 0.8 + 1e-9) THEN 'train' ELSE 'test' END AS part FROM h"""),
@@ -294,8 +327,8 @@ QUERIES = {
         SELECT case_id, entity_id, round(p + 1e-9, 6) AS probability, rank, matched AS matched_symptoms, total AS total_symptoms, NULL::VARCHAR AS warning
         FROM rk JOIN sz USING (case_id) WHERE rank <= 5
         UNION ALL SELECT case_id, entity_id, round(1.0 / n.n + 1e-9, 6), i, matched, total, 'no known feature' FROM sz, n, lab WHERE matched = 0 AND i <= 5"""),
-    "classifier_metrics": (classifier_metrics, None),
-    "prior_metrics": (prior_metrics, None),
+    "classifier_metrics": (classifier_metrics, CLASSIFIER),
+    "prior_metrics": (prior_metrics, PRIOR),
     "random_walks": (random_walks, None),
     "node_embeddings": (node_embeddings, None),
     "vector_topk": (vector_topk, _search(L2, 5, 2)),
