@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,31 +37,35 @@ def transition_index(adj: DataFrame) -> DataFrame:
     return placed.select("src", "cells", F.explode(F.sequence(F.least(first, last), last)).alias("cell"), "dst", "low", "high")
 
 
-def random_walks(edges: DataFrame, num_walks: int = 80, length: int = 20, seed: int = 42, cut_every: int = 5) -> DataFrame:
-    """Walks ``start, walk, path``: one join per step; every few steps the lineage is cut.
+def random_walks(edges: DataFrame, num_walks: int = 80, length: int = 20, seed: int = 42) -> DataFrame:
+    """Walks ``start, walk, path``: one join per step.
 
-    Rounding may leave slivers of the unit interval uncovered; a draw there takes the node's last
-    edge, so no walk is lost.
+    A step carries only where each walk is; every step is written, and the paths are put together once
+    at the end. Rounding may leave slivers of the unit interval uncovered; a draw there takes the
+    node's last edge, so no walk is lost.
     """
     adj = adjacency(edges)
     index = cut_lineage(transition_index(adj))
     top = index.groupBy("src").agg(F.max_by("dst", F.struct("high", "dst")).alias("_last"), F.max("cells").alias("cells"))
+    top = cut_lineage(top.withColumnRenamed("src", "node"))
+    cells = index.select(F.col("src").alias("node"), "cell", "dst", "low", "high")
     nodes = adj.select("src").distinct()
-    walks = nodes.select(
-        F.col("src").alias("start"), F.explode(F.sequence(F.lit(0), F.lit(num_walks - 1))).alias("walk"),
-        F.col("src").alias("node"), F.array("src").alias("path"))
+    now = nodes.select(F.col("src").alias("start"), F.explode(F.sequence(F.lit(0), F.lit(num_walks - 1))).alias("walk"), F.col("src").alias("node"))
+    steps = [now.withColumn("step", F.lit(0))]
     for step in range(1, length):
-        drawn = walks.join(top, F.col("node") == F.col("src")).drop("src").withColumn(
+        drawn = now.join(top, "node").withColumn(
             "_u", uniform(F.lit(seed), F.col("start"), F.col("walk"), F.lit(step))
         ).withColumn("cell", F.least(F.floor(F.col("_u") * F.col("cells")), F.col("cells") - 1)).drop("cells")
-        hit = drawn.join(index.select(F.col("src").alias("node"), "cell", "dst", "low", "high"), ["node", "cell"], "left")
+        hit = drawn.join(cells, ["node", "cell"], "left")
         inside = (F.col("_u") >= F.col("low")) & (F.col("_u") < F.col("high"))
-        nxt = hit.groupBy("start", "walk").agg(
-            F.first("path").alias("path"), F.coalesce(F.max(F.when(inside, F.col("dst"))), F.max("_last")).alias("node"))
-        walks = nxt.select("start", "walk", "node", F.array_append("path", F.col("node")).alias("path"))
-        if step % cut_every == 0:
-            walks = cut_lineage(walks)
-    return walks.select("start", "walk", "path")
+        now = cut_lineage(
+            hit.groupBy("start", "walk").agg(F.coalesce(F.max(F.when(inside, F.col("dst"))), F.max("_last")).alias("node"))
+        )
+        steps.append(now.withColumn("step", F.lit(step)))
+    every = reduce(lambda a, b: a.unionByName(b), steps)
+    # a walk has ``length`` steps
+    path = F.transform(F.array_sort(F.collect_list(F.struct("step", "node"))), lambda x: x["node"])
+    return every.groupBy("start", "walk").agg(path.alias("path"))
 
 
 def node_embeddings(walks: DataFrame, dim: int = 96, window: int = 5, seed: int = 42) -> DataFrame:

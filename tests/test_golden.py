@@ -310,7 +310,7 @@ def test_splits_and_encounters(spark):
 
 def test_walks(spark):
     rel = spark.createDataFrame([(1, "a", 0.7), (1, "b", 0.3), (2, "b", 1.0)], "entity_id INT, feature_id STRING, weight DOUBLE")
-    walks = wk.random_walks(rel, num_walks=300, length=3, cut_every=2).cache()
+    walks = wk.random_walks(rel, num_walks=300, length=3).cache()
     assert walks.count() == 4 * 300 and {len(r.path) for r in walks.collect()} == {3}
     ok = {("d::1", "s::a"), ("d::1", "s::b"), ("d::2", "s::b")}
     ok |= {(b, a) for a, b in ok}
