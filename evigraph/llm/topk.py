@@ -12,7 +12,7 @@ from evigraph.llm.common import map_arrow, width, written
 
 SCALE = 256
 QUERY_BLOCK = 512
-# Entries read from every list between two looks at the bound.
+# Entries read from every list before the first look at the bound; twice as many before each next one.
 STEP = 16
 
 
@@ -36,9 +36,10 @@ def threshold_search(query: np.ndarray, own: int, matrix: np.ndarray, ids: np.nd
     down = np.flatnonzero(query > 0)
     new = np.zeros(n, dtype=bool)
     seen = np.zeros(n, dtype=bool)
-    depth = 0
+    depth, step = 0, STEP
     while depth < n:
-        upto = min(depth + STEP, n)
+        upto = min(depth + step, n)
+        step *= 2
         if len(up) or len(down):
             new[order[up, depth:upto]] = True
             new[order[down, n - upto : n - depth]] = True
@@ -59,6 +60,8 @@ def threshold_search(query: np.ndarray, own: int, matrix: np.ndarray, ids: np.nd
                 [*best, *((int(s), -int(ids[r]), int(tids[r])) for s, r in zip(score[fit], rows, strict=True) if tids[r] != own)], reverse=True
             )[:k]
         depth = upto
+        if seen.all():
+            break
         if len(best) == k and depth < n:
             bound = values[up, depth] @ query[up] + values[down, n - 1 - depth] @ query[down]
             if best[-1][0] > bound:
