@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evigraph.functions.numeric import hash60
@@ -126,9 +126,9 @@ def display_name(c: Column, exact: bool = True) -> Column:
     )
 
 
-def ensure_list(c: Column) -> Column:
-    """A scalar as a one-item string array."""
-    return F.array(c.cast("string"))
+def ensure_list(df: DataFrame, name: str) -> Column:
+    """A list column as it is, any other as a one-item string array."""
+    return F.col(name) if dict(df.dtypes)[name].startswith("array") else F.array(F.col(name).cast("string"))
 
 
 def clean_corpus_text(c: Column) -> Column:
