@@ -287,6 +287,17 @@ cut AS (SELECT doc_id, i, length(t) > 1000 AS many, substr(t, i * 800 + 1, 1000)
 dc AS (SELECT doc_id, CASE WHEN many THEN '_window_' ELSE '_chunk_' END AS kind, text, s, e,
     row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS k FROM cut WHERE NOT many OR trim(text, {WS}) <> '')"""
 
+# lines are paragraphs; every one is a state of the fold, so that the first starts it
+PARAGRAPHS = f"""pl AS (SELECT doc_id, i, line, sum(length(line) + 2) OVER (PARTITION BY doc_id ORDER BY i) - length(line) - 2 AS ahead
+    FROM (SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))),
+pp AS (SELECT doc_id, i, trim(line, {WS}) AS t, (ahead + length(line) - length(ltrim(line, {WS})))::INT AS s FROM pl WHERE trim(line, {WS}) <> ''),
+pf AS (SELECT doc_id, list_reduce(list({{'cur': t, 's': s, 'e': (s + length(t))::INT, 'out': []::STRUCT(t VARCHAR, s INT, e INT)[]}} ORDER BY i),
+    lambda a, b: CASE WHEN length(a.cur) + length(b.cur) > 1000
+      THEN {{'cur': right(a.cur, 200) || chr(10) || chr(10) || b.cur, 's': b.s, 'e': b.e, 'out': a.out || [{{'t': trim(a.cur, {WS}), 's': a.s, 'e': a.e}}]}}
+      ELSE {{'cur': a.cur || chr(10) || chr(10) || b.cur, 's': a.s, 'e': b.e, 'out': a.out}} END) AS f FROM pp GROUP BY doc_id),
+pc AS (SELECT doc_id, f.out || [{{'t': trim(f.cur, {WS}), 's': f.s, 'e': f.e}}] AS l FROM pf),
+semantic AS (SELECT doc_id, unnest(l) AS c, generate_subscripts(l, 1) - 1 AS k FROM pc)"""
+
 NAMES = r"""bw AS (SELECT list_filter(regexp_split_to_array(lower(text), '[^\p{L}]+'), lambda w: w <> '') AS w FROM benchmark),
 names AS (SELECT DISTINCT concept_type, name, lower(concept_type[1]) || ':' || name AS concept_id FROM (
     SELECT 'SYMPTOM' AS concept_type, unnest(w) AS name FROM bw
@@ -334,7 +345,8 @@ QUERIES = {
         k AS chunk_index, s AS start_char, e AS end_char FROM windows"""),
     "chunk_sections": (chunk_sections, """SELECT text, doc_id || '_chunk_0' AS chunk_id, doc_id::VARCHAR AS document_id, 0 AS chunk_index,
         0 AS start_char, length(text) AS end_char FROM documents"""),
-    "chunk_paragraphs": (chunk_paragraphs, None),
+    "chunk_paragraphs": (chunk_paragraphs, f"""WITH {PARAGRAPHS} SELECT c.t AS text, doc_id || '_semantic_' || k AS chunk_id,
+        doc_id::VARCHAR AS document_id, k AS chunk_index, c.s AS start_char, c.e AS end_char FROM semantic"""),
     "chunk_documents": (chunk_documents, f"""WITH {DOC_CHUNKS} SELECT text, doc_id || kind || k AS chunk_id, doc_id::VARCHAR AS document_id,
         k AS chunk_index, s AS start_char, e AS end_char FROM dc"""),
     "route_collections": (route_collections, f"""WITH {DOC_CHUNKS}, {METADATA} SELECT dc.doc_id || kind || k AS id, document_type AS collection,
