@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from evigraph.functions import text as tx
 from evigraph.functions.ordered import top_per_group
+from evigraph.session import cut_lineage
 
 EDGE_PROPERTIES = ["weight", "tfidf_weight", "pmi_confidence", "category"]
 
@@ -186,7 +187,8 @@ def related_with_additional(
     min_weight: float = 0.3, top_n: int = 10,
 ) -> DataFrame:
     """Ranked entities plus one row per further feature of each; none leaves null columns."""
-    ranked = rank_entities(queries, entities, features, edges, min_weight, top_n)
+    # a few rows a query, read twice
+    ranked = cut_lineage(rank_entities(queries, entities, features, edges, min_weight, top_n))
     asked = queries.select("query_id", tx.normalise(F.col("feature")).alias("name")).distinct()
     others = (
         ranked.select("query_id", "entity_id")

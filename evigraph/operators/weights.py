@@ -104,7 +104,8 @@ def weight_category(w: Column) -> Column:
 
 def combined_weights(pairs: DataFrame) -> DataFrame:
     """0.7 * TF-IDF relative to its maximum + 0.3 * (1 - exp(-PPMI)), with a category."""
-    base = plain_weights(pairs).drop("frequency_weight")
+    # written once: the maximum and the scores read the same joined rows
+    base = cut_lineage(plain_weights(pairs).drop("frequency_weight"))
     top = base.agg(F.max("tfidf_weight").alias("tfidf_max"))
     scored = (
         attach_scalars(base, top)
@@ -126,6 +127,7 @@ def combined_weights(pairs: DataFrame) -> DataFrame:
 def minmax_combined(weights: DataFrame) -> DataFrame:
     """Scale each family to [0, 1] (0.5 where constant) and combine 0.2 / 0.5 / 0.3."""
     families = ("frequency_weight", "tfidf_weight", "pmi_weight")
+    weights = cut_lineage(weights)
     limits = weights.agg(
         *[F.min(c).alias(f"_min_{c}") for c in families], *[F.max(c).alias(f"_max_{c}") for c in families]
     )
