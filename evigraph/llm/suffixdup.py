@@ -15,10 +15,10 @@ LENGTH = 200
 ANCHOR = 48
 BLOCK = 1 << 18
 # Bytes of text that are suffix-sorted together; a group with one anchor is never divided.
-SHARD_BYTES = 8 << 20
-# An anchor with more places than this (or this part of all places) is hot: its places are divided
-# into slices of SLICE starts, each with a key of its own.
-HOT_PLACES = 2_000
+SHARD_BYTES = 4 << 20
+# An anchor with more different chunks than this (and more than this part of all chunks) is hot: its
+# runs are divided into slices of SLICE starts, each with a key of its own.
+HOT_KINDS = 2_000
 HOT_PART = 100_000
 SLICE = 4
 
@@ -92,7 +92,7 @@ class Runs:
         return _mix(self._hash(at, size)).view(np.int64)
 
     def divide(self, hot: np.ndarray) -> None:
-        """Cut the runs of the hot anchors (sorted) into slices with keys of their own.
+        """Keep the runs of the hot anchors (sorted) only, cut into slices with keys of their own.
 
         Slice j has the starts at distances of j * SLICE up to (j + 1) * SLICE - 1 before the anchor. All
         strings that start there contain the slice's core, so equal strings are in slices with equal
@@ -103,8 +103,6 @@ class Runs:
         inside = spot < len(hot)
         is_hot[inside] = hot[spot[inside]] == self.anchor[inside]
         runs = np.flatnonzero(is_hot)
-        if not len(runs):
-            return
         near = (self.place[runs] - self.last[runs]) // SLICE
         far = (self.place[runs] - self.first[runs]) // SLICE
         count = far - near + 1
@@ -116,11 +114,9 @@ class Runs:
         last = np.minimum(self.last[run], place - j * SLICE)
         core = self.hash_of(core_at, core_end - core_at).view(np.uint64)
         anchor = _mix(self.anchor[run].view(np.uint64) + core * np.uint64(_BASE) + j.astype(np.uint64)).view(np.int64)
-        rest = ~is_hot
-        join = lambda a, b: np.concatenate((a[rest], b))
-        self.chunk = join(self.chunk, self.hash_of(first, last - first + self.length))
-        self.anchor, self.document, self.place = join(self.anchor, anchor), join(self.document, self.document[run]), join(self.place, place)
-        self.first, self.last = join(self.first, first), join(self.last, last)
+        self.chunk = self.hash_of(first, last - first + self.length)
+        self.anchor, self.document, self.place = anchor, self.document[run], place
+        self.first, self.last = first, last
 
 
 def _blocks(texts: list[bytes], length: int):
@@ -146,20 +142,20 @@ def _blocks(texts: list[bytes], length: int):
         yield block()
 
 
-def _run_rows(docs: DataFrame, length: int, hot: list[int] | None) -> DataFrame:
-    """``anchor`` of every run and, if hot anchors are given, ``chunk, k1, k2, at, more`` too."""
+def _run_rows(docs: DataFrame, length: int, full: bool = True, hot: list[int] | None = None) -> DataFrame:
+    """``anchor`` of every run and, if ``full``, ``chunk, k1, k2, at, more``; slices of hot anchors if given."""
     hot_anchors = None if hot is None else np.sort(np.array(hot, dtype=np.int64))
 
     def run(batches):
         for batch in batches:
             texts = [t.as_py() or b"" for t in batch.column(0).cast(pa.large_binary())]
-            keys = None if hot_anchors is None else [batch.column(c).to_numpy() for c in (1, 2)]
+            keys = [batch.column(c).to_numpy() for c in (1, 2)] if full else None
             for data, begins, ends, numbers, offsets in _blocks(texts, length):
                 runs = Runs(data, begins, ends, length)
-                if keys is None:
+                if not full:
                     yield pa.RecordBatch.from_arrays([pa.array(runs.anchor)], ["anchor"])
                     continue
-                if len(hot_anchors):
+                if hot_anchors is not None:
                     runs.divide(hot_anchors)
                 of = numbers[runs.document]
                 at = runs.first - begins[runs.document] + offsets[runs.document]
@@ -168,8 +164,31 @@ def _run_rows(docs: DataFrame, length: int, hot: list[int] | None) -> DataFrame:
                     ["anchor", "chunk", "k1", "k2", "at", "more"],
                 )
 
-    plain = docs.select("text") if hot is None else docs.select("text", *text_key("text"))
-    return map_arrow(plain, run, "anchor long" if hot is None else "anchor long, chunk long, k1 long, k2 long, at long, more long", 500)
+    plain = docs.select("text", *text_key("text")) if full else docs.select("text")
+    return map_arrow(plain, run, "anchor long, chunk long, k1 long, k2 long, at long, more long" if full else "anchor long", 500)
+
+
+def _chunks(met: DataFrame) -> DataFrame:
+    return met.groupBy("anchor", "chunk").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("k1", "k2", "at", "more")).alias("one"))
+
+
+def _open(chunks: DataFrame) -> DataFrame:
+    """Anchors with a chunk that occurs once and others beside it."""
+    return chunks.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"), F.min("n").alias("least")).where("kinds > 1 and least = 1")
+
+
+def _split_hot(docs: DataFrame, met: DataFrame, chunks: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
+    """The runs and chunks with those of hot anchors divided into slices."""
+    total = scalars(chunks, F.count(F.lit(1)))[0]
+    # at most HOT_PART anchors can have more than total / HOT_PART chunks, so their number is bounded
+    hot = [r.anchor for r in _open(chunks).where(F.col("kinds") > max(HOT_KINDS, total // HOT_PART)).select("anchor").collect()]
+    if not hot:
+        return met, chunks
+    slices = written(_run_rows(docs, length, hot=hot))
+    listed = F.broadcast(docs.sparkSession.createDataFrame([(a,) for a in hot], "anchor long"))
+    met = met.join(listed, "anchor", "left_anti").unionByName(slices)
+    chunks = chunks.join(listed, "anchor", "left_anti").unionByName(written(_chunks(slices)))
+    return met, chunks
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -183,20 +202,10 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
        whole anchors, sorted by external induction; neighbours that share ``length`` bytes are repeats.
     """
     spark = docs.sparkSession
-    counts = written(_run_rows(docs, length, None).groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
-    total = scalars(counts, F.coalesce(F.sum("n"), F.lit(0)))[0]
-    # at most HOT_PART anchors can be as frequent as this, so their number is bounded
-    hot = [r.anchor for r in counts.where(F.col("n") > max(HOT_PLACES, total // HOT_PART)).select("anchor").collect()]
-    runs = _run_rows(docs, length, hot)
-    if hot:
-        # keys of slices are new, so they are counted as they are
-        sliced = runs.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-        counts = written(sliced)
-    met = written(runs.join(counts.select("anchor"), "anchor"))
-    chunks = written(
-        met.groupBy("anchor", "chunk").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("k1", "k2", "at", "more")).alias("one"))
-    )
-    open_ = chunks.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"), F.min("n").alias("least")).where("kinds > 1 and least = 1")
+    counts = written(_run_rows(docs, length, full=False).groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    met = written(_run_rows(docs, length).join(counts.select("anchor"), "anchor"))
+    met, chunks = _split_hot(docs, met, written(_chunks(met)), length)
+    open_ = _open(chunks)
     sorted_ = chunks.join(open_.select("anchor"), "anchor").select("one.*", "anchor", "chunk", (F.col("n") == 1).alias("asked"))
     pieces = sorted_.groupBy("k1", "k2").agg(F.collect_list(F.struct("at", "more", "anchor", "chunk", "asked")).alias("pieces"))
     holders = docs.select(*text_key("text"), F.col("doc_id").cast("long").alias("holder"), "text")

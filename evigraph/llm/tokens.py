@@ -15,7 +15,7 @@ from evigraph.llm.common import map_arrow, written
 
 TOKENIZER = "word_bpe_49k.json"
 # Words whose ids a worker remembers, and words encoded at a time.
-REMEMBERED = 1_000_000
+REMEMBERED = 250_000
 JOINED = 500
 
 _state: dict = {}

@@ -355,7 +355,7 @@ def plain_repeats(texts, length):
 def test_repeats_equal_brute_force(tuned, monkeypatch, hot):
     from evigraph.llm import suffixdup
 
-    monkeypatch.setattr(suffixdup, "HOT_PLACES", hot)
+    monkeypatch.setattr(suffixdup, "HOT_KINDS", hot)
     monkeypatch.setattr(suffixdup, "BLOCK", 1 << 14)
     passage = words(60, 77)
     extra = [(200 + i, words(20, 300 + i) + passage[i % 7 : 320 - i % 5] + words(30, 400 + i), "en", "a", 1) for i in range(25)]
