@@ -63,11 +63,15 @@ def _letters(state: dict, words: list[str]) -> dict[str, bytes]:
     return out
 
 
-def _learn(state: dict, fresh: pa.Array) -> None:
-    """Remember the ids of new words; a word is a run without ASCII white space."""
+def _learn(state: dict, words: pa.Array, fresh: pa.Array) -> None:
+    """Remember the ids of a batch's new words, or of all its words when the memory is emptied for them.
+
+    A word is a run without ASCII white space.
+    """
     known = state["words"]
     if len(known) + len(fresh) > REMEMBERED:
         known.clear()
+        fresh = words
     # letters followed by marks encode as the two parts; an apostrophe may join them, so it is left out
     parts = pc.extract_regex(fresh, r"^(?P<a>\pL+)(?P<b>[!-&(-/:-@\[-`{-~]*)$")
     letters, marks, words = pc.struct_field(parts, "a").to_pylist(), pc.struct_field(parts, "b").to_pylist(), fresh.to_pylist()
@@ -95,11 +99,8 @@ def encode_texts(texts: pa.Array, path: str) -> Iterator[bytes]:
     missing = pa.array([w not in known for w in listed], pa.bool_())
     fresh = words.filter(missing)
     if len(fresh):
-        before = len(known)
-        _learn(state, fresh)
-        if len(known) < before:  # forgotten meanwhile
-            _learn(state, words)
-    ids = [known.get(w, b"") for w in listed]
+        _learn(state, words, fresh)
+    ids = [known[w] for w in listed]
     codes = coded.indices.to_numpy().tolist()
     offsets = pieces.offsets.to_pylist()
     base = offsets[0]

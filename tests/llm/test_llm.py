@@ -137,6 +137,20 @@ def test_ids_are_those_of_the_tokenizer():
         assert np.frombuffer(got, "<u4").tolist() == plain_ids(text)
 
 
+def test_words_known_before_outlive_an_emptied_memory(monkeypatch):
+    import pyarrow as pa
+
+    from evigraph.llm import tokens
+
+    monkeypatch.setattr(tokens, "_state", {})
+    monkeypatch.setattr(tokens, "REMEMBERED", 6)
+    texts = [words(200, 10, 400), *TRICKY]
+    for n in (1, 2, 4, 9, 40, 200, 3):  # each batch has the words of the one before, and more
+        batch = [" ".join(texts[0].split()[:n]), f"w1, {texts[1 + n % len(TRICKY)] or ''}", None]
+        for text, got in zip(batch, tokens.encode_texts(pa.array(batch, pa.string()), tokens.default_tokenizer()), strict=True):
+            assert np.frombuffer(got, "<u4").tolist() == plain_ids(text)
+
+
 def test_histogram_answers_every_limit(tuned):
     from evigraph.llm.tokens import context_limits, token_histogram
 
