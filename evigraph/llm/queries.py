@@ -9,13 +9,16 @@ from evigraph.llm.common import table
 from evigraph.llm.licences import licence_digest, scan_licences
 from evigraph.llm.mixing import mix
 from evigraph.llm.neardup import near_duplicates
+from evigraph.llm.negatives import hard_negatives
 from evigraph.llm.packing import pack_documents
 from evigraph.llm.quality import classify
 from evigraph.llm.sharding import shard
 from evigraph.llm.suffixdup import repeat_digest
 from evigraph.llm.tokens import token_histogram
 from evigraph.llm.topk import top_k
+from evigraph.llm.urls import judge, labelled_by_rules
 from evigraph.llm.vectordup import near_vectors
+from evigraph.llm.whitening import whiten
 
 
 def op1_quality_field(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -141,6 +144,46 @@ def op10_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licence_digest(scan_licences(table(spark, sf_dir, "documents")))
 
 
+def op11_strassen_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten hard negatives for each of five positives of every hundredth embedding."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.col("label").cast("long").alias("label"))
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(rows.withColumn("label", moved))
+
+
+OP11_SQL = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label::BIGINT + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(embedding) > 0),
+s AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, list_dot_product(a.q, b.q)::BIGINT AS score
+  FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+p AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+n AS (
+  SELECT p.anchor_id, positive_id, positive_score, s.vec_id AS negative_id, score AS negative_score,
+         row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, s.vec_id)::INT AS rank
+  FROM p JOIN s ON p.anchor_id = s.anchor_id AND NOT same
+   AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 10
+"""
+
+
+def op12_lanczos_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All embeddings whitened on their four largest components."""
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_boosted_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule and verdict of all page URLs; the trees learn from the URLs that rules decide."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return judge(pages, labelled_by_rules(pages))
+
+
 QUERIES = {
     "op1_quality_field": (op1_quality_field, None),
     "op2_token_histogram": (op2_token_histogram, None),
@@ -152,4 +195,7 @@ QUERIES = {
     "op8_jaccard_join": (op8_jaccard_join, None),
     "op9_packed_sequences": (op9_packed_sequences, None),
     "op10_licence_scan": (op10_licence_scan, None),
+    "op11_strassen_negatives": (op11_strassen_negatives, OP11_SQL),
+    "op12_lanczos_whitening": (op12_lanczos_whitening, None),
+    "op13_boosted_urls": (op13_boosted_urls, None),
 }
