@@ -14,9 +14,12 @@ from evigraph.functions.ordered import spread_running
 from evigraph.llm.common import map_arrow, written
 
 TOKENIZER = "word_bpe_49k.json"
-# Words whose ids a worker remembers, and words encoded at a time.
-REMEMBERED = 250_000
+# Bytes of words and ids that a worker remembers, words encoded at a time and words joined at a time.
+REMEMBERED = 64 << 20
 JOINED = 500
+GATHERED = 250_000
+# Letters, but for the one whose lower case ends in a mark (U+0130).
+LETTERS = r"[^\PL\x{130}]+"
 
 _state: dict = {}
 
@@ -40,72 +43,125 @@ def _load(path: str) -> dict:
         ends = np.zeros(tokenizer.get_vocab_size(), dtype=bool)
         for token, i in tokenizer.get_vocab().items():
             ends[i] = token.endswith("</w>")
-        _state.update(path=path, tokenizer=tokenizer, ends=ends, words={})
+        _state.update(path=path, tokenizer=tokenizer, ends=ends)
+        forget()
     return _state
 
 
-def _letters(state: dict, words: list[str]) -> dict[str, bytes]:
-    """Ids of words of letters only, many joined at a time: each ends at its end-of-word token."""
-    out = {}
+def forget() -> None:
+    """Empty the word memory of a worker, as after the last batch of a task."""
+    _state.update(words=pa.array([], pa.large_string()), ids=np.empty(0, "<u4"), sizes=np.empty(0, np.int64))
+
+
+def _encode(state: dict, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of words one after the other, and how many each has.
+
+    Words of letters only are joined: each ends at its end-of-word token. A word is a run without
+    ASCII white space, or a part of one.
+    """
     tokenizer, ends = state["tokenizer"], state["ends"]
-    chunks = [words[i : i + JOINED] for i in range(0, len(words), JOINED)]
-    for chunk, encoded in zip(chunks, tokenizer.encode_batch_fast([" ".join(c) for c in chunks], add_special_tokens=False), strict=True):
+    plain = pc.match_substring_regex(words, f"^{LETTERS}$").to_numpy(zero_copy_only=False).astype(bool)
+    listed = words.to_pylist()
+    sizes = np.zeros(len(listed), dtype=np.int64)
+    found, places = [], []
+    at = np.flatnonzero(plain)
+    chunks = [at[i : i + JOINED] for i in range(0, len(at), JOINED)]
+    alone = np.flatnonzero(~plain).tolist()
+    joined = tokenizer.encode_batch_fast([" ".join([listed[i] for i in c.tolist()]) for c in chunks], add_special_tokens=False)
+    for chunk, encoded in zip(chunks, joined, strict=True):
         ids = np.array(encoded.ids, dtype="<u4")
         stops = np.flatnonzero(ends[ids]) + 1 if len(ids) else np.empty(0, dtype=np.int64)
         if len(stops) == len(chunk):
-            data, begin = ids.tobytes(), 0
-            for word, end in zip(chunk, stops.tolist(), strict=True):
-                out[word] = data[4 * begin : 4 * end]
-                begin = end
+            sizes[chunk] = np.diff(stops, prepend=0)
+            found.append(ids)
+            places.append(chunk)
         else:  # a letter whose lower case is not a letter alone
-            for word in chunk:
-                out[word] = np.array(tokenizer.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
-    return out
+            alone.extend(chunk.tolist())
+    for i, encoded in zip(alone, tokenizer.encode_batch_fast([listed[i] for i in alone], add_special_tokens=False), strict=True):
+        ids = np.array(encoded.ids, dtype="<u4")
+        sizes[i] = len(ids)
+        found.append(ids)
+        places.append(np.array([i]))
+    if not found:
+        return np.empty(0, "<u4"), sizes
+    # back into the order of the words
+    order = np.concatenate(places)
+    flat = np.concatenate(found)
+    starts = np.empty(len(listed), dtype=np.int64)
+    starts[order] = np.cumsum(sizes[order]) - sizes[order]
+    return _gather(flat, starts, sizes), sizes
 
 
-def _learn(state: dict, words: pa.Array, fresh: pa.Array) -> None:
-    """Remember the ids of a batch's new words, or of all its words when the memory is emptied for them.
+def _gather(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The runs of ``flat`` that begin at ``starts``, one after the other."""
+    shift = starts - (np.cumsum(sizes) - sizes)
+    return flat[np.repeat(shift, sizes) + np.arange(sizes.sum())]
 
-    A word is a run without ASCII white space.
+
+def _remembered(state: dict, parts: pa.Array) -> np.ndarray:
+    """Positions in the word memory of all ``parts`` (distinct), which are encoded where they are new.
+
+    A memory that would grow too large is emptied first and learns all parts anew.
     """
-    known = state["words"]
-    if len(known) + len(fresh) > REMEMBERED:
-        known.clear()
-        fresh = words
-    # letters followed by marks encode as the two parts; an apostrophe may join them, so it is left out
-    parts = pc.extract_regex(fresh, r"^(?P<a>\pL+)(?P<b>[!-&(-/:-@\[-`{-~]*)$")
-    letters, marks, words = pc.struct_field(parts, "a").to_pylist(), pc.struct_field(parts, "b").to_pylist(), fresh.to_pylist()
-    new = _letters(state, list({a for a in letters if a is not None and a not in known}))
-    rest = list({w for w, a in zip(words, letters, strict=True) if a is None} | {b for b in marks if b} - known.keys())
-    encoded = state["tokenizer"].encode_batch_fast(rest, add_special_tokens=False)
-    new.update((w, np.array(e.ids, dtype="<u4").tobytes()) for w, e in zip(rest, encoded, strict=True))
-    known.update(new)
-    known.update((w, known[a] + known[b] if b else known[a]) for w, a, b in zip(words, letters, marks, strict=True) if a is not None)
+    held = pc.index_in(parts, state["words"])
+    fresh = parts.filter(held.is_null())
+    size = state["words"].nbytes + state["ids"].nbytes + state["sizes"].nbytes
+    if len(state["words"]) and size + 4 * fresh.nbytes > REMEMBERED:
+        forget()
+        return _remembered(state, parts)
+    if len(fresh):
+        ids, sizes = _encode(state, fresh)
+        positions = held.fill_null(-1).to_numpy(zero_copy_only=False).copy()
+        positions[positions < 0] = len(state["words"]) + np.arange(len(fresh))
+        state["words"] = pa.concat_arrays([state["words"], fresh])
+        state["ids"] = np.concatenate((state["ids"], ids))
+        state["sizes"] = np.concatenate((state["sizes"], sizes))
+        return positions
+    return held.to_numpy(zero_copy_only=False)
 
 
 def encode_texts(texts: pa.Array, path: str) -> Iterator[bytes]:
     """Token ids of every text as little-endian unsigned 32-bit integers; null encodes to nothing.
 
     The tokenizer drops white space and lowers case, so a text's ids are those of its words in turn
-    and each distinct word is encoded once.
+    and each distinct word is encoded once. Letters followed by marks encode as the two parts; an
+    apostrophe may join them, so a word that has one is encoded whole.
     """
     state = _load(path)
+    if texts.offset:  # pyarrow's ascii kernels misread sliced arrays
+        texts = texts.take(pa.array(np.arange(len(texts))))
     lowered = pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), ""))
     pieces = pc.ascii_split_whitespace(lowered)
     coded = pc.dictionary_encode(pieces.flatten())
     words = coded.dictionary
-    known = state["words"]
-    listed = words.to_pylist()
-    missing = pa.array([w not in known for w in listed], pa.bool_())
-    fresh = words.filter(missing)
-    if len(fresh):
-        _learn(state, words, fresh)
-    ids = [known[w] for w in listed]
-    codes = coded.indices.to_numpy().tolist()
-    offsets = pieces.offsets.to_pylist()
-    base = offsets[0]
-    for begin, end in zip(offsets, offsets[1:], strict=False):
-        yield b"".join([ids[c] for c in codes[begin - base : end - base]])
+    split = pc.extract_regex(words, rf"^(?P<a>{LETTERS})(?P<b>[!-&(-/:-@\[-`{{-~]*)$")
+    first = pc.coalesce(pc.struct_field(split, "a"), words)
+    marks = pc.fill_null(pc.struct_field(split, "b"), "")
+    marked = pc.not_equal(marks, "")
+    parts = pc.dictionary_encode(pa.concat_arrays([first, marks.filter(marked)]))
+    held = _remembered(state, parts.dictionary)
+    part = held[parts.indices.to_numpy()] if len(parts) else np.empty(0, np.int64)
+    # one or two parts a word: positions in the memory, -1 for none
+    pair = np.full((len(words), 2), -1, dtype=np.int64)
+    pair[:, 0] = part[: len(words)]
+    pair[marked.to_numpy(zero_copy_only=False), 1] = part[len(words) :]
+    ids, sizes = state["ids"], state["sizes"]
+    starts = np.cumsum(sizes) - sizes
+    codes = coded.indices.to_numpy()
+    offsets = pieces.offsets.to_numpy() - pieces.offsets[0].as_py()
+    text = 0
+    while text < len(texts):
+        # whole texts, about GATHERED words at a time
+        upto = max(text + 1, int(np.searchsorted(offsets, offsets[text] + GATHERED, "right")) - 1)
+        used = pair[codes[offsets[text] : offsets[upto]]]
+        count = np.where(used >= 0, sizes[used], 0) if len(sizes) else np.zeros(used.shape, dtype=np.int64)
+        ends = np.concatenate(([0], np.cumsum(count.sum(axis=1))))[offsets[text : upto + 1] - offsets[text]]
+        flat = used.ravel()
+        flat = flat[flat >= 0]
+        data = _gather(ids, starts[flat], sizes[flat]).tobytes()
+        for begin, end in zip(ends.tolist(), ends[1:].tolist(), strict=False):
+            yield data[4 * begin : 4 * end]
+        text = upto
 
 
 def length_counts(docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -116,6 +172,7 @@ def length_counts(docs: DataFrame, path: str | None = None) -> DataFrame:
         for batch in batches:
             n = [len(x) // 4 for x in encode_texts(batch.column(0), path)]
             yield pa.RecordBatch.from_arrays([pa.array(n, pa.int64())], ["tokens"])
+        forget()
 
     return map_arrow(docs.select("text"), lengths, "tokens long").groupBy("tokens").agg(F.count(F.lit(1)).alias("docs"))
 
