@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -145,13 +146,16 @@ def scan_licences(docs: DataFrame, phrases: dict[str, str] | None = None) -> Dat
                 words = raw.translate(FOLD).split()
                 n_words.append(len(words))
                 folded = b" %b " % b" ".join(words)
-                found, tagged = [], False
+                found, tagged, blanks = [], False, None
                 # one character a byte, so that positions are those of the bytes
                 for end, phrase in automaton.iter(folded.decode("latin-1")):
                     if phrase == TAG:
                         tagged = True
                     else:
-                        found.append({"phrase": phrase, "label": table[phrase], "word": folded.count(b" ", 0, end - len(phrase) - 1)})
+                        if blanks is None:
+                            blanks = np.flatnonzero(np.frombuffer(folded, np.uint8) == 32)
+                        word = int(np.searchsorted(blanks, end - len(phrase) - 1))
+                        found.append({"phrase": phrase, "label": table[phrase], "word": word})
                 told = []
                 for m in TAG_LINE.finditer(raw) if tagged else ():
                     expression = m[1].decode("utf-8", "replace").strip()
