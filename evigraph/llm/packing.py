@@ -12,12 +12,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evigraph.llm.common import map_arrow, written
-from evigraph.llm.tokens import default_tokenizer, encode_texts
+from evigraph.llm.tokens import default_tokenizer, encode_texts, forget
 
 END = 1
 # Pieces packed together in one task, and the fill below which a sequence is packed again with others.
 BLOCK = 40_000
 LEAST_FILL = 0.995
+# By how much that fill falls after a round that settled less than half of its pieces.
+FILL_STEP = 0.1
 # Local search: underfull bins looked at for a piece, and bins in a row that may fail to empty.
 VISITED = 64
 PATIENCE = 32
@@ -39,6 +41,7 @@ def token_pieces(docs: DataFrame, length: int, path: str) -> DataFrame:
             columns = list(zip(*rows, strict=True)) or [[]] * 5
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
+        forget()
 
     return map_arrow(docs.select(F.col("doc_id").cast("long"), "text"), cut, PIECES)
 
@@ -164,22 +167,24 @@ def pack(pieces: DataFrame, length: int, block: int = BLOCK) -> DataFrame:
 
     Pieces are spread evenly over tasks of about ``block`` pieces, each packed by best fit and local
     search. Sequences that stay below ``LEAST_FILL`` are opened again and packed with those of the
-    other tasks, in fewer and fewer tasks; the rows of a round are a small part of those before.
+    other tasks, in fewer and fewer tasks; the rows of a round are a small part of those before. Where
+    most of a round stay below it (pieces that cannot fill a sequence), the next rounds ask for a tenth
+    less each, so there are at most ten such rounds.
     """
     whole = pieces.where(F.col("length") == length).select(
         "*", F.shiftleft(F.monotonically_increasing_id(), 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset")
     )
     names = pieces.columns
     rest, done, turn = pieces.where(F.col("length") < length), [whole], 0
-    count = rest.count()
+    count, least = rest.count(), LEAST_FILL
     while count:
         tasks = -(-count // block)
-        packed = written(_round(rest.repartition(tasks), length, turn, tasks == 1))
+        packed = written(_round(rest.repartition(tasks), length, turn, 0.0 if tasks == 1 else least))
         done.append(packed.where("settled").drop("settled"))
         rest = packed.where("not settled").select(*names)
         before, count = count, 0 if tasks == 1 else rest.count()
-        if count > before // 2:  # hardly anything was settled: larger tasks cannot help, keep the sequences
-            done[-1], count = packed.drop("settled"), 0
+        if count > before // 2:  # most sequences cannot be filled so far: ask for less from here on
+            least -= FILL_STEP
         turn += 1
     result = done[0]
     for part in done[1:]:
@@ -187,7 +192,7 @@ def pack(pieces: DataFrame, length: int, block: int = BLOCK) -> DataFrame:
     return result
 
 
-def _round(rest: DataFrame, length: int, turn: int, last: bool) -> DataFrame:
+def _round(rest: DataFrame, length: int, turn: int, least: float) -> DataFrame:
     def run(batches):
         from pyspark import TaskContext
 
@@ -201,7 +206,7 @@ def _round(rest: DataFrame, length: int, turn: int, last: bool) -> DataFrame:
         base = (turn << 48 | TaskContext.get().partitionId() << 24) << 1 | 1
         order, sequence, offset, settled = [], [], [], []
         for b, items in enumerate(bins.items):
-            at, full = 0, last or length - bins.free[b] >= LEAST_FILL * length
+            at, full = 0, length - bins.free[b] >= least * length
             for i in items:
                 order.append(i)
                 sequence.append(base + (b << 1))
