@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,6 +55,22 @@ def scalars(df: DataFrame, *aggregates: Column) -> Sequence:
 
 
 def map_arrow(df: DataFrame, function, schema: str, records: int = 2000) -> DataFrame:
-    """``mapInArrow`` in batches of at most ``records`` rows."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(records))
-    return df.mapInArrow(function, schema)
+    """``mapInArrow`` whose ``function`` sees batches of at most ``records`` rows.
+
+    Spark's own batches (limited in rows and bytes by the session, whose settings stay as they are)
+    are copied in parts, so a frame may run at any time after it was made.
+    """
+
+    def bounded(batches):
+        def parts():
+            for batch in batches:
+                if batch.num_rows <= records:
+                    yield batch
+                    continue
+                for begin in range(0, batch.num_rows, records):
+                    # a copy, as some kernels misread arrays that begin inside a buffer
+                    yield batch.take(pa.array(range(begin, min(begin + records, batch.num_rows))))
+
+        yield from function(parts())
+
+    return df.mapInArrow(bounded, schema)
