@@ -63,7 +63,7 @@ class TupleQueue:
         parts += here
         self.waiting[symbol], self.spilled[symbol] = [], []
         if not parts:
-            return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int16)
+            return np.empty(0, dtype=np.int32), np.empty(0, dtype=np.int16)
         return np.concatenate([p for p, _ in parts]), np.concatenate([x for _, x in parts])
 
     def close(self) -> None:
@@ -117,6 +117,11 @@ def _range_minima(values: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.n
     return out
 
 
+def _index(n: int) -> type:
+    """Integers that hold the positions of a text of ``n`` symbols."""
+    return np.int32 if n < (1 << 31) - 1024 else np.int64
+
+
 def _types(text: np.ndarray) -> np.ndarray:
     """True for a suffix smaller than its successor (S); the last one is S."""
     n = len(text)
@@ -126,27 +131,31 @@ def _types(text: np.ndarray) -> np.ndarray:
     decided = np.empty(n, dtype=bool)
     decided[:-1] = text[:-1] != text[1:]
     decided[-1] = True
-    nearest = np.where(decided, np.arange(n), n)
+    nearest = np.where(decided, np.arange(n, dtype=_index(n)), _index(n)(n))
     nearest = np.minimum.accumulate(nearest[::-1])[::-1]
     return rises[nearest]
 
 
 def _names(text: np.ndarray, small: np.ndarray, stars: np.ndarray) -> np.ndarray:
     """Ranks of the substrings between successive S* positions, by rounds of packed symbols."""
-    coded = text.astype(np.uint64) * np.uint64(2) + small
-    bits = int(coded.max()).bit_length()
+    most = 2 * int(text.max()) + 1
+    bits = most.bit_length()
+    kind = np.min_scalar_type(most)
+    n = len(text)
     each = max(1, 64 // bits)
     ends = np.concatenate((stars[1:], stars[-1:]))
     rank = np.zeros(len(stars), dtype=np.int64)
     active = np.arange(len(stars))
     done = 0
-    padded = np.concatenate((coded, np.zeros(each, dtype=np.uint64)))
-    n = len(coded)
+    padded = np.zeros(n + 1, dtype=kind)
+    padded[:n] = text
+    padded[:n] *= kind.type(2)
+    padded[:n] += small
     while len(active):
         key = np.zeros(len(active), dtype=np.uint64)
         for k in range(each):
             at = stars[active] + done + k
-            part = padded[np.minimum(at, n)]
+            part = padded[np.minimum(at, n)].astype(np.uint64)
             part[at > ends[active]] = 0
             key = key << np.uint64(bits) | part
         order = np.lexsort((key, rank[active]))
@@ -222,7 +231,7 @@ def suffix_order(text: np.ndarray, depth: int, in_memory: int = IN_MEMORY, limit
     """
     n = len(text)
     small = _types(text)
-    stars = np.flatnonzero(small[1:] & ~small[:-1]) + 1
+    stars = (np.flatnonzero(small[1:] & ~small[:-1]) + 1).astype(_index(n))
     if not len(stars):
         return np.array([n - 1]), np.zeros(1, dtype=np.int16)
     names = _names(text, small, stars)
@@ -255,7 +264,7 @@ def suffix_order(text: np.ndarray, depth: int, in_memory: int = IN_MEMORY, limit
             kept.append((positions, prefixes))
             before = int(positions[-1])
             _induce(text, small, positions, prefixes, False, queue, least, depth)
-        large[c] = (np.concatenate([p for p, _ in kept]), np.concatenate([x for _, x in kept])) if kept else (np.empty(0, np.int64), np.empty(0, np.int16))
+        large[c] = (np.concatenate([p for p, _ in kept]), np.concatenate([x for _, x in kept])) if kept else (np.empty(0, _index(n)), np.empty(0, np.int16))
         positions, prefixes = ranked[star_at[c] : star_at[c + 1]], seeds[star_at[c] : star_at[c + 1]].copy()
         if len(positions):
             prefixes[0] = 0 if before is None else min(_run(text, before, depth), _run(text, int(positions[0]), depth))
@@ -277,7 +286,7 @@ def suffix_order(text: np.ndarray, depth: int, in_memory: int = IN_MEMORY, limit
             _induce(text, small, positions, prefixes, True, queue, least, depth)
         positions, below = large[c]
         if c == 0:  # the end of the text, which nothing precedes
-            positions, below = np.array([n - 1]), np.zeros(1, dtype=np.int16)
+            positions, below = np.array([n - 1], dtype=_index(n)), np.zeros(1, dtype=np.int16)
         if len(positions):
             positions = positions[::-1]
             prefixes = np.concatenate(([0], below[:0:-1])).astype(np.int16)
@@ -311,11 +320,12 @@ def repeated_starts(chunks: list[bytes], length: int, in_memory: int = IN_MEMORY
     # bytes that occur get symbols from 2 on, the end of a chunk is 1 and that of the text 0
     inside = np.ones(len(raw), dtype=bool)
     inside[stops] = False
-    table = np.zeros(256, dtype=np.int64)
+    table = np.zeros(256, dtype=np.int16)
     found = np.flatnonzero(np.bincount(raw[inside], minlength=256))
     table[found] = np.arange(2, 2 + len(found))
-    text = np.where(inside, table[raw], 1)
-    text = np.concatenate((text, [0])).astype(np.int16)
+    text = np.zeros(len(raw) + 1, dtype=np.int16)
+    text[:-1] = table[raw]
+    text[stops] = 1
     order, prefix = suffix_order(text, length, in_memory, limit)
     hit = np.zeros(len(text), dtype=bool)
     long = np.flatnonzero(prefix >= length)

@@ -15,7 +15,7 @@ LENGTH = 200
 ANCHOR = 48
 BLOCK = 1 << 18
 # Bytes of text that are suffix-sorted together; a group with one anchor is never divided.
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 2 << 20
 # An anchor with more different chunks than this (and more than this part of all chunks) is hot: its
 # runs are divided into slices of SLICE starts, each with a key of its own.
 HOT_KINDS = 2_000

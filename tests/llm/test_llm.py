@@ -151,6 +151,38 @@ def test_words_known_before_outlive_an_emptied_memory(monkeypatch):
             assert np.frombuffer(got, "<u4").tolist() == plain_ids(text)
 
 
+def test_ids_of_made_up_texts_are_those_of_the_tokenizer(monkeypatch):
+    import pyarrow as pa
+
+    from evigraph.llm import tokens
+
+    rng = random.Random(5)
+    letters = ["İ", "İ", "I", "ı", "ß", "ẞ", "ﬁ", "ǅ", "Σ", "ς", "é", "e\u0301", "\u0307", "a", "b", "ʼn", "ŉ", "漢", "ǰ", "ΐ", "ա", "և", "Ⅷ"]
+    marks = ["!", ".", ",", "'", "''", "'s", "’", "-", "_", "$", "“", "…", "1", "²", "\u200b", "\u200d", "\x00", "\x1c", "\x7f", "\xa0", "\u2028", " ", " ", "\n", "\u3000", "<|endoftext|>"]
+    texts = ["".join(rng.choice(letters if rng.random() < 0.6 else marks) for _ in range(rng.randrange(1, 9))) for _ in range(6000)]
+    texts = [" ".join(texts[i : i + 4]) for i in range(0, len(texts), 4)] + texts[:1500]
+    monkeypatch.setattr(tokens, "_state", {})
+    monkeypatch.setattr(tokens, "GATHERED", 50)
+    whole = pa.array([None, *texts], pa.string())
+    for part, want in ((whole, [None, *texts]), (whole.slice(700, 90), texts[699:789])):  # also a slice of an array
+        for text, got in zip(want, tokens.encode_texts(part, tokens.default_tokenizer()), strict=True):
+            assert np.frombuffer(got, "<u4").tolist() == plain_ids_kept(text), repr(text)
+
+
+_kept = {}
+
+
+def plain_ids_kept(text):
+    if "t" not in _kept:
+        from tokenizers import Tokenizer
+
+        from evigraph.llm.tokens import default_tokenizer
+
+        _kept["t"] = Tokenizer.from_file(default_tokenizer())
+        _kept["t"].encode_special_tokens = True
+    return _kept["t"].encode(text or "", add_special_tokens=False).ids
+
+
 def test_histogram_answers_every_limit(tuned):
     from evigraph.llm.tokens import context_limits, token_histogram
 
@@ -541,3 +573,52 @@ def test_pipeline_stages(tuned, tmp_path):
             assert set(docs.columns) == set(frame.columns)
     assert counts[0] == 62 and counts[1] == 60 and counts[2] == 60
     assert corpus_pipeline.run(tuned, str(tmp_path)).count() == counts[-1]
+
+
+def test_long_text_of_phrases_is_scanned_in_linear_time(tuned):
+    import time
+
+    from evigraph.llm.licences import licence_digest, scan_licences
+
+    n = 400_000
+    docs = tuned.createDataFrame([(1, "x " + "cc by nc " * n)], "doc_id long, text string")
+    begun = time.time()
+    r = licence_digest(scan_licences(docs)).first()
+    assert (r.n_words, r.n_base, r.first_word, r.last_word) == (3 * n + 1, n, 1, 3 * n - 2)
+    assert time.time() - begun < 60
+
+
+def test_pieces_that_cannot_fill_a_sequence_are_still_packed_together(tuned):
+    from evigraph.llm.packing import pack
+
+    rng = random.Random(3)
+    pieces = [(i, 0, 0, 60 if i % 3 else rng.randrange(1, 40), 0) for i in range(3000)]
+    rows = pack(tuned.createDataFrame(pieces, "doc_id long, piece int, start long, length long, ids_crc32 long"), 100, 300).collect()
+    assert sorted(r.doc_id for r in rows) == list(range(3000))
+    places = collections.defaultdict(list)
+    for r in rows:
+        places[r.sequence_id].append((r.offset, r.length))
+    for held in places.values():
+        at = 0
+        for offset, length in sorted(held):
+            assert offset == at
+            at += length
+        assert at <= 100
+    # no sequence holds two of the 2,000 large pieces; the small ones fit beside them
+    assert len(places) == 2000
+
+
+def test_frames_made_before_others_still_see_small_batches(tuned):
+    import pyarrow as pa
+
+    from evigraph.llm.common import map_arrow
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])
+
+    rows = tuned.range(5000)
+    before = tuned.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    first, second = map_arrow(rows, sizes, "n long", 3), map_arrow(rows, sizes, "n long", 100)
+    assert max(r.n for r in first.collect()) == 3 and max(r.n for r in second.collect()) == 100
+    assert tuned.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
