@@ -9,13 +9,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evigraph.llm.common import map_arrow
+from evigraph.llm.common import map_arrow, text_key
 
-# Labelled rows the model is fitted on, and lines of each of them. Scoring has no such bound.
+# Labelled rows the model is fitted on, and lines that these may have together: 132 bytes a line reach the
+# driver, 66 MB at most. Training texts are whole, and scoring has no such bounds.
 TRAIN_ROWS = 6_000
-TRAIN_LINES = 400
+TRAIN_LINES = 500_000
 THRESHOLD = 0.7
-# Bytes whose features are computed together; a longer line is judged in parts of this size.
+# Bytes whose features are computed together; the counts of a longer line are added up over such parts.
 BLOCK = 1 << 20
 PART = 1 << 18
 
@@ -35,30 +36,85 @@ _mix = np.random.default_rng(11).integers(1, 1 << 62, size=(256,), dtype=np.int6
 _powers = np.cumprod(np.full(256, 0x9E3779B97F4A7C15, dtype=np.uint64))
 
 
-def _own_features(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Features of lines that lie in ``data`` one after another, each ended by a new-line byte."""
+# Columns of a line's counts: its byte classes, then words, repeated words, words with symbols and bytes.
+WORDS, AGAIN, MARKED, SIZE = range(N_CLASSES, N_CLASSES + 4)
+
+
+class _LineCounter:
+    """Counts of one line whose bytes come in parts; a word may go over the end of a part."""
+
+    def __init__(self):
+        self.counts = np.zeros(SIZE + 1)
+        self.last = None  # code of the last whole word
+        self.at, self.code, self.symbol = 0, np.uint64(0), False  # the word at the end of the last part
+
+    def add(self, data: np.ndarray) -> None:
+        kinds = CLASSES[data]
+        self.counts[:N_CLASSES] += np.bincount(kinds, minlength=N_CLASSES)
+        self.counts[SIZE] += len(data)
+        inside = kinds != 4
+        if self.at and not inside[0]:
+            self.close()
+        begins = np.flatnonzero(inside & ~np.concatenate(([False], inside[:-1])))
+        if not len(begins):
+            return
+        at = np.arange(len(data)) - np.repeat(np.concatenate(([0], begins)), np.diff(np.concatenate(([0], begins, [len(data)]))))
+        if self.at:  # the first word goes on
+            at[: begins[1] if len(begins) > 1 else len(data)] += self.at
+        value = np.where(inside, _mix[data] * _powers[at & 255], np.uint64(0))
+        code = np.add.reduceat(value, begins)
+        symbol = np.add.reduceat((kinds == 6).astype(np.int64), begins) > 0
+        if self.at:
+            code[:1] += self.code
+            symbol[0] |= self.symbol
+        self.at = 0
+        if inside[-1]:
+            self.at, self.code, self.symbol = int(at[-1]) + 1, code[-1], bool(symbol[-1])
+            code, symbol = code[:-1], symbol[:-1]
+        if len(code):
+            self.counts[WORDS] += len(code)
+            self.counts[MARKED] += symbol.sum()
+            self.counts[AGAIN] += (code[1:] == code[:-1]).sum() + (self.last is not None and self.last == code[0])
+            self.last = code[-1]
+
+    def close(self) -> None:
+        """End the word that reached the end of the last part."""
+        if self.at:
+            self.counts[WORDS] += 1
+            self.counts[MARKED] += self.symbol
+            self.counts[AGAIN] += self.last is not None and self.last == self.code
+            self.last, self.at = self.code, 0
+
+
+def _counts(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Counts of lines that lie in ``data`` one after another, each ended by a new-line byte."""
     n = len(starts)
     line = np.repeat(np.arange(n), ends - starts + 1)
     kinds = CLASSES[data]
     kinds[ends] = 4
-    counts = np.bincount(line * N_CLASSES + kinds, minlength=n * N_CLASSES).reshape(n, N_CLASSES).astype(np.float64)
-    counts[:, 4] -= 1
-    size = np.maximum(ends - starts, 1).astype(np.float64)
+    out = np.zeros((n, SIZE + 1))
+    out[:, :N_CLASSES] = np.bincount(line * N_CLASSES + kinds, minlength=n * N_CLASSES).reshape(n, N_CLASSES)
+    out[:, 4] -= 1
+    out[:, SIZE] = ends - starts
     inside = kinds != 4
     begins = np.flatnonzero(inside & ~np.concatenate(([False], inside[:-1])))
-    words = np.zeros(n)
-    again = np.zeros(n)
-    marked = np.zeros(n)
     if len(begins):
         at = np.arange(len(data)) - np.repeat(np.concatenate(([0], begins)), np.diff(np.concatenate(([0], begins, [len(data)]))))
         value = np.where(inside, _mix[data] * _powers[at & 255], np.uint64(0))
         code = np.add.reduceat(value, begins)
         symbols = np.add.reduceat((kinds == 6).astype(np.int64), begins)
         of = line[begins]
-        words = np.bincount(of, minlength=n).astype(np.float64)
+        out[:, WORDS] = np.bincount(of, minlength=n)
         same = np.concatenate(([False], (code[1:] == code[:-1]) & (of[1:] == of[:-1])))
-        again = np.bincount(of[same], minlength=n).astype(np.float64)
-        marked = np.bincount(of[symbols > 0], minlength=n).astype(np.float64)
+        out[:, AGAIN] = np.bincount(of[same], minlength=n)
+        out[:, MARKED] = np.bincount(of[symbols > 0], minlength=n)
+    return out
+
+
+def _own_features(counts: np.ndarray) -> np.ndarray:
+    """Features of lines from their counts."""
+    size = np.maximum(counts[:, SIZE], 1)
+    words = counts[:, WORDS]
     count = np.maximum(words, 1)
     letters = np.maximum(counts[:, 1] + counts[:, 2], 1)
     return np.stack(
@@ -67,8 +123,8 @@ def _own_features(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.
             counts[:, 3] / size,
             counts[:, 5] / size,
             np.minimum(counts[:, 6] / size * 5, 1),
-            again / count,
-            marked / count,
+            counts[:, AGAIN] / count,
+            counts[:, MARKED] / count,
             np.minimum(letters / count / 20, 1),
             np.log1p(size) / 12,
             np.minimum(counts[:, 2] / count, 1),
@@ -78,6 +134,26 @@ def _own_features(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.
     )
 
 
+def _long_text(text: bytes) -> Iterator[np.ndarray]:
+    """Counts of the lines of a long text, some lines or one long line at a time."""
+    i = 0
+    while i <= len(text):
+        j = len(text) if len(text) - i <= PART else text.rfind(b"\n", i, i + PART)
+        if j >= i:
+            raw = np.frombuffer(text[i:j] + b"\n", dtype=np.uint8)
+            ends = np.flatnonzero(raw == 10)
+            yield _counts(raw, np.concatenate(([0], ends[:-1] + 1)), ends)
+        else:
+            j = text.find(b"\n", i)
+            j = len(text) if j < 0 else j
+            line = _LineCounter()
+            for at in range(i, j, PART):
+                line.add(np.frombuffer(text, dtype=np.uint8, count=min(PART, j - at), offset=at))
+            line.close()
+            yield line.counts[None]
+        i = j + 1
+
+
 def _with_neighbours(own: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
     """Own features, those of the lines before and after, flags of the ends and a constant."""
     before = np.concatenate((np.zeros((1, N_OWN)), own[:-1]))
@@ -96,35 +172,20 @@ def line_features(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray,
             size += len(texts[at]) + 1
             at += 1
         group = texts[begin:at]
-        owns, lengths, owners = [], [], []
         if size <= BLOCK:
-            parts = [(b"\n".join(group), [len(t) for t in group])]
-        else:  # one long document, cut so that no array grows with it
-            text = group[0]
-            parts = []
-            i = 0
-            while i < len(text) or not parts:
-                j = len(text)
-                if j - i > PART:
-                    j = text.rfind(b"\n", i, i + PART)
-                    j = i + PART if j < i else j
-                parts.append((text[i:j], None))
-                i = j + 1 if text[j : j + 1] == b"\n" else j
-        for data, sizes in parts:
-            raw = np.frombuffer(data + b"\n", dtype=np.uint8)
+            raw = np.frombuffer(b"\n".join(group) + b"\n", dtype=np.uint8)
             ends = np.flatnonzero(raw == 10)
             starts = np.concatenate(([0], ends[:-1] + 1))
-            owns.append(_own_features(raw, starts, ends))
-            lengths.append(ends - starts)
-            if sizes is None:
-                owners.append(np.full(len(ends), number))
-            else:
-                stops = np.cumsum(np.array(sizes) + 1)
-                owners.append(number + np.searchsorted(stops, starts, side="right"))
-        own, owner = np.concatenate(owns), np.concatenate(owners)
+            counts = _counts(raw, starts, ends)
+            stops = np.cumsum(np.array([len(t) for t in group]) + 1)
+            owner = number + np.searchsorted(stops, starts, side="right")
+        else:  # one long document, described in parts so that no array grows with its bytes
+            counts = np.concatenate(list(_long_text(group[0])))
+            owner = np.full(len(counts), number)
+        own, lengths = _own_features(counts), counts[:, SIZE].astype(np.int64)
         change = owner[1:] != owner[:-1]
         first, last = np.concatenate(([True], change)), np.concatenate((change, [True]))
-        yield _with_neighbours(own, first, last), np.concatenate(lengths), owner
+        yield _with_neighbours(own, first, last), lengths, owner
         number += len(group)
 
 
@@ -196,26 +257,40 @@ def _document_inputs(bad: np.ndarray, length: np.ndarray, owner: np.ndarray, bas
     return np.stack((mass / np.maximum(total, 1), np.log1p(mass) / 5, np.ones(count)), axis=1)
 
 
-def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> tuple | None:
-    """Fit the field on at most ``rows`` labelled documents, of each the first ``TRAIN_LINES`` lines.
+def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, lines: int = TRAIN_LINES) -> tuple | None:
+    """Fit the field on at most ``rows`` labelled documents of at most ``lines`` lines together.
 
-    A line starts with the label of its document; then lines of bad documents that the field finds
-    good are taken as good and the field is fitted again. At last a logistic curve turns the
-    length-weighted marginals into the probability of label 1. None without any labelled row.
+    Rows are taken in the order of a hash of their id; one with more lines than are left is passed over.
+    Equal rows count once; of contradicting labels each counts. A line starts with the label of its
+    document; then lines of bad documents that the field finds good are taken as good and the field is
+    fitted again. At last a logistic curve turns the length-weighted marginals into the probability of
+    label 1. None without any labelled row; with labels of one kind the scores lean to it.
     """
     known = (
         labels.select(F.col("doc_id").alias("label_id"), "quality")
         .where("quality in (0, 1) and label_id is not null")
+        .distinct()
         .orderBy(F.md5(F.col("label_id").cast("string")), "label_id", "quality")
         .limit(rows)
     )
+    keys = ["label_id", "quality", "k1", "k2"]
+    text = F.coalesce("text", F.lit(""))
     # at most ``rows`` pairs of numbers are broadcast
-    labelled = docs.select("doc_id", "text").join(F.broadcast(known), F.col("doc_id") == F.col("label_id")).select("text", "quality")
+    labelled = docs.select("doc_id", "text", *text_key("text")).join(F.broadcast(known), F.col("doc_id") == F.col("label_id"))
+    sized = labelled.select(*keys, (F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).alias("lines")).distinct()
+    chosen, left = [], lines
+    for r in sized.orderBy(F.md5(F.col("label_id").cast("string")), *keys).limit(rows).collect():
+        if r.lines <= left:
+            chosen.append(tuple(r[k] for k in keys))
+            left -= r.lines
+    if not chosen:
+        return None
+    picked = docs.sparkSession.createDataFrame(chosen, labelled.select(*keys).schema)
+    whole = labelled.join(F.broadcast(picked), keys).select(*keys, "text").dropDuplicates(keys).select("text", "quality")
 
     def describe(batches):
         for batch in batches:
             texts = [t.as_py() or b"" for t in batch.column(0).cast(pa.large_binary())]
-            texts = [b"\n".join(t.split(b"\n", TRAIN_LINES)[:TRAIN_LINES]) for t in texts]
             features, lengths = [], []
             for x, length, owner in line_features(texts):
                 first, count = _chains(owner)
@@ -224,9 +299,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> tuple |
                     lengths.append(length[f : f + c].tolist())
             yield pa.RecordBatch.from_arrays([pa.array(features, pa.binary()), pa.array(lengths, pa.list_(pa.int64())), batch.column(1)], ["x", "length", "quality"])
 
-    sample = map_arrow(labelled, describe, "x binary, length array<long>, quality int").limit(rows).toPandas()
-    if not len(sample):
-        return None
+    sample = map_arrow(whole, describe, "x binary, length array<long>, quality int").toPandas()
     sample = sample.sort_values(["quality", "x"])  # so that reruns fit on the same order
     x = np.concatenate([np.frombuffer(b, dtype="<f4").reshape(-1, N_FEATURES) for b in sample.x]).astype(np.float64)
     length = np.concatenate(sample.length.to_list())
@@ -289,7 +362,7 @@ def classify(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Data
 
     Only labels of rows that are not held out are read; a document's score depends on its text alone.
     ``predicted`` is 1 from ``THRESHOLD`` on. Null ids are not held out. Rows with equal ``doc_id`` are
-    separate documents, and labels given twice count twice. Other columns are ignored.
+    separate documents. Other columns are ignored.
     """
     model = train(docs, labels.where(~F.coalesce(held_out("doc_id"), F.lit(False))), rows)
     return score_documents(docs, model).select(

@@ -91,6 +91,37 @@ def test_quality_edge_cases(tuned):
     assert np.allclose(x[1], y[1]) and len(length) == 5000 and set(owner) == {0}
 
 
+def test_counts_of_long_lines_are_added_up(monkeypatch):
+    from evigraph.llm import quality
+
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("ab Z9.!\té漢\n" if rng.random() < 0.2 else "ab Z!") for _ in range(rng.randrange(1, 400))).encode() for _ in range(60)]
+    texts += [b"a a a!" * 90, b"\n" * 70, b"x" * 300 + b"\n", b"go go  " * 40 + b"\n\nlast", b" " * 200]
+    want = [next(iter(quality.line_features([t]))) for t in texts]
+    monkeypatch.setattr(quality, "BLOCK", 20)
+    for part in (1, 7, 64):
+        monkeypatch.setattr(quality, "PART", part)
+        for t, (x, length, owner) in zip(texts, want):
+            got = next(iter(quality.line_features([t])))
+            assert np.allclose(got[0], x) and (got[1] == length).all() and (got[2] == owner).all()
+
+
+def test_quality_learns_from_whole_texts_and_any_labels(tuned):
+    from evigraph.llm.quality import classify, train
+
+    docs, labels = quality_corpus(tuned, 120)
+    # bad only after 600 good lines; a line of a megabyte; null, other and contradicting labels
+    good = "\n".join(words(8, k).capitalize() + "." for k in range(600))
+    more = tuned.createDataFrame([(1000 + i, good + "\n" + "BUY!! NOW!! CLICK!! " * 400 * (i % 2), "en", "s", 1) for i in range(40)] + [(2000, "BUY!! " * 180_000, "en", "s", 1)], DOCS)
+    told = tuned.createDataFrame([(1000 + i, 1 - i % 2) for i in range(40)] + [(0, None), (0, 0), (4, 7), (None, 1)], "doc_id long, quality int")
+    got = {r.doc_id: r for r in classify(docs.unionByName(more), labels.unionByName(told)).collect()}
+    late = [got[1000 + i] for i in range(40)]
+    assert sum(r.predicted == 1 - i % 2 for i, r in enumerate(late)) >= 36
+    assert got[2000].predicted == 0
+    # the line budget leaves out rows, never parts of them
+    assert train(docs, labels, lines=3) is None and train(docs, labels, lines=40) is not None
+
+
 def test_marginals_equal_enumeration():
     from evigraph.llm.quality import marginals
 
