@@ -6,17 +6,15 @@ columns of ``documents`` (the last one: packed pieces).
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
-from evigraph.llm.common import table
+from evigraph.llm.common import table, written
 from evigraph.llm.mixing import apply_mix
 from evigraph.llm.neardup import keep_representatives
 from evigraph.llm.packing import pack_documents
 from evigraph.llm.quality import keep_good
 from evigraph.llm.suffixdup import strip_repeats
-from evigraph.session import checkpoint_dir, tune
+from evigraph.session import tune
 
 
 def reject_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -64,7 +62,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for number, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if number < last:
-            path = f"{checkpoint_dir(spark)}/stages/{uuid.uuid4().hex}-{name}"
-            docs.write.parquet(path)
-            docs = spark.read.parquet(path)
+            docs = written(docs, "stages", f"-{name}")
     return docs

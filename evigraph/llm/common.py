@@ -13,25 +13,34 @@ from evigraph.session import checkpoint_dir, tune
 
 # Frees the shuffle files of a written table as soon as it is written.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+RECORDS = 2000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return tune(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def written(df: DataFrame) -> DataFrame:
+def written(df: DataFrame, folder: str = "tables", name: str = "") -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and go on from the table.
 
-    A lost executor re-reads the table instead of replaying the plan behind it.
+    A lost executor re-reads the table instead of replaying the plan behind it. While it is written,
+    batches for Python workers are small; the session's own settings are put back after it.
     """
     spark = df.sparkSession
-    path = f"{checkpoint_dir(spark)}/tables/{uuid.uuid4().hex}"
-    before = spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
+    path = f"{checkpoint_dir(spark)}/{folder}/{uuid.uuid4().hex}{name}"
+    settings = {CLEANUP: "true", BATCH: str(RECORDS)}
+    before = {key: spark.conf.get(key, None) for key in settings}
     try:
+        for key, value in settings.items():
+            spark.conf.set(key, value)
         df.write.parquet(path)
     finally:
-        spark.conf.set(CLEANUP, before)
+        for key, value in before.items():
+            if value is None:
+                spark.conf.unset(key)
+            else:
+                spark.conf.set(key, value)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -54,7 +63,7 @@ def scalars(df: DataFrame, *aggregates: Column) -> Sequence:
     return df.agg(*aggregates).first()
 
 
-def map_arrow(df: DataFrame, function, schema: str, records: int = 2000) -> DataFrame:
+def map_arrow(df: DataFrame, function, schema: str, records: int = RECORDS) -> DataFrame:
     """``mapInArrow`` whose ``function`` sees batches of at most ``records`` rows.
 
     Spark's own batches (limited in rows and bytes by the session, whose settings stay as they are)
@@ -72,5 +81,7 @@ def map_arrow(df: DataFrame, function, schema: str, records: int = 2000) -> Data
                     yield batch.take(pa.array(range(begin, min(begin + records, batch.num_rows))))
 
         yield from function(parts())
+        # a worker lives on after its task; what that no longer needs goes back to the system
+        pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(bounded, schema)
