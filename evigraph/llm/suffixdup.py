@@ -20,7 +20,7 @@ SHARD_BYTES = 2 << 20
 # runs are divided into slices of SLICE starts, each with a key of its own.
 HOT_KINDS = 2_000
 HOT_PART = 100_000
-SLICE = 4
+SLICE = 16
 
 _BASE = 0x9E3779B97F4A7C15
 _state: dict = {}
