@@ -81,7 +81,8 @@ def search_vectors(
     them tile by tile and lets only the best n per query and collection out. Null is a collection.
     """
     limit = 1.0 - threshold
-    q = queries.select("query_id", "embedding")
+    # a column of its own, as queries may be rows of the chunks
+    q = queries.select("query_id", F.col("embedding").cast("array<double>").alias("embedding"))
     c = chunks.select("collection", "chunk_id", "embedding")
     q_blocks = max(1, -(-q.count() // query_rows))
     c_blocks = max(1, -(-c.count() // chunk_rows))

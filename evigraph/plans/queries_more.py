@@ -9,7 +9,9 @@ from evigraph.operators import memo as me
 from evigraph.operators import pairs as pr
 from evigraph.operators import predict as pd_
 from evigraph.operators import safety as sf
+from evigraph.operators import vector_index as vi
 from evigraph.plans.tables import rnd, rounded, table
+from evigraph.session import cut_lineage
 
 
 def latest_names(spark, sf_dir):
@@ -57,7 +59,16 @@ def threshold_warnings(spark, sf_dir):
     return docs.select("doc_id", F.array_join(sf.threshold_warnings(c, 1 - c), " / ").alias("warnings"))
 
 
+def vector_topk_index(spark, sf_dir):
+    """Five nearest vectors of every hundredth vector through the inverted file."""
+    rows = table(spark, sf_dir, "embeddings").select(F.col("label").cast("string").alias("collection"), F.col("vec_id").alias("chunk_id"), "embedding")
+    cells = vi.fit_cells(rows)
+    asked = rows.where(F.col("chunk_id") % 100 == 0).select(F.col("chunk_id").alias("query_id"), "embedding")
+    return rounded(vi.search_index(asked, cut_lineage(vi.build_index(rows, cells)), cells, threshold=-3.0), "distance")
+
+
 QUERIES = {
+    "vector_topk_index": (vector_topk_index, None),
     "latest_names": (latest_names, "SELECT o_custkey, arg_max(o_orderpriority, o_orderkey) AS o_orderpriority FROM orders GROUP BY o_custkey"),
     "quick_confidence": (quick_confidence, """WITH u AS (SELECT DISTINCT user_id AS query_id FROM events)
         SELECT query_id,
