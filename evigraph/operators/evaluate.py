@@ -6,7 +6,7 @@ totals are plain aggregates.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evigraph.functions.numeric import harmonic, ratio
@@ -32,22 +32,38 @@ def true_spans(annotated: DataFrame) -> DataFrame:
                        (F.col("e.start") + F.char_length("e.text")).cast("int").alias("end"))
 
 
-def _arrays(spans: DataFrame, name: str) -> DataFrame:
-    item = F.struct(F.col("seq").cast("int").alias("seq"), "text", "type", F.col("start").cast("int").alias("start"),
-                    F.col("end").cast("int").alias("end"))
-    return spans.groupBy("id").agg(F.array_sort(F.collect_list(item)).alias(name))
+def _clusters(spans: DataFrame) -> DataFrame:
+    """A number per run of spans of a document that overlap each other in a chain, predictions or truths.
+
+    One sweep over the starts: a span opens a new run where every earlier one has ended. Spans of
+    different runs can't overlap, so a run is matched on its own.
+    """
+    sweep = Window.partitionBy("id").orderBy("start", "end", "side", "seq")
+    before = sweep.rowsBetween(Window.unboundedPreceding, -1)
+    opens = F.coalesce(F.col("start") >= F.max("end").over(before), F.lit(False))
+    flagged = spans.withColumn("_opens", opens.cast("int"))
+    return flagged.withColumn("run", F.sum("_opens").over(sweep.rowsBetween(Window.unboundedPreceding, 0))).drop("_opens")
 
 
 def match_spans(pred: DataFrame, truth: DataFrame, ids: DataFrame | None = None) -> DataFrame:
     """One row per match: ``id, kind, overlap, pred, truth``.
 
     Predictions are taken in order; each takes the free truth with the largest overlap (the first on
-    ties). Kinds: exact, type_mismatch (overlap >= 0.8), partial, no_match, missing.
+    ties). Kinds: exact, type_mismatch (overlap >= 0.8), partial, no_match, missing. With ``ids`` only
+    their spans count. A null id is a document like any other.
+
+    Spans are cut into runs that overlap (see :func:`_clusters`) and folded run by run, so the work grows
+    with the number of spans unless a great many of them overlap at one place.
     """
-    p, t = _arrays(pred, "p"), _arrays(truth, "t")
-    both = p.join(t, "id", "full") if ids is None else ids.select("id").join(p, "id", "left").join(t, "id", "left")
+    item = F.struct(F.col("seq").cast("int").alias("seq"), "text", "type", F.col("start").cast("int").alias("start"),
+                    F.col("end").cast("int").alias("end"))
+    cols = ["id", "seq", "text", "type", "start", "end"]
+    spans = pred.select(*cols, F.lit(0).alias("side")).unionByName(truth.select(*cols, F.lit(1).alias("side")))
+    if ids is not None:
+        spans = spans.join(ids.select("id").distinct(), "id", "left_semi")
+    side = lambda n: F.array_sort(F.collect_list(F.when(F.col("side") == n, item)))
     empty = F.array().cast(_SPAN)
-    both = both.select("id", F.coalesce("p", empty).alias("p"), F.coalesce("t", empty).alias("t"))
+    both = _clusters(spans).groupBy("id", "run").agg(F.coalesce(side(0), empty).alias("p"), F.coalesce(side(1), empty).alias("t"))
     match_type = "struct<p:int,t:int,overlap:double>"
 
     def overlap(a: Column, b: Column) -> Column:

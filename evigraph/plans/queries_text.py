@@ -315,6 +315,52 @@ sorted AS (SELECT doc_id, list({'label': label, 'name': name, 'mention': mention
 kept AS (SELECT doc_id, unnest(list_reduce(list_transform(l, lambda x: {'k': [x], 'e': x.e}),
     lambda a, b: CASE WHEN b.k[1].s >= a.e THEN {'k': a.k || b.k, 'e': b.e} ELSE a END).k) AS k FROM sorted)"""
 
+BOUNDED = FOUND + r""",
+bounded AS (SELECT doc_id, chr(1) || regexp_replace(lower(text), '[^\p{L}\p{N}\p{M}_ ]', chr(1), 'g') || chr(1) AS t FROM documents),
+b AS (SELECT doc_id, label, name, least(nullif(instr(t, ' ' || name || ' '), 0), nullif(instr(t, ' ' || name || chr(1)), 0),
+        nullif(instr(t, chr(1) || name || ' '), 0), nullif(instr(t, chr(1) || name || chr(1)), 0)) - 1 AS s
+      FROM (SELECT DISTINCT doc_id, label, name FROM found) JOIN bounded USING (doc_id))"""
+
+# both extractions without overlaps, predictions taken in order, each with the free truth of largest overlap
+MATCHED = BOUNDED + """,
+spans AS (SELECT doc_id, 'p' AS side, label, mention AS text, s, e FROM found
+    UNION ALL SELECT doc_id, 't', label, substr(text, s + 1, length(name)), s, s + length(name) FROM b JOIN documents USING (doc_id) WHERE s IS NOT NULL),
+ordered AS (SELECT doc_id, side, list({'type': label, 'text': text, 's': s, 'e': e} ORDER BY s, e DESC, label) AS l FROM spans GROUP BY ALL),
+alone AS (SELECT doc_id, side, list_reduce(list_transform(l, lambda x: {'k': [x], 'e': x.e}),
+    lambda a, b: CASE WHEN b.k[1].s >= a.e THEN {'k': a.k || b.k, 'e': b.e} ELSE a END).k AS l FROM ordered),
+sides AS (SELECT doc_id, coalesce(any_value(l) FILTER (side = 'p'), []) AS p, coalesce(any_value(l) FILTER (side = 't'), []) AS t
+    FROM alone GROUP BY doc_id),
+folded AS (SELECT doc_id, p, t, list_reduce(
+    [{'a': t[0], 'out': []::STRUCT(o DOUBLE, j BIGINT)[]}] || list_transform(p, lambda a: {'a': a, 'out': []::STRUCT(o DOUBLE, j BIGINT)[]}),
+    lambda st, x: {'a': x.a, 'out': st.out || [list_sort(list_transform(
+        list_filter(range(1, len(t) + 1), lambda j: least(x.a.e, t[j].e) > greatest(x.a.s, t[j].s) AND NOT list_contains(list_transform(st.out, lambda u: u.j), j)),
+        lambda j: {'o': -(least(x.a.e, t[j].e) - greatest(x.a.s, t[j].s)) / greatest(x.a.e - x.a.s, t[j].e - t[j].s), 'j': j}))[1]]}).out AS out
+    FROM sides),
+m AS (SELECT doc_id, p[i] AS pred, t[out[i].j] AS truth, -out[i].o AS o FROM (SELECT *, unnest(range(1, len(p) + 1)) AS i FROM folded)
+    UNION ALL SELECT doc_id, NULL, t[j], 0 FROM (SELECT *, unnest(range(1, len(t) + 1)) AS j FROM folded) WHERE NOT list_contains(list_transform(out, lambda u: u.j), j)),
+matches AS (SELECT *, CASE WHEN truth IS NULL THEN 'no_match' WHEN pred IS NULL THEN 'missing' WHEN o < 0.8 THEN 'partial'
+    WHEN pred.type = truth.type THEN 'exact' ELSE 'type_mismatch' END AS kind FROM m)"""
+
+METRICS = """count(*) FILTER (kind = 'exact') AS exact_matches, count(*) FILTER (kind = 'partial') AS partial_matches,
+    count(*) FILTER (kind = 'type_mismatch') AS type_mismatches, count(*) FILTER (kind = 'no_match') AS false_positives,
+    count(*) FILTER (kind = 'missing') AS false_negatives, count(pred) AS total_predictions, count(truth) AS total_ground_truth"""
+
+RATES = """coalesce(exact_matches / nullif(total_predictions, 0), 0) AS precision, coalesce(exact_matches / nullif(total_ground_truth, 0), 0) AS recall,
+    coalesce(2 * exact_matches / nullif(total_predictions + total_ground_truth, 0), 0) AS f1_score,
+    coalesce(exact_matches / nullif(greatest(total_predictions, total_ground_truth), 0), 0) AS accuracy"""
+
+# per document and type, then means weighted by support
+TYPED = """marks AS (
+    SELECT doc_id, pred.type AS type, 1 AS tp, 0 AS fp, 0 AS fn FROM matches WHERE kind = 'exact'
+    UNION ALL SELECT doc_id, pred.type, 0, 1, 0 FROM matches WHERE kind IN ('no_match', 'type_mismatch')
+    UNION ALL SELECT doc_id, truth.type, 0, 0, 1 FROM matches WHERE kind IN ('missing', 'type_mismatch')),
+per AS (SELECT doc_id, type, sum(tp) AS tp, sum(fp) AS fp, sum(fn) AS fn FROM marks GROUP BY ALL),
+typed AS (SELECT type, sum(tp + fn)::BIGINT AS support,
+    coalesce(sum(coalesce(tp / nullif(tp + fp, 0), 0) * (tp + fn)) / nullif(sum(tp + fn), 0), 0) AS precision,
+    coalesce(sum(coalesce(tp / nullif(tp + fn, 0), 0) * (tp + fn)) / nullif(sum(tp + fn), 0), 0) AS recall,
+    coalesce(sum(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0) * (tp + fn)) / nullif(sum(tp + fn), 0), 0) AS f1_score
+    FROM per GROUP BY type)"""
+
 PART_NAMES = """d AS (SELECT 'd:' || p_partkey AS concept_id, lower(p_brand || ' ' || p_type || ' (' || p_size || ')') AS name,
     'DISEASE' AS concept_type, p_partkey AS load_seq FROM part),
 s AS (SELECT 's:' || lower(p_name) AS concept_id, lower(p_name) AS name, 'SYMPTOM' AS concept_type, min(p_partkey) AS load_seq
@@ -359,11 +405,7 @@ QUERIES = {
     "dictionary_containment": (dictionary_containment, f'WITH {FOUND} SELECT doc_id, label, name, s AS start, e AS "end" FROM found'),
     "dictionary_extract": (dictionary_extract, f"""WITH {KEPT} SELECT doc_id, k.label, k.name, k.mention, k.s AS start, k.e AS "end",
         0.8::DOUBLE AS confidence FROM kept"""),
-    "dictionary_extract_words": (dictionary_extract_words, "WITH " + FOUND + r""",
-        t AS (SELECT doc_id, chr(1) || regexp_replace(lower(text), '[^\p{L}\p{N}\p{M}_ ]', chr(1), 'g') || chr(1) AS t FROM documents),
-        b AS (SELECT doc_id, label, name, least(nullif(instr(t, ' ' || name || ' '), 0), nullif(instr(t, ' ' || name || chr(1)), 0),
-                nullif(instr(t, chr(1) || name || ' '), 0), nullif(instr(t, chr(1) || name || chr(1)), 0)) - 1 AS s
-              FROM (SELECT DISTINCT doc_id, label, name FROM found) JOIN t USING (doc_id))
+    "dictionary_extract_words": (dictionary_extract_words, "WITH " + BOUNDED + """
         SELECT doc_id, label, name, s AS start, s + length(name) AS "end" FROM b WHERE s IS NOT NULL"""),
     "aliases": (aliases, f"WITH {PART_NAMES} SELECT * FROM alias"),
     "candidates_exact_alias": (candidates_exact_alias, f"""WITH {PART_NAMES},
@@ -385,9 +427,24 @@ QUERIES = {
           AND least(length(m), length(name)) / greatest(length(m), length(name)) >= 0.5"""),
     "candidates_all": (candidates_all, None),
     "link_documents": (link_documents, None),
-    "span_match_eval": (span_match_eval, None),
-    "type_metrics": (type_metrics, None),
-    "evaluation_report": (evaluation_report, None),
+    "span_match_eval": (span_match_eval, f"""WITH {MATCHED}, c AS (SELECT doc_id::VARCHAR AS id, {METRICS} FROM matches GROUP BY ALL),
+        r AS (SELECT *, {RATES} FROM c)
+        SELECT * REPLACE (round(precision + 1e-9, 6) AS precision, round(recall + 1e-9, 6) AS recall,
+          round(f1_score + 1e-9, 6) AS f1_score, round(accuracy + 1e-9, 6) AS accuracy) FROM r"""),
+    "type_metrics": (type_metrics, f"""WITH {MATCHED}, {TYPED} SELECT type, round(precision + 1e-9, 6) AS precision,
+        round(recall + 1e-9, 6) AS recall, round(f1_score + 1e-9, 6) AS f1_score, support FROM typed"""),
+    "evaluation_report": (evaluation_report, f"""WITH {MATCHED}, {TYPED}, c AS (SELECT {METRICS} FROM matches), r AS (SELECT *, {RATES} FROM c),
+        wrong AS (SELECT CASE kind WHEN 'no_match' THEN 'false_positive' ELSE 'false_negative' END AS error,
+          coalesce(pred.text, truth.text) AS text, count(*) AS times FROM matches WHERE kind IN ('no_match', 'missing') GROUP BY 1, 2
+          QUALIFY row_number() OVER (PARTITION BY error ORDER BY times DESC, text) <= 5),
+        long AS (
+          SELECT CASE WHEN metric IN ('exact_matches', 'partial_matches', 'type_mismatches', 'false_positives', 'false_negatives')
+            THEN 'entity' ELSE 'overall' END AS section, metric, value FROM (UNPIVOT (SELECT COLUMNS(*)::DOUBLE FROM r) ON COLUMNS(*) INTO NAME metric VALUE value)
+          UNION ALL SELECT 'type', type || '.' || metric, value
+            FROM (UNPIVOT (SELECT type, precision::DOUBLE AS precision, recall::DOUBLE AS recall, f1_score::DOUBLE AS f1_score, support::DOUBLE AS support FROM typed)
+              ON precision, recall, f1_score, support INTO NAME metric VALUE value)
+          UNION ALL SELECT 'common_' || error, text, times::DOUBLE FROM wrong)
+        SELECT section, metric, round(value + 1e-9, 6) AS value FROM long"""),
     "annotation_stats": (annotation_stats, f"""WITH {KEPT}, per AS (SELECT count(*) FILTER (k.label = 'DISEASE') AS d,
           count(*) FILTER (k.label = 'SYMPTOM') AS s FROM kept), n AS (SELECT count(*) AS n FROM documents),
         ed AS (SELECT DISTINCT name AS entity, f FROM (SELECT name, unnest(string_split(name, ' ')) AS f FROM names WHERE concept_type = 'DISEASE')

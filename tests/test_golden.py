@@ -359,3 +359,43 @@ def test_no_cartesian_product(spark, pairs):
     for df in (wt.combined_weights(pairs), mo.performance_summary(spark.sql("SELECT 'a' component, 1.0D duration, true success"))):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_span_matching_equals_a_plain_fold(spark):
+    import random
+
+    rng = random.Random(11)
+
+    def plain(p, t):
+        used, out = set(), []
+        for a in sorted(p):
+            best = None
+            for j, b in enumerate(sorted(t)):
+                common = min(a[4], b[4]) - max(a[3], b[3])
+                if common > 0 and j not in used:
+                    overlap = common / max(a[4] - a[3], b[4] - b[3])
+                    if best is None or overlap > best[0]:
+                        best = (overlap, j)
+            if best is None:
+                out.append(("no_match", a[0], None))
+                continue
+            used.add(best[1])
+            b = sorted(t)[best[1]]
+            out.append(("partial" if best[0] < 0.8 else "exact" if a[2] == b[2] else "type_mismatch", a[0], b[0]))
+        return out + [("missing", None, b[0]) for j, b in enumerate(sorted(t)) if j not in used]
+
+    def spans(n, width):
+        rows = []
+        for k in rng.sample(range(1000), n):
+            begin = rng.randrange(120)
+            rows.append((k, "x", rng.choice("AB"), begin, begin + rng.randrange(width)))  # empty spans too
+        return rows
+
+    docs = {f"d{i}": (spans(rng.randrange(0, 14), 12 if i % 2 else 40), spans(rng.randrange(0, 14), 12)) for i in range(40)}
+    docs["far"] = ([(i, "x", "A", 10 * i, 10 * i + 5) for i in range(400)], [(i, "x", "A", 10 * i + 1, 10 * i + 5) for i in range(0, 400, 2)])
+    schema = "id STRING, seq INT, text STRING, type STRING, start INT, end INT"
+    frame = lambda side: spark.createDataFrame([(i, *s) for i, both in docs.items() for s in both[side]], schema)
+    got = sorted(((r.id, r.kind, r.pred and r.pred.seq, r.truth and r.truth.seq) for r in ev.match_spans(frame(0), frame(1)).collect()), key=repr)
+    assert got == sorted(((i, *m) for i, (p, t) in docs.items() for m in plain(p, t)), key=repr)
+    only = ev.match_spans(frame(0), frame(1), spark.createDataFrame([("far",), ("far",), (None,)], "id STRING"))
+    assert only.groupBy("kind").count().count() == 2 and only.select("id").distinct().count() == 1
