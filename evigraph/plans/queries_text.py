@@ -17,7 +17,7 @@ from evigraph.session import cut_lineage
 
 
 def combined_documents(spark, sf_dir) -> DataFrame:
-    return cp.combine_records(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"), "doc_id", "lang")
+    return cp.combine_records(table(spark, sf_dir, "documents").select("doc_id", "lang", "text", "source"), "doc_id", "lang")
 
 
 def corpus_of(spark, sf_dir) -> DataFrame:
@@ -248,8 +248,8 @@ def classification_metrics(spark, sf_dir):
 
 WS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
-COMBINED = f"""combined AS (SELECT lang || '_' || doc_id AS id, lang AS split, trim(text, {WS}) AS combined_text,
-    length(trim(text, {WS})) AS text_length FROM documents WHERE trim(text, {WS}) <> '')"""
+COMBINED = f"""record AS (SELECT doc_id, lang, trim(concat_ws(' ', nullif(text, ''), nullif(source, '')), {WS}) AS fields FROM documents),
+combined AS (SELECT lang || '_' || doc_id AS id, lang AS split, fields AS combined_text, length(fields) AS text_length FROM record WHERE fields <> '')"""
 
 CORPUS = COMBINED + r""",
 cleaned AS (SELECT id, split, text_length AS original_length, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(
