@@ -6,11 +6,20 @@ names.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# A dictionary up to this many names is sent to every executor; a longer one is joined by shuffle.
-BROADCAST_NAMES = 200_000
+from evigraph.session import cut_lineage, once
+
+# A dictionary whose names have up to this many bytes is sent to every executor; a larger one is joined by shuffle.
+BROADCAST_BYTES = 16 << 20
+# The run filter takes 32 bits a name, at most 2^27 bits (16 MB); a larger dictionary only lets more runs pass.
+FILTER_POWERS = (12, 27)
+SLICE = 1 << 20
 
 GENERIC_WORDS = ["syndrome", "disease", "disorder", "condition", "symptom"]
 
@@ -51,36 +60,109 @@ def with_anchor(names: DataFrame, name_col: str = "name", key_cols: tuple[str, .
     return names.join(best, list(key_cols))
 
 
+def _text_codes(text: str, lookup: np.ndarray | None, power: int, sizes: tuple[int, ...]) -> np.ndarray:
+    """Distinct 64-bit codes of a text's runs, those that pass the filter where there is one."""
+    found = []
+    for first in range(0, max(len(text), 1), SLICE):
+        # neighbouring slices share the characters of a run that crosses their border
+        part = text[first:first + SLICE + LONG_GRAM - 1]
+        points = np.frombuffer(part.encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
+        for n in sizes:
+            if len(points) < n:
+                continue
+            code = np.full(len(points) - n + 1, n, dtype=np.uint64)
+            for i in range(n):
+                code = (code + points[i:len(points) - n + 1 + i]) * np.uint64(0x9E3779B97F4A7C15)
+                code ^= code >> np.uint64(31)
+            if lookup is not None:
+                for shift in FILTER_SHIFTS:
+                    at = (code >> np.uint64(shift)) & np.uint64((1 << power) - 1)
+                    code = code[(lookup[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 1]
+            found.append(np.unique(code))
+    return np.unique(np.concatenate(found)).view(np.int64) if found else np.empty(0, dtype=np.int64)
+
+
+# bit positions of a code in the run filter start at these bits
+FILTER_SHIFTS = (0, 18, 37)
+
+
+def run_codes(lookup: np.ndarray | None = None, power: int = 0, sizes: tuple[int, ...] = (SHORT_GRAM, LONG_GRAM)) -> Callable[[Column], Column]:
+    """Function from a text column to the array of its run codes, Arrow batch by Arrow batch.
+
+    Null and texts shorter than a run give an empty array. Equal runs have equal codes; different runs may,
+    so whoever joins on them verifies.
+    """
+
+    def codes(texts: pa.Array) -> pa.Array:
+        values = [np.empty(0, dtype=np.int64) if t is None else _text_codes(t, lookup, power, sizes) for t in texts.to_pylist()]
+        ends = np.cumsum([0] + [len(v) for v in values])
+        flat = np.concatenate(values) if values else np.empty(0, dtype=np.int64)
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int64()))
+
+    return F.arrow_udf(codes, "array<bigint>")
+
+
+def run_filter(anchors: DataFrame, names: int) -> tuple[np.ndarray, int]:
+    """Bloom filter over the column ``anchor``: words of 64 bits and the power of two of its bits.
+
+    Built by a grouped bit_or; what reaches the driver is the filter itself, at most 16 MB.
+    """
+    low, high = FILTER_POWERS
+    power = min(max(low, (32 * names - 1).bit_length()), high)
+    at = [F.shiftrightunsigned("anchor", s).bitwiseAND(F.lit((1 << power) - 1)) for s in FILTER_SHIFTS]
+    words = (
+        anchors.select(F.explode(F.array(*at)).alias("_at"))
+        .groupBy(F.shiftright("_at", 6).alias("word"))
+        .agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("_at").bitwiseAND(F.lit(63)).cast("int"))).alias("bits"))
+        .toArrow()
+    )
+    lookup = np.zeros(1 << (power - 6), dtype=np.uint64)
+    lookup[words["word"].to_numpy()] = words["bits"].to_numpy().view(np.uint64)
+    return lookup, power
+
+
+def with_run(names: DataFrame) -> DataFrame:
+    """Each name (column ``name``) with the code of its rarest run among all names, long runs for long names."""
+    c = F.col("name")
+    texts = names.select("name").distinct()
+    own = F.when(F.char_length(c) >= LONG_GRAM, run_codes(sizes=(LONG_GRAM,))(c)).otherwise(run_codes(sizes=(SHORT_GRAM,))(c))
+    parts = texts.select("name", F.explode(own).alias("anchor"))
+    rarity = parts.groupBy("anchor").agg(F.count(F.lit(1)).alias("_df"))
+    best = parts.join(rarity, "anchor").groupBy("name").agg(F.min_by("anchor", F.struct("_df", "anchor")).alias("anchor"))
+    return names.join(best, "name")
+
+
 def find_names(
     docs: DataFrame, names: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-    word_bounded: bool = False, broadcast_names: int = BROADCAST_NAMES,
+    word_bounded: bool = False, broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """First occurrence of every dictionary name (3 characters or more) in every text.
 
-    Names meet texts through one equi-join on the name's rarest run and are then verified, so
-    there is no pairing of all names with all texts. Positions are zero-based.
+    A name is found by its rarest run of characters. A Bloom filter of these runs is applied where the texts
+    lie, so only runs that (almost) surely belong to a name leave the scan; they meet the names by one
+    equi-join and are then verified. Positions are zero-based. Null texts and an empty dictionary give no rows.
     """
     usable = last_loaded(names.where(F.char_length("name") >= 3))
-    keyed = with_anchor(usable).select("anchor", "name", "concept_type", "concept_id")
-    size = usable.agg(
+    keyed = cut_lineage(with_run(usable).select("anchor", "name", "concept_type", "concept_id"))
+    size = keyed.agg(
         F.count(F.lit(1)).alias("n"),
+        F.coalesce(F.sum(F.octet_length("name") + F.octet_length("concept_type") + F.octet_length(F.col("concept_id").cast("string")) + 64), F.lit(0)).alias("bytes"),
         F.max(F.char_length("name") < LONG_GRAM).alias("short"), F.max(F.char_length("name") >= LONG_GRAM).alias("long"),
     ).first()
-    runs = anchor_grams(F.col("_low"), bool(size["short"]), bool(size["long"]))
+    sizes = tuple(n for n, on in ((SHORT_GRAM, size["short"]), (LONG_GRAM, size["long"])) if on)
+    runs = run_codes(*run_filter(keyed, max(size["n"], 1)), sizes)(F.col("_low"))
     lowered = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).withColumn("_low", F.lower("text"))
-    if size["n"] <= broadcast_names:
+    if size["bytes"] <= broadcast_bytes:
         # texts stay where they are: runs are matched and verified inside the scan stage
         pairs = lowered.withColumn("anchor", F.explode(runs)).join(F.broadcast(keyed), "anchor")
     else:
-        # only ids and runs are shuffled; texts come back for the surviving pairs
+        # only ids and runs of names are shuffled; texts come back for the surviving pairs
         ids = lowered.select("doc_id", F.explode(runs).alias("anchor"))
         pairs = ids.join(keyed, "anchor").join(lowered, "doc_id")
     at = F.regexp_instr("_low", F.concat(F.lit(r"(?U)(?<!\w)\Q"), F.col("name"), F.lit(r"\E(?!\w)"))) if word_bounded else F.instr(
         F.col("_low"), F.col("name"))
-    start = at.cast("int") - 1
     return (
-        pairs.where(F.contains("_low", "name"))
-        .withColumn("start", start)
+        once(pairs.where(F.contains("_low", "name")), "start", at.cast("int") - 1)
         .where(F.col("start") >= 0)
         .select(
             "doc_id", "start", (F.col("start") + F.char_length("name")).cast("int").alias("end"),

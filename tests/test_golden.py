@@ -192,8 +192,10 @@ def test_extraction_equals_brute_force(spark, kb):
     texts = ["A painful chest, then CHEST PAINS.", "flu", "influenza flu", "nothing", ""]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id LONG, text STRING")
     want = {(i, n) for i, t in enumerate(texts) for _, n, _ in NAMES if n in t.lower()}
-    for limit in (1000, 0):  # broadcast dictionary and shuffled dictionary
-        assert {(r.doc_id, r.name) for r in dc.find_names(docs, kb, broadcast_names=limit).collect()} == want
+    for limit in (100_000, 0):  # broadcast dictionary and shuffled dictionary
+        assert {(r.doc_id, r.name) for r in dc.find_names(docs, kb, broadcast_bytes=limit).collect()} == want
+    assert dc.find_names(docs, kb.limit(0)).count() == 0
+    assert dc.find_names(docs.limit(0), kb).count() == 0
     bounded = {(r.doc_id, r.name, r.start) for r in dc.find_names(docs, kb, word_bounded=True).collect()}
     assert (2, "flu", 10) in bounded and (0, "chest pain", 22) not in {(a, b, c) for a, b, c in bounded}
     linked = ln.link_documents(docs, kb)
@@ -399,3 +401,26 @@ def test_span_matching_equals_a_plain_fold(spark):
     assert got == sorted(((i, *m) for i, (p, t) in docs.items() for m in plain(p, t)), key=repr)
     only = ev.match_spans(frame(0), frame(1), spark.createDataFrame([("far",), ("far",), (None,)], "id STRING"))
     assert only.groupBy("kind").count().count() == 2 and only.select("id").distinct().count() == 1
+
+
+def test_run_filter_passes_every_name_and_few_others(spark, monkeypatch):
+    import random
+
+    rng = random.Random(5)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyzé\U0001F600") for _ in range(n))
+    known = sorted({word(rng.randint(3, 12)) for _ in range(300)})
+    kb = spark.createDataFrame([(f"c{i}", n, n, "T", i) for i, n in enumerate(known)],
+                               "concept_id STRING, name STRING, display_name STRING, concept_type STRING, load_seq LONG")
+    texts = [None, "", "ab", known[0]] + [" ".join(rng.choice(known) if rng.random() < 0.1 else word(7) for _ in range(80)) for _ in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id LONG, text STRING")
+    want = {(i, n, t.index(n)) for i, t in enumerate(texts) if t for n in known if n in t}
+    # slices shorter than a name: runs that cross a border are found all the same
+    monkeypatch.setattr(dc, "SLICE", 5)
+    for limit in (1 << 20, 0):
+        assert {(r.doc_id, r.name, r.start) for r in dc.find_names(docs, kb, broadcast_bytes=limit).collect()} == want
+    monkeypatch.undo()
+    keyed = dc.with_run(kb).select("anchor", "name")
+    lookup, power = dc.run_filter(keyed, len(known))
+    passed = docs.select("doc_id", F.explode(dc.run_codes(lookup, power)("text")).alias("anchor"))
+    true = passed.join(keyed.select("anchor").distinct(), "anchor", "left_semi").count()
+    assert true <= passed.count() <= 1.1 * true
