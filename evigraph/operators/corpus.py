@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from evigraph.functions import similarity, text as tx
 from evigraph.functions.numeric import ratio
@@ -97,83 +101,126 @@ def _annotation(name: str, display: str) -> Column:
 TOKEN_EDGES = r"(?U)(?<=\w)(?=\W)|(?<=\W)(?=\w)|(?<=[^\w\s])(?=[^\w\s])|(?<=\s)(?=\S)|(?<=\S)(?=\s)"
 
 
+def _piece_places(pieces: pa.Array, texts: pa.Array, names: pa.Array, positions: pa.Array) -> pa.Array:
+    """Start, end and last covering annotation (its index, else null) of every piece of a text.
+
+    ``pieces`` are all parts of the text in order, so their running lengths are the offsets. An annotation covers
+    the pieces that its name, sought from its position on (else laid at the position), overlaps.
+    """
+    counts = pc.fill_null(pc.list_value_length(pieces), 0).to_numpy(zero_copy_only=False)
+    lengths = pc.utf8_length(pieces.flatten()).to_numpy(zero_copy_only=False)
+    bounds = np.concatenate([[0], np.cumsum(counts)])
+    running = np.concatenate([[0], np.cumsum(lengths)])
+    base = np.repeat(running[bounds[:-1]], counts)
+    starts, ends = running[:-1] - base, running[1:] - base
+    cover = np.full(len(starts), -1)
+    for row, (text, named, placed) in enumerate(zip(texts, names, positions)):
+        if counts[row] == 0 or not named.is_valid or not placed.is_valid or not len(named):
+            continue
+        own, text = slice(bounds[row], bounds[row + 1]), text.as_py()
+        known = [(k, n, at) for k, (n, at) in enumerate(zip(named.as_py(), placed.as_py())) if n is not None and at is not None]
+        if not known:
+            continue
+        found = np.array([max(text.find(n, at), at) for _, n, at in known], dtype=np.int64)
+        after = found + np.array([len(n) for _, n, _ in known], dtype=np.int64)
+        first = bounds[row] + np.searchsorted(ends[own], found, "right")
+        last = bounds[row] + np.searchsorted(starts[own], after, "left")
+        for (k, _, _), i, j in zip(known, first, last):
+            cover[i:j] = k
+        # where an annotation begins decides between the marks of a piece
+        hit = cover[own]
+        begin = np.zeros(known[-1][0] + 1, dtype=np.int64)
+        begin[[k for k, _, _ in known]] = found
+        cover[own] = np.where(hit < 0, -1, 2 * hit + (starts[own] <= begin[hit]))
+    flat = pa.StructArray.from_arrays(
+        [pa.array(starts, pa.int32()), pa.array(ends, pa.int32()),
+         pa.array(cover >> 1, pa.int32(), mask=cover < 0), pa.array((cover & 1).astype(bool), pa.bool_())],
+        names=["start", "end", "cover", "first"])
+    return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), flat)
+
+
+_PLACE = T.StructType([T.StructField(c, T.IntegerType()) for c in ("start", "end", "cover")] + [T.StructField("first", T.BooleanType())])
+_place_pieces = F.arrow_udf(_piece_places, T.ArrayType(_PLACE)).asNondeterministic()
+
+
+def _placed_tokens(texts: DataFrame, names: Column, positions: Column) -> DataFrame:
+    """``texts`` with ``_tokens``: words and marks in order, with places and covering annotation."""
+    pieces = once(texts, "_pieces", F.split("text", TOKEN_EDGES))
+    placed = pieces.withColumn("_at", _place_pieces("_pieces", "text", names, positions))
+    # zipped once: a later filter or projection would otherwise repeat the whole expression
+    zipped = F.zip_with("_pieces", "_at", lambda t, p: F.struct(
+        t.alias("token"), p["start"].alias("start"), p["end"].alias("end"), p["cover"].alias("cover"), p["first"].alias("first")))
+    return once(placed, "_tokens", F.filter(zipped, lambda t: t["token"].rlike(r"(?U)\S"))).drop("_pieces", "_at")
+
+
 def tokens_with_offsets(texts: DataFrame) -> DataFrame:
     """Words and punctuation marks of ``id, text`` rows with zero-based start and exclusive end.
 
-    Texts are cut at every token edge; the running length of the pieces of one text is the offset.
+    Texts are cut at every token edge and placed inside their own row; tokens are exploded last, not shuffled.
+    Null and empty texts have no tokens.
     """
-    pieces = texts.select("id", F.posexplode(F.split("text", TOKEN_EDGES)).alias("_pos", "token"))
-    run = Window.partitionBy("id").orderBy("_pos")
-    placed = pieces.withColumn("end", F.sum(F.char_length("token")).over(run).cast("int"))
-    kept = placed.where(F.col("token").rlike(r"(?U)\S"))
-    return kept.select(
-        "id", (F.row_number().over(run) - 1).alias("token_index"), "token",
-        (F.col("end") - F.char_length("token")).alias("start"), "end",
-    )
+    none = F.array()
+    placed = _placed_tokens(texts.select("id", "text"), none.cast("array<string>"), none.cast("array<int>"))
+    return placed.select("id", F.posexplode("_tokens").alias("token_index", "_t")).select(
+        "id", "token_index", "_t.token", "_t.start", "_t.end")
 
 
-def bio_labels(annotated: DataFrame) -> DataFrame:
-    """Token rows with B-/I-/O labels; a later annotation overwrites an earlier one.
+def label_arrays(annotated: DataFrame) -> DataFrame:
+    """``id, text, labelled``: the tokens of each text with B-/I-/O labels, in one array per text.
 
-    Tokens and spans meet by an equi-join on the text; the interval test runs on its span array.
+    A later annotation overwrites an earlier one (symptoms come after diseases). Missing annotation arrays
+    count as empty.
     """
+    diseases = F.coalesce("diseases", F.filter("symptoms", lambda x: F.lit(False)))
+    symptoms = F.coalesce("symptoms", F.filter("diseases", lambda x: F.lit(False)))
+    both = annotated.select("id", "text", F.coalesce(F.size(diseases), F.lit(0)).alias("_n"), F.concat(diseases, symptoms).alias("_all"))
+    placed = _placed_tokens(both, F.col("_all.entity"), F.col("_all.position"))
+    kind = lambda t: F.when(t["cover"] < F.col("_n"), F.lit("DISEASE")).otherwise(F.lit("SYMPTOM"))
+    label = lambda t: F.when(t["cover"].isNull(), F.lit("O")).otherwise(
+        F.concat(F.when(t["first"], F.lit("B-")).otherwise(F.lit("I-")), kind(t)))
+    return placed.select("id", "text", F.transform("_tokens", lambda t: F.struct(
+        t["token"].alias("token"), t["start"].alias("start"), t["end"].alias("end"), label(t).alias("label"))).alias("labelled"))
 
-    def spans(c: str, kind: str) -> Column:
-        return F.transform(
-            F.col(c),
-            lambda x: F.struct(
-                _found_at(x).alias("start"),
-                (_found_at(x) + F.char_length(x["entity"])).alias("end"),
-                F.lit(kind).alias("label"),
-            ),
-        )
-
-    tokens = tokens_with_offsets(annotated.select("id", "text"))
-    marked = annotated.select("id", F.concat(spans("diseases", "DISEASE"), spans("symptoms", "SYMPTOM")).alias("_spans"))
-    covering = F.filter("_spans", lambda s: (s["start"] < F.col("end")) & (s["end"] > F.col("start")))
-    rows = tokens.join(marked, "id").withColumn("_hit", F.try_element_at(covering, F.lit(-1)))
-    label = F.when(F.col("_hit").isNull(), F.lit("O")).otherwise(
-        F.concat(F.when(F.col("start") <= F.col("_hit.start"), F.lit("B-")).otherwise(F.lit("I-")), F.col("_hit.label"))
-    )
-    return rows.select("id", "token_index", "token", "start", "end", label.alias("label"))
+
+def bio_labels(annotated: DataFrame) -> DataFrame:
+    """Token rows with B-/I-/O labels; see :func:`label_arrays`."""
+    return label_arrays(annotated).select("id", F.posexplode("labelled").alias("token_index", "_t")).select(
+        "id", "token_index", "_t.token", "_t.start", "_t.end", "_t.label")
 
 
-def _found_at(x: Column) -> Column:
-    """First occurrence of the annotated name at or after its position, else the position itself."""
-    tail = F.instr(F.substr(F.col("text"), x["position"] + 1), x["entity"])
-    return F.when(tail > 0, x["position"] + tail - 1).otherwise(x["position"]).cast("int")
+def decode_arrays(labelled: DataFrame) -> DataFrame:
+    """Spans of ``id, text, labelled`` rows, read off inside the row.
+
+    ``labelled`` holds ``start, end, label, confidence`` in token order. A span opens at B-, goes on over I- of its
+    own type, ends at O or the next B-. Openings cut the array in slices; each is read once.
+    """
+    tokens = F.col("labelled")
+    opens = F.filter(F.transform(tokens, lambda t, i: F.when(t["label"].startswith("B-"), i)), lambda i: i.isNotNull())
+    opened = once(labelled.select("id", "text", "labelled"), "_opens", F.concat(opens, F.array(F.size(tokens))))
+    parts = F.transform(
+        F.slice("_opens", F.lit(1), F.greatest(F.size("_opens") - 1, F.lit(0))),
+        lambda at, k: F.slice("labelled", at + 1, F.get(F.col("_opens"), k + 1) - at))
+    rows = opened.select("id", "text", F.explode(parts).alias("_part"))
+    ended = F.array_position(F.transform("_part", lambda t: t["label"]), F.lit("O"))
+    until = F.when(ended > 0, F.slice("_part", F.lit(1), (ended - 1).cast("int"))).otherwise(F.col("_part"))
+    kind = F.substr(F.col("_part")[0]["label"], F.lit(3))
+    own = F.filter(until, lambda t: F.substr(t["label"], F.lit(3)) == kind)
+    spans = once(rows, "_own", own).select(
+        "id", "text", kind.alias("label"), F.array_min("_own.start").alias("start"), F.array_max("_own.end").alias("end"),
+        F.array_max("_own.confidence").alias("confidence"))
+    return spans.select(
+        "id", "start", "end", "label",
+        F.substr("text", F.col("start") + 1, F.col("end") - F.col("start")).alias("text"), "confidence")
 
 
 def decode_bio(tokens: DataFrame, text: DataFrame) -> DataFrame:
     """Labelled tokens ``id, token_index, start, end, label, confidence`` to spans.
 
-    A span opens at B-, goes on over I- of its own type, ends at O or the next B-. The islands are
-    numbered by a running count of openings inside one document.
+    The tokens of a text are gathered once (bounded by the text) and decoded there; see :func:`decode_arrays`.
     """
-    order = Window.partitionBy("id").orderBy("token_index")
-    opens = F.col("label").startswith("B-").cast("int")
-    closes = (F.col("label") == "O").cast("int")
-    kind = F.when(F.col("label") != "O", F.substr("label", F.lit(3)))
-    marked = (
-        tokens.withColumn("_kind", kind)
-        .withColumn("_open", F.sum(opens).over(order))
-        .withColumn("_closed", F.sum(closes).over(order))
-    )
-    span = Window.partitionBy("id", "_open").orderBy("token_index")
-    marked = marked.withColumn("_first_kind", F.first("_kind").over(span)).withColumn(
-        "_first_closed", F.first("_closed").over(span)
-    )
-    kept = marked.where(
-        (F.col("_open") > 0) & (F.col("label") != "O") & (F.col("_closed") == F.col("_first_closed"))
-        & (F.col("_kind") == F.col("_first_kind"))
-    )
-    spans = kept.groupBy("id", "_open", F.col("_first_kind").alias("label")).agg(
-        F.min("start").alias("start"), F.max("end").alias("end"), F.max("confidence").alias("confidence")
-    )
-    return spans.join(text.select("id", "text"), "id").select(
-        "id", "start", "end", "label",
-        F.substr("text", F.col("start") + 1, F.col("end") - F.col("start")).alias("text"), "confidence",
-    )
+    gathered = tokens.groupBy("id").agg(
+        F.array_sort(F.collect_list(F.struct("token_index", "start", "end", "label", "confidence"))).alias("labelled"))
+    return decode_arrays(gathered.join(text.select("id", "text"), "id"))
 
 
 def ranking_rows(annotated: DataFrame, context_window: int = 50, document_chars: int = 500) -> DataFrame:

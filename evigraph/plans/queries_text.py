@@ -214,16 +214,18 @@ def annotation_stats(spark, sf_dir):
 
 def bio_tokens(spark, sf_dir):
     annotated = dc.annotate(documents(spark, sf_dir), benchmark_names(spark, sf_dir))
-    return cp.bio_labels(annotated).groupBy("id").agg(
-        F.count(F.lit(1)).alias("tokens"), F.sum(F.col("label").startswith("B-").cast("bigint")).alias("begins"),
-        F.sum(F.col("label").startswith("I-").cast("bigint")).alias("insides"), F.max("end").alias("last_end"),
+    count = lambda test: F.size(F.filter("labelled", test)).cast("bigint")
+    return cp.label_arrays(annotated).where(F.size("labelled") > 0).select(
+        "id", F.size("labelled").cast("bigint").alias("tokens"), count(lambda t: t["label"].startswith("B-")).alias("begins"),
+        count(lambda t: t["label"].startswith("I-")).alias("insides"), F.array_max("labelled.end").alias("last_end"),
     )
 
 
 def bio_decode(spark, sf_dir):
-    annotated = cut_lineage(dc.annotate(documents(spark, sf_dir), benchmark_names(spark, sf_dir)))
-    labelled = cp.bio_labels(annotated).withColumn("confidence", F.lit(0.9))
-    return cp.decode_bio(labelled, annotated).drop("confidence")
+    annotated = dc.annotate(documents(spark, sf_dir), benchmark_names(spark, sf_dir))
+    labelled = cp.label_arrays(annotated).withColumn("labelled", F.transform("labelled", lambda t: F.struct(
+        t["start"].alias("start"), t["end"].alias("end"), t["label"].alias("label"), F.lit(0.9).alias("confidence"))))
+    return cp.decode_arrays(labelled).drop("confidence")
 
 
 def ranking_rows(spark, sf_dir):
@@ -315,6 +317,17 @@ sorted AS (SELECT doc_id, list({'label': label, 'name': name, 'mention': mention
 kept AS (SELECT doc_id, unnest(list_reduce(list_transform(l, lambda x: {'k': [x], 'e': x.e}),
     lambda a, b: CASE WHEN b.k[1].s >= a.e THEN {'k': a.k || b.k, 'e': b.e} ELSE a END).k) AS k FROM sorted)"""
 
+# tokens with their places, each with the last annotation over it: symptoms after diseases, later positions last
+LABELLED = KEPT + r""",
+pieces AS (SELECT doc_id, unnest(l) AS token, generate_subscripts(l, 1) AS n FROM (
+    SELECT doc_id, regexp_extract_all(text, '[\p{L}\p{M}\p{N}_]+|\s+|[^\p{L}\p{M}\p{N}_\s]') AS l FROM documents)),
+placed AS (SELECT *, sum(length(token)) OVER (PARTITION BY doc_id ORDER BY n) AS e FROM pieces),
+tokens AS (SELECT doc_id, n, e - length(token) AS s, e FROM placed WHERE regexp_matches(token, '\S')),
+hits AS (SELECT doc_id, k.label AS label, k.s AS ks, k.e AS ke FROM kept),
+labelled AS (SELECT t.doc_id, n, t.s, t.e, label, t.s <= ks AS first FROM tokens t
+    LEFT JOIN hits h ON t.doc_id = h.doc_id AND h.ks < t.e AND h.ke > t.s
+    QUALIFY row_number() OVER (PARTITION BY t.doc_id, n ORDER BY label = 'SYMPTOM' DESC, ks DESC) = 1)"""
+
 BOUNDED = FOUND + r""",
 bounded AS (SELECT doc_id, chr(1) || regexp_replace(lower(text), '[^\p{L}\p{N}\p{M}_ ]', chr(1), 'g') || chr(1) AS t FROM documents),
 b AS (SELECT doc_id, label, name, least(nullif(instr(t, ' ' || name || ' '), 0), nullif(instr(t, ' ' || name || chr(1)), 0),
@@ -456,8 +469,14 @@ QUERIES = {
           round(s / n + 1e-9, 6) AS symptoms_per_text, round(p / n + 1e-9, 6) AS pairs_per_text,
           (SELECT count(*) FROM names WHERE concept_type = 'DISEASE') AS kb_diseases,
           (SELECT count(*) FROM names WHERE concept_type = 'SYMPTOM') AS kb_symptoms FROM per, n, pr"""),
-    "bio_tokens": (bio_tokens, None),
-    "bio_decode": (bio_decode, None),
+    "bio_tokens": (bio_tokens, f"""WITH {LABELLED} SELECT doc_id::VARCHAR AS id, count(*) AS tokens, count(*) FILTER (label IS NOT NULL AND first) AS begins,
+          count(*) FILTER (label IS NOT NULL AND NOT first) AS insides, max(e)::INT AS last_end FROM labelled GROUP BY doc_id"""),
+    "bio_decode": (bio_decode, f"""WITH {LABELLED}, opened AS (SELECT *, sum((label IS NOT NULL AND first)::INT) OVER w AS o, sum((label IS NULL)::INT) OVER w AS c
+          FROM labelled WINDOW w AS (PARTITION BY doc_id ORDER BY n)),
+        seen AS (SELECT *, first_value(label) OVER w AS l0, first_value(c) OVER w AS c0 FROM opened WINDOW w AS (PARTITION BY doc_id, o ORDER BY n)),
+        ends AS (SELECT doc_id, o, l0, min(s) AS s, max(e) AS e FROM seen WHERE o > 0 AND label = l0 AND c = c0 GROUP BY ALL)
+        SELECT doc_id::VARCHAR AS id, s::INT AS start, e::INT AS "end", l0 AS label, substr(text, s::INT + 1, (e - s)::INT) AS text
+        FROM ends JOIN (SELECT doc_id, text FROM documents) USING (doc_id)"""),
     "ranking_rows": (ranking_rows, f"""WITH {KEPT}, dd AS (SELECT doc_id, text FROM documents)
         SELECT doc_id::VARCHAR AS id, k.mention AS mention_text, k.label AS concept_type,
           text[greatest(k.s - 49, 1):k.s] AS left_context, text[k.e + 1:k.e + 50] AS right_context, 1.0::DOUBLE AS string_similarity, 1 AS label

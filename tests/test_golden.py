@@ -1,6 +1,7 @@
 """Hand-computed cases per operator."""
 
 import math
+import re
 from difflib import SequenceMatcher
 
 import pytest
@@ -424,3 +425,38 @@ def test_run_filter_passes_every_name_and_few_others(spark, monkeypatch):
     passed = docs.select("doc_id", F.explode(dc.run_codes(lookup, power)("text")).alias("anchor"))
     true = passed.join(keyed.select("anchor").distinct(), "anchor", "left_semi").count()
     assert true <= passed.count() <= 1.1 * true
+
+
+def test_labels_in_the_row_equal_a_plain_pass(spark):
+    kind = "array<struct<entity:string,display_name:string,position:int>>"
+    a = lambda *named: [(n, n, p) for n, p in named]
+    given = [
+        ("1", "Flu, then chest  pain\nand flu-like fever.", a(("chest  pain", 0), ("flu", 20)), a(("pain", 11), ("ever", 0), ("absent", 3))),
+        ("2", "\U0001F600 é flu", a(("flu", 0)), None), ("3", "", [], []), ("4", None, None, None), ("5", "plain words", None, []),
+        ("6", "painkiller", a(("pain", 0)), a(("killer", 4))), ("7", "a flu", [(None, None, 1), ("flu", "flu", None), ("flu", "flu", 0)], []),
+    ]
+    df = spark.createDataFrame(given, f"id STRING, text STRING, diseases {kind}, symptoms {kind}")
+
+    def plain(text, diseases, symptoms):
+        spans = [(max(text.find(n, p), p), n, l) for named, l in ((diseases, "DISEASE"), (symptoms, "SYMPTOM")) for n, _, p in named or []
+                 if n is not None and p is not None]
+        for k, m in enumerate(re.finditer(r"\w+|[^\w\s]", text or "")):
+            over = [(s, l) for s, n, l in spans if s < m.end() and s + len(n) > m.start()]
+            label = "O" if not over else ("B-" if m.start() <= over[-1][0] else "I-") + over[-1][1]
+            yield k, m.group(), m.start(), m.end(), label
+
+    want = {(i, *row) for i, t, d, s in given for row in plain(t, d, s)}
+    got = cp.bio_labels(df).select("id", "token_index", "token", "start", "end", "label")
+    assert {tuple(r) for r in got.collect()} == want
+    assert {tuple(r)[:5] for r in cp.tokens_with_offsets(df).select("id", "token_index", "token", "start", "end").collect()} == {w[:5] for w in want}
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "Exchange" not in plan
+
+
+def test_decoding_closes_spans(spark):
+    marks = ["I-A", "B-A", "I-B", "I-A", "O", "I-A", "B-B", "B-B", "I-B"]
+    rows = [("x", i, 2 * i, 2 * i + 1, m, 0.1 * i) for i, m in enumerate(marks)]
+    tokens = spark.createDataFrame(rows, "id STRING, token_index INT, start INT, end INT, label STRING, confidence DOUBLE")
+    text = spark.createDataFrame([("x", "a b c d e f g h i"), ("y", "no tokens")], "id STRING, text STRING")
+    got = {(r.id, r.start, r.end, r.label, r.text, round(r.confidence, 6)) for r in cp.decode_bio(tokens, text).collect()}
+    assert got == {("x", 2, 7, "A", "b c d", 0.3), ("x", 12, 13, "B", "g", 0.6), ("x", 14, 17, "B", "h i", 0.8)}
