@@ -10,7 +10,7 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evigraph.functions import ordered as od
@@ -199,6 +199,7 @@ def throughput(batches: DataFrame) -> DataFrame:
 
 
 # Alert rules as data: a predicate over the combined hourly statistics.
+REFIRE_SECONDS = 3600
 ALERT_RULES = [
     ("high_error_rate", "error_rate > 0.1", "warning", "More than one request in ten failed"),
     ("slow_response_time", "avg_response_time > 5.0", "warning", "Requests take over five seconds on average"),
@@ -229,3 +230,43 @@ def hourly_stats(performance: DataFrame, accuracy: DataFrame) -> DataFrame:
     a = accuracy.groupBy(end.alias("ts")).agg(
         F.avg("confidence").alias("avg_confidence"), F.avg("uncertainty").alias("avg_uncertainty"))
     return p.join(a, "ts", "full")
+
+
+def trailing_stats(performance: DataFrame, accuracy: DataFrame, width: str = "5 minutes", step: str = "1 minute") -> DataFrame:
+    """Combined statistics of the trailing ``width`` at every check; checks are ``step`` apart, ``ts`` is their time.
+
+    Means per overlapping window, combined before the shuffle, so a busy minute is no larger task than a quiet one.
+    A check without events has no row; a kind of event that is missing has null statistics.
+    """
+    end = lambda df: df.groupBy(F.window("ts", width, step).alias("_w"))
+    p = end(performance).agg(
+        F.avg((~F.col("success")).cast("double")).alias("error_rate"), F.avg("duration").alias("avg_response_time"))
+    a = end(accuracy).agg(F.avg("confidence").alias("avg_confidence"), F.avg("uncertainty").alias("avg_uncertainty"))
+    at = lambda df: df.withColumn("ts", F.col("_w.end")).drop("_w")
+    return at(p).join(at(a), "ts", "full")
+
+
+def gate_alerts(hits: DataFrame, seconds: float = REFIRE_SECONDS) -> DataFrame:
+    """Hits that fire: the first of a rule, then each that is more than ``seconds`` after the last that fired.
+
+    Two levels: a hit that follows the one before it by more than the limit always fires, so these hits cut a
+    rule's history in stretches that are folded apart. Input is one hit per rule and check: its size goes with the
+    time covered, not with the events. Hits at the same time: one fires. Hits without a time never fire.
+    """
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    limit = F.lit(int(seconds * 1_000_000))
+    order = Window.partitionBy("name").orderBy("ts")
+    before = F.lag(micros).over(order)
+    cut = hits.where(F.col("ts").isNotNull()).withColumn("_new", (before.isNull() | (micros - before > limit)).cast("int"))
+    item = F.struct(micros.alias("at"), "severity", "message", "ts")
+    stretches = cut.withColumn("_part", F.sum("_new").over(order)).groupBy("name", "_part").agg(F.array_sort(F.collect_list(item)).alias("_hits"))
+    none = F.filter("_hits", lambda h: F.lit(False))
+    fired = F.aggregate("_hits", none, lambda kept, h: F.when(
+        (F.size(kept) == 0) | (h["at"] - F.try_element_at(kept, F.lit(-1))["at"] > limit), F.array_append(kept, h)).otherwise(kept))
+    return stretches.select("name", F.explode(fired).alias("_h")).select("name", "_h.severity", "_h.message", "_h.ts")
+
+
+def alerts(performance: DataFrame, accuracy: DataFrame, rules: Sequence[tuple[str, str, str, str]] = ALERT_RULES,
+           seconds: float = REFIRE_SECONDS, width: str = "5 minutes", step: str = "1 minute") -> DataFrame:
+    """Alerts over recorded events: rules on trailing statistics at every check, behind the re-fire limit."""
+    return gate_alerts(alert_candidates(trailing_stats(performance, accuracy, width, step), rules), seconds)

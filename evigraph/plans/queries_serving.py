@@ -13,6 +13,7 @@ from evigraph.operators import memo as mm
 from evigraph.operators import monitoring as mo
 from evigraph.operators import safety as sf
 from evigraph.plans.tables import rnd, rounded, table
+from evigraph.streaming import metrics as sm
 
 SOURCE_OF = {"click": "neural", "view": "symbolic", "purchase": "rag", "signup": "context", "error": "neuro_symbolic"}
 
@@ -156,6 +157,16 @@ def alert_hits(spark, sf_dir):
     return hits.select(F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("at"), "name", "severity")
 
 
+def alerts(spark, sf_dir):
+    fired = mo.alerts(performance(spark, sf_dir), accuracy(spark, sf_dir))
+    return fired.select(F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("at"), "name", "severity", "message")
+
+
+def sliding_metrics(spark, sf_dir):
+    rows = rounded(sm.sliding_performance(performance(spark, sf_dir)), *PERF_COLS)
+    return rows.withColumn("at", F.date_format("ts", "yyyy-MM-dd HH:mm:ss")).drop("ts", "window_start")
+
+
 def source_weights(spark, sf_dir):
     src = fu.sources(evidence(spark, sf_dir), fu.default_reliability(spark))
     return rounded(src.select("query_id", "source_type", "weight", "predictions"), "weight")
@@ -301,9 +312,15 @@ def _r(expr: str, name: str, places: int = 6) -> str:
     return f"round({expr} + 1e-9, {places}) AS {name}"
 
 
-def _perf_sql(by: str) -> str:
+ALERT_TESTS = {"high_error_rate": "er > 0.1", "slow_response_time": "d > 5", "low_confidence_predictions": "c < 0.5", "high_uncertainty": "u > 0.8"}
+# every event in the twelve trailing hours that hold it, named by their end
+PERF_WINDOWS = """perf AS (SELECT strftime(time_bucket(INTERVAL 5 MINUTE, ts) + INTERVAL 5 MINUTE * k, '%Y-%m-%d %H:%M:%S') AS at,
+    event_type AS component, value AS d, event_type <> 'error' AS ok FROM events, (SELECT unnest(range(1, 13)) AS k))"""
+
+
+def _perf_sql(by: str, source: str = PERF) -> str:
     group = f"{by}," if by else ""
-    return f"""WITH {PERF}, s AS (SELECT {group} list(d ORDER BY d) AS l, count(*) AS total_requests, avg(ok::INT) AS sr, avg((NOT ok)::INT) AS er,
+    return f"""WITH {source}, s AS (SELECT {group} list(d ORDER BY d) AS l, count(*) AS total_requests, avg(ok::INT) AS sr, avg((NOT ok)::INT) AS er,
         avg(d) AS a, min(d) AS lo, max(d) AS hi FROM perf {'GROUP BY ' + by if by else ''})
         SELECT {group} total_requests, {_r('sr', 'success_rate')}, {_r('er', 'error_rate')}, {_r('a', 'avg_response_time')},
         {_r('lo', 'min_response_time')}, {_r('hi', 'max_response_time')},
@@ -403,6 +420,15 @@ QUERIES = {
         SELECT strftime(t, '%Y-%m-%d %H:%M:%S') AS at, name, severity FROM (SELECT t, 'high_error_rate' AS name, 'warning' AS severity FROM j WHERE er > 0.1
           UNION ALL SELECT t, 'slow_response_time', 'warning' FROM j WHERE d > 5 UNION ALL SELECT t, 'low_confidence_predictions', 'warning' FROM j WHERE c < 0.5
           UNION ALL SELECT t, 'high_uncertainty', 'critical' FROM j WHERE u > 0.8)"""),
+    "alerts": (alerts, f"""WITH RECURSIVE {PERF}, {ACC}, k AS (SELECT unnest(range(1, 6)) AS k),
+        h AS (SELECT date_trunc('minute', ts) + INTERVAL 1 MINUTE * k AS t, avg((NOT ok)::INT) AS er, avg(d) AS d FROM perf, k GROUP BY 1),
+        a AS (SELECT date_trunc('minute', ts) + INTERVAL 1 MINUTE * k AS t, avg(c) AS c, avg(u) AS u FROM acc, k GROUP BY 1), j AS (SELECT * FROM h FULL JOIN a USING (t)),
+        hit AS ({' UNION ALL '.join(f"SELECT t, '{n}' AS name, '{s}' AS severity, '{m}' AS message FROM j WHERE {ALERT_TESTS[n]}" for n, _, s, m in mo.ALERT_RULES)}),
+        nxt AS (SELECT a.*, b.t AS later FROM hit a ASOF LEFT JOIN hit b ON a.name = b.name AND a.t + INTERVAL {mo.REFIRE_SECONDS} SECOND < b.t),
+        fired AS (SELECT * FROM nxt WHERE (name, t) IN (SELECT (name, min(t)) FROM hit GROUP BY name)
+          UNION ALL SELECT nxt.* FROM fired JOIN nxt ON nxt.name = fired.name AND nxt.t = fired.later)
+        SELECT strftime(t, '%Y-%m-%d %H:%M:%S') AS at, name, severity, message FROM fired"""),
+    "sliding_metrics": (sliding_metrics, _perf_sql('component, "at"', PERF_WINDOWS)),
     "source_weights": (source_weights, f"WITH {EVIDENCE} SELECT query_id, source_type, {_r('w', 'weight')}, predictions FROM src"),
     "fuse_weighted": (fuse_weighted, f"WITH {FUSED} SELECT query_id, entity, {_r('c', 'confidence')}, {_r('u', 'uncertainty')}, source_count FROM fused"),
     "fuse_bayes": (fuse_bayes, f"""WITH {EVIDENCE}, b AS (SELECT query_id, entity, product(least(1 - 1e-12, greatest(1e-12, p))) AS pp,

@@ -15,9 +15,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from evigraph.functions import text as tx
 from evigraph.operators.fusion import LEARNING_RATE, RELIABILITY
-from evigraph.operators.monitoring import ALERT_RULES, alert_candidates
+from evigraph.operators.monitoring import ALERT_RULES, REFIRE_SECONDS, alert_candidates
 
-REFIRE_SECONDS = 3600
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 _TIME = "fired DOUBLE"

@@ -34,9 +34,59 @@ def events(spark, tmp_path_factory):
 def test_sliding_equals_batch(spark, events):
     stream = run(sm.sliding_performance(sm.read_events(spark, events, "perf_events"), retention="10 minutes"), "sliding")
     batch = sm.sliding_performance(spark.read.parquet(events))
-    got = {(r.ts, r.component): (r.total_requests, r.avg_response_time) for r in stream.collect()}
-    want = {(r.ts, r.component): (r.total_requests, r.avg_response_time) for r in batch.collect()}
+    cols = ["total_requests", "avg_response_time", "median_response_time", "p95_response_time", "p99_response_time"]
+    got = {(r.ts, r.component): tuple(r[c] for c in cols) for r in stream.collect()}
+    want = {(r.ts, r.component): tuple(r[c] for c in cols) for r in batch.collect()}
     assert got and all(want[k] == pytest.approx(v) for k, v in got.items())
+    end, component = sorted(want)[20]
+    inside = spark.read.parquet(events).where((F.col("ts") < F.lit(end)) & (F.col("ts") >= F.lit(end) - F.expr("INTERVAL 1 HOUR")) & (F.col("component") == component))
+    exact = mo.performance_summary(inside).first()
+    assert want[end, component] == pytest.approx(tuple(exact[c] for c in cols))
+
+
+def test_sliding_percentiles_of_nulls_and_many_values(spark):
+    rows = spark.range(20000).select(
+        F.timestamp_seconds(F.lit(1704067200)).alias("ts"), F.when(F.col("id") == 0, "empty").otherwise("full").alias("component"),
+        F.when(F.col("id") > 0, F.pmod(F.col("id") * 7919, F.lit(19999)).cast("double")).alias("duration"), F.lit(True).alias("success"))
+    got = {r.component: r for r in sm.sliding_performance(rows, "5 minutes", "5 minutes").collect()}
+    assert got["empty"].total_requests == 1 and got["empty"].median_response_time is None and got["empty"].p99_response_time is None
+    for name, p in (("median", 0.5), ("p95", 0.95), ("p99", 0.99)):
+        assert abs(got["full"][f"{name}_response_time"] - p * 19999) <= 0.01 * 19999
+
+
+def test_sliding_accuracy_equals_batch(spark, tmp_path):
+    rows = spark.range(200).select(F.timestamp_seconds(F.lit(1704067200) + F.col("id") * 60).alias("ts"), F.lit("q").alias("query_type"),
+                                   (F.col("id") % 10 / 10.0).alias("confidence"), (F.col("id") % 7 / 7.0).alias("uncertainty"))
+    rows.write.parquet(str(tmp_path / "a"))
+    stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "a"))
+    got = {r.ts: tuple(r) for r in run(sm.sliding_accuracy(stream, retention="10 minutes"), "sliding_accuracy").collect()}
+    want = {r.ts: tuple(r) for r in sm.sliding_accuracy(rows).collect()}
+    assert got and all(want[k][1:] == pytest.approx(v[1:]) for k, v in got.items())
+
+
+def test_alerts_of_recorded_events_equal_the_stream_gate(spark, tmp_path):
+    at = lambda m: F.timestamp_seconds(F.lit(1704067200) + m)
+    minutes = spark.range(400).where("id < 130 OR id BETWEEN 200 AND 202 OR id > 390")
+    perf = minutes.select(at(F.col("id") * 60).alias("ts"), F.lit(9.0).alias("duration"), (F.col("id") != 201).alias("success"))
+    acc = minutes.limit(0).select(at(F.col("id")).alias("ts"), F.lit(0.1).alias("confidence"), F.lit(0.1).alias("uncertainty"))
+    stats = mo.trailing_stats(perf, acc)
+    first = stats.orderBy("ts").first()
+    assert first.ts.timestamp() % 60 == 0 and first.avg_confidence is None and first.error_rate == 0
+    got = {(r.name, r.ts) for r in mo.alerts(perf, acc).collect()}
+
+    def plain(hits):
+        last = {}
+        for name, ts in sorted(hits, key=lambda h: h[1]):
+            if name not in last or (ts - last[name]).total_seconds() > 3600:
+                last[name] = ts
+                yield name, ts
+
+    hits = [(r.name, r.ts) for r in mo.alert_candidates(stats).collect()]
+    assert got == set(plain(hits)) and {n for n, _ in got} == {"slow_response_time", "high_error_rate"} and len(got) == 6
+    stats.coalesce(1).write.parquet(str(tmp_path / "stats"))
+    stream = spark.readStream.schema(stats.schema).parquet(str(tmp_path / "stats"))
+    assert {(r.name, r.ts) for r in run(st.alerts(stream), "recorded").collect()} == got
+    assert mo.alerts(perf.limit(0), acc).count() == 0
 
 
 def test_cumulative_equals_batch(spark, events):
