@@ -125,8 +125,9 @@ def with_run(names: DataFrame) -> DataFrame:
     """Each name (column ``name``) with the code of its rarest run among all names, long runs for long names."""
     c = F.col("name")
     texts = names.select("name").distinct()
-    own = F.when(F.char_length(c) >= LONG_GRAM, run_codes(sizes=(LONG_GRAM,))(c)).otherwise(run_codes(sizes=(SHORT_GRAM,))(c))
-    parts = texts.select("name", F.explode(own).alias("anchor"))
+    long = F.char_length(c) >= LONG_GRAM
+    of = lambda n, own: texts.where(own).select("name", F.explode(run_codes(sizes=(n,))(c)).alias("anchor"))
+    parts = cut_lineage(of(LONG_GRAM, long).unionByName(of(SHORT_GRAM, ~long)))
     rarity = parts.groupBy("anchor").agg(F.count(F.lit(1)).alias("_df"))
     best = parts.join(rarity, "anchor").groupBy("name").agg(F.min_by("anchor", F.struct("_df", "anchor")).alias("anchor"))
     return names.join(best, "name")
@@ -142,7 +143,7 @@ def find_names(
     lie, so only runs that (almost) surely belong to a name leave the scan; they meet the names by one
     equi-join and are then verified. Positions are zero-based. Null texts and an empty dictionary give no rows.
     """
-    usable = last_loaded(names.where(F.char_length("name") >= 3))
+    usable = cut_lineage(last_loaded(names.where(F.char_length("name") >= 3)))  # read three times below
     keyed = cut_lineage(with_run(usable).select("anchor", "name", "concept_type", "concept_id"))
     size = keyed.agg(
         F.count(F.lit(1)).alias("n"),
