@@ -17,6 +17,11 @@ from evigraph.llm.components import components
 WORDS = 5
 THRESHOLD = 0.8
 RECALL = 0.999
+# Two texts that share a tenth of their n-grams may meet once in a million cases, so that chance
+# meetings do not connect a large corpus into one group.
+UNLIKE = 0.1
+CHANCE = 1e-6
+HASHES = 1024
 # Texts, and bytes of text, that meet each other in one task at most (twice that for two tiles).
 TILE = 128
 TILE_BYTES = 8 << 20
@@ -24,14 +29,22 @@ COLUMNS = 4096
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
-def bands_for(threshold: float, recall: float, most_rows: int = 4) -> tuple[int, int]:
-    """Bands and rows for which a pair at ``threshold`` meets with probability ``recall`` or more.
+def bands_for(threshold: float, recall: float, unlike: float = UNLIKE, chance: float = CHANCE) -> tuple[int, int]:
+    """Bands and rows that fit together: the fewest rows that keep unlike texts apart, the bands that give the recall.
 
-    Of one to ``most_rows`` rows the choice with the fewest rare meetings of dissimilar texts is taken,
-    which is the one with the most rows.
+    A pair at ``threshold`` shares a band with probability ``recall`` or more, a pair of similarity
+    ``unlike`` with probability ``chance`` or less. Where ``HASHES`` minima do not reach that (a
+    threshold near ``unlike``), the most rows within them are taken; the recall holds all the same.
     """
-    rows = most_rows
-    return math.ceil(math.log(1 - recall) / math.log(1 - threshold**rows)), rows
+    best = None
+    for rows in range(1, HASHES + 1):
+        bands = max(1, math.ceil(math.log(1 - recall) / math.log(1 - min(threshold, 1 - 1e-12) ** rows)))
+        if best and bands * rows > HASHES:
+            break
+        best = bands, rows
+        if 1 - (1 - unlike**rows) ** bands <= chance:
+            break
+    return best
 
 
 def shingles(texts: pa.Array, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -191,9 +204,9 @@ def text_classes(docs: DataFrame, words: int = WORDS, threshold: float = THRESHO
         .agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("first_id"), F.first("bytes").alias("bytes"), F.first("bands").alias("bands"))
         .withColumn("tid", F.monotonically_increasing_id())
     )
-    buckets = texts.where("bands is not null").select("tid", F.posexplode("bands").alias("band", "hash"))
-    heads = buckets.groupBy("band", "hash").agg(F.min("tid").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    met = buckets.join(heads, ["band", "hash"]).where("tid <> head").select(F.col("tid").alias("u"), F.col("head").alias("v"))
+    buckets = texts.where("bands is not null").select("tid", F.explode("bands").alias("hash"))  # a hash carries its band
+    heads = buckets.groupBy("hash").agg(F.min("tid").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    met = buckets.join(heads, "hash").where("tid <> head").select(F.col("tid").alias("u"), F.col("head").alias("v"))
     groups = written(components(met))
     members = written(texts.join(groups.select(F.col("id").alias("tid"), "component"), "tid"))
     tiles = members.groupBy("component").agg(

@@ -531,6 +531,10 @@ def test_bands_reach_the_recall():
 
     bands, rows = bands_for(0.8, 0.999)
     assert 1 - (1 - 0.8**rows) ** bands >= 0.999
+    assert 1 - (1 - 0.1**rows) ** bands <= 1e-6
+    for threshold in (0.2, 0.5, 1.0):  # the recall holds where unlike texts cannot be kept apart
+        bands, rows = bands_for(threshold, 0.99)
+        assert bands * rows <= 1024 and 1 - (1 - threshold**rows) ** bands >= 0.99
 
 
 def test_components_of_stars_chains_and_loops(tuned):
