@@ -14,6 +14,10 @@ from pyspark.sql import functions as F
 
 from evigraph.session import cut_lineage
 
+# Distinct values of a group that may meet in one window of exact_ranks.
+RANK_ROWS = 100_000
+PARTS = 100
+
 
 def exact_ranks(
     df: DataFrame,
@@ -21,15 +25,20 @@ def exact_ranks(
     value_col: str,
     targets: dict[str, Callable[[Column], Column]],
     accuracy: int = 10000,
+    limit: int | None = None,
 ) -> DataFrame:
     """Values at given zero-based positions of each group's ascending order, exactly.
 
     ``targets`` maps an output column to a function from the group size to the wanted position.
     Pass one is a mergeable sketch (rank error at most 1/accuracy) that brackets every position;
     pass two counts distinct values inside the brackets, everything below a bracket collapsing to
-    one row before the shuffle. Only about two thousandths of a group ever meet in one window.
+    one row before the shuffle. While a bracket holds more than ``limit`` distinct values (``RANK_ROWS``;
+    1,000 at least), it is cut into ``PARTS`` parts and the part with the position goes on as the
+    bracket, so no window sees more than ``limit`` rows however large a group is. Each round reads a
+    written table about a hundredth of the one before; the driver sees one number a round.
     Result: group columns, ``n`` and one column per target.
     """
+    limit = max(RANK_ROWS if limit is None else limit, 1_000)
     g = list(group_cols)
     names = list(targets)
     rows = df.where(F.col(value_col).isNotNull()).select(*g, F.col(value_col).alias("_v"))
@@ -67,6 +76,7 @@ def exact_ranks(
         )
         .groupBy(*g, "n", "_target", "_pos", "_key").agg(F.count(F.lit(1)).alias("_c"))
     )
+    hits = _narrowed(hits, g, accuracy, limit)
     run = Window.partitionBy(*g, "_target").orderBy(F.col("_key").asc_nulls_first())
     picked = hits.withColumn("_cum", F.sum("_c").over(run)).where(
         (F.col("_cum") > F.col("_pos")) & (F.col("_cum") - F.col("_c") <= F.col("_pos"))
@@ -77,6 +87,28 @@ def exact_ranks(
     )
 
 
+def _narrowed(hits: DataFrame, g: Sequence[str], accuracy: int, limit: int) -> DataFrame:
+    """Brackets with at most ``limit`` distinct values each; a row without a key counts what lies below."""
+    keys = [*g, "_target"]
+    probes = [i / PARTS for i in range(1, PARTS)]
+    hits = cut_lineage(hits)
+    while (hits.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0) > limit:
+        cuts = hits.where(F.col("_key").isNotNull()).groupBy(*keys).agg(F.percentile_approx("_key", probes, accuracy).alias("_cuts"))
+        part = F.when(F.col("_key").isNull(), -1).otherwise(F.size(F.filter("_cuts", lambda c: c < F.col("_key"))))
+        parted = cut_lineage(same_groups(hits, cuts, keys).withColumn("_part", part).drop("_cuts"))
+        # at most PARTS + 1 rows of a bracket meet here
+        upto = Window.partitionBy(*keys).orderBy("_part")
+        held = (
+            parted.groupBy(*keys, "n", "_pos", "_part").agg(F.sum("_c").alias("_c"))
+            .withColumn("_cum", F.sum("_c").over(upto))
+            .where((F.col("_cum") > F.col("_pos")) & (F.col("_cum") - F.col("_c") <= F.col("_pos")))
+        )
+        inside = same_groups(parted, held.select(*keys, "_part"), [*keys, "_part"]).select(hits.columns)
+        below = held.withColumn("_key", F.lit(None).cast(hits.schema["_key"].dataType)).withColumn("_c", F.col("_cum") - F.col("_c"))
+        hits = cut_lineage(inside.unionByName(below.select(hits.columns)))
+    return hits
+
+
 def _with_single_row(rows: DataFrame, one_row: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Attach the columns of a one-row frame as an uncorrelated scalar subquery (no join, no shuffle)."""
     packed = one_row.select(F.struct(*cols).alias("_s")).scalar()

@@ -27,6 +27,8 @@ UNKNOWN_ACCURACY = UNKNOWN_CALIBRATION_WEIGHT = 0.7
 UNKNOWN_CALIBRATION_FACTOR = 1.0
 UNKNOWN_CALIBRATION_QUALITY = 0.5
 LEARNING_RATE = 0.1
+# Consecutive batch numbers whose updates are composed first.
+BATCH_BLOCK = 1024
 
 
 def default_reliability(spark: SparkSession) -> DataFrame:
@@ -180,19 +182,26 @@ def feedback_confusion(feedback: DataFrame) -> DataFrame:
     )
 
 
-def update_reliability(reliability: DataFrame, feedback: DataFrame, alpha: float = LEARNING_RATE) -> DataFrame:
-    """Moving average over ordered batches in closed form: batch k of n weighs alpha * (1 - alpha)^(n - k).
+def update_reliability(reliability: DataFrame, feedback: DataFrame, alpha: float = LEARNING_RATE, block: int = BATCH_BLOCK) -> DataFrame:
+    """Moving average over ordered batches as a scan of affine maps.
 
-    A source's batches are summed with partial aggregates; nothing is folded in order. The position
-    of a batch is counted from the end, over a table of one row per source and batch.
+    A batch moves x to (1 - alpha) x + alpha v. The batches of a block of ``block`` consecutive numbers
+    compose to one map x -> (1 - alpha)^n x + shift, and the blocks' maps are applied in order by the
+    number of batches after each. A window holds one block of a source, or one row per block.
     """
     per = feedback_confusion(feedback).where(F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn") > 0)
     from pyspark.sql import Window
 
-    later = Window.partitionBy("source_type").orderBy(F.desc("batch"))
-    weighted = per.withColumn("_w", F.lit(alpha) * F.pow(F.lit(1 - alpha), F.row_number().over(later) - 1))
-    sums = weighted.groupBy("source_type").agg(
-        F.count(F.lit(1)).alias("batches"), *[F.sum(F.col("_w") * F.col(c)).alias(f"_{c}") for c in ("accuracy", "precision", "recall")])
+    measures = ("accuracy", "precision", "recall")
+    decay = lambda n: F.pow(F.lit(1 - alpha), n)
+    later = Window.partitionBy("source_type", "_block").orderBy(F.desc("batch"))
+    weighted = per.withColumn("_block", F.floor(F.col("batch") / block)).withColumn("_w", F.lit(alpha) * decay(F.row_number().over(later) - 1))
+    maps = weighted.groupBy("source_type", "_block").agg(
+        F.count(F.lit(1)).alias("_n"), *[F.sum(F.col("_w") * F.col(c)).alias(f"_{c}") for c in measures])
+    following = Window.partitionBy("source_type").orderBy(F.desc("_block")).rowsBetween(Window.unboundedPreceding, -1)
+    placed = maps.withColumn("_after", F.coalesce(F.sum("_n").over(following), F.lit(0)))
+    sums = placed.groupBy("source_type").agg(
+        F.sum("_n").alias("batches"), *[F.sum(decay(F.col("_after")) * F.col(f"_{c}")).alias(f"_{c}") for c in measures])
     joined = reliability.join(sums, "source_type", "full")
     keep = F.pow(F.lit(1 - alpha), F.coalesce("batches", F.lit(0)))
     moved = lambda c: (keep * F.coalesce(c, F.lit(0.5)) + F.coalesce(F.col(f"_{c}"), F.lit(0.0))).alias(c)

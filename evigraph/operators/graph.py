@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evigraph.functions import text as tx
@@ -52,15 +52,21 @@ def build_graph(
     return entities, features, edges
 
 
-def upsert_edges(stored: DataFrame, incoming: DataFrame) -> DataFrame:
-    """Stored edges with incoming ones added or their properties overwritten."""
+def upsert_edges(stored: DataFrame, incoming: DataFrame, at: Column | None = None) -> DataFrame:
+    """Stored edges with incoming ones added or their properties overwritten.
+
+    With ``at`` incoming edges carry that time as ``updated_at``; other stored edges keep theirs.
+    """
     keys = ["entity_id", "feature_id"]
+    properties = EDGE_PROPERTIES if at is None else [*EDGE_PROPERTIES, "updated_at"]
+    if at is not None:
+        incoming = incoming.withColumn("updated_at", at)
     s, n = stored.alias("s"), incoming.withColumn("_new", F.lit(True)).alias("n")
     return s.join(n, keys, "full").select(
         *keys,
         *[
             F.when(F.col("n._new"), F.col(f"n.{c}")).otherwise(F.col(f"s.{c}")).alias(c)
-            for c in EDGE_PROPERTIES
+            for c in properties
         ],
     )
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,7 +13,8 @@ from evigraph.operators import pairs as pr
 from evigraph.operators import weights as wt
 from evigraph.functions.ordered import top_per_group
 from evigraph.plans.tables import customer_names, pair_bag, rnd, rounded, table
-from evigraph.session import cut_lineage
+from evigraph.session import checkpoint_dir, cut_lineage
+from evigraph.sources import graph_store as gs
 
 MIN_WEIGHT = 0.2
 
@@ -107,22 +110,42 @@ def graph_edges(spark, sf_dir):
     return rounded(edges, "weight", "tfidf_weight", "pmi_confidence")
 
 
-def graph_upsert(spark, sf_dir):
-    """Stored graph of the first order years, updated with weights of all years."""
+def early_bag(spark, sf_dir):
+    """Customer and part name of the line items of the first order years."""
     orders = table(spark, sf_dir, "orders").where(F.col("o_orderdate") < "1997-01-01").select("o_orderkey")
-    early = (
+    return (
         table(spark, sf_dir, "lineitem").join(orders, F.col("l_orderkey") == F.col("o_orderkey"), "left_semi")
         .select("l_orderkey", "l_partkey")
         .join(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
         .join(table(spark, sf_dir, "part").select("p_partkey", "p_name"), F.col("l_partkey") == F.col("p_partkey"))
         .select(F.col("o_custkey").alias("entity_id"), F.col("p_name").alias("feature"))
     )
+
+
+def graph_upsert(spark, sf_dir):
+    """Stored graph of the first order years, updated with weights of all years."""
     names = customer_names(spark, sf_dir)
-    _, _, stored = gr.build_graph(wt.combined_weights(early), names, MIN_WEIGHT)
+    _, _, stored = gr.build_graph(wt.combined_weights(early_bag(spark, sf_dir)), names, MIN_WEIGHT)
     _, _, incoming = gr.build_graph(wt.combined_weights(pair_bag(spark, sf_dir)), names, MIN_WEIGHT)
     return rounded(gr.upsert_edges(stored, incoming), "weight", "tfidf_weight", "pmi_confidence")
 
 
+def graph_merge(spark, sf_dir):
+    """The graph of the first order years in a store, merged with that of all years: nodes, edges and times."""
+    names = customer_names(spark, sf_dir)
+    first = gr.build_graph(cut_lineage(wt.combined_weights(early_bag(spark, sf_dir))), names, MIN_WEIGHT)
+    full = gr.build_graph(cut_lineage(wt.combined_weights(pair_bag(spark, sf_dir))), names, MIN_WEIGHT)
+    path = f"{checkpoint_dir(spark)}/stores/{uuid.uuid4().hex}"
+    gs.create_store(*first, path, F.lit("1997-01-01").cast("timestamp"))
+    gs.merge_store(spark, path, *full, F.lit("1999-01-01").cast("timestamp"))
+    entities, features, edges = gs.read_store(spark, path)
+    nodes = entities.select(F.lit("entity").alias("kind"), F.col("id").cast("string").alias("source_id"), F.lit("").alias("target_id")).unionByName(
+        features.select(F.lit("feature").alias("kind"), F.col("id").alias("source_id"), F.lit("").alias("target_id")))
+    return nodes.withColumns({"weight": F.lit(None).cast("double"), "updated": F.lit(None).cast("string")}).unionByName(edges.select(
+        F.lit("edge").alias("kind"), F.col("entity_id").cast("string").alias("source_id"), F.col("feature_id").alias("target_id"),
+        rnd("weight").alias("weight"), F.date_format("updated_at", "yyyy-MM-dd").alias("updated")))
+
+
 def entity_search(spark, sf_dir):
     _, features, _ = graph_tables(spark, sf_dir)
     return gr.search_features(features, "Widget")
@@ -288,6 +311,13 @@ QUERIES = {
         round(CASE WHEN e.entity_id IS NULL THEN s.conf ELSE e.conf END + 1e-9, 6) AS pmi_confidence,
         CASE WHEN e.entity_id IS NULL THEN s.category ELSE e.category END AS category
         FROM early_graph s FULL JOIN edges e ON s.entity_id = e.entity_id AND s.feature_id = e.feature_id"""),
+    "graph_merge": (graph_merge, f"""WITH {EARLY} {GRAPH}, merged AS (SELECT coalesce(e.entity_id, s.entity_id) AS entity_id,
+          coalesce(e.feature_id, s.feature_id) AS feature_id, CASE WHEN e.entity_id IS NULL THEN s.w ELSE e.w END AS w, e.entity_id IS NULL AS old
+          FROM early_graph s FULL JOIN edges e ON s.entity_id = e.entity_id AND s.feature_id = e.feature_id)
+        SELECT 'edge' AS kind, entity_id::VARCHAR AS source_id, feature_id AS target_id, round(w + 1e-9, 6) AS weight,
+          CASE WHEN old THEN '1997-01-01' ELSE '1999-01-01' END AS updated FROM merged
+        UNION ALL SELECT DISTINCT 'entity', entity_id::VARCHAR, '', NULL, NULL FROM merged
+        UNION ALL SELECT DISTINCT 'feature', feature_id, '', NULL, NULL FROM merged"""),
     "entity_search": (entity_search, f"WITH {GRAPH} SELECT DISTINCT display AS display_name FROM features WHERE contains(name, 'widget')"),
     "entity_search_by_name": (entity_search_by_name, f"""WITH {GRAPH} SELECT entity_id, display AS display_name FROM entities
         WHERE contains(name, 'customer#00000001')"""),

@@ -128,6 +128,51 @@ class ConversationContext(StatefulProcessor):
         pass
 
 
+_SEEN = "mentions BIGINT, first INT, last INT, turns ARRAY<INT>, confidences ARRAY<DOUBLE>"
+_TIMELINE = "conv_id BIGINT, entity STRING, mentions BIGINT, first_mention INT, last_mention INT, confidence_trend ARRAY<DOUBLE>"
+
+
+class EntityTimeline(StatefulProcessor):
+    """Keeps a map from entity to its mentions in a conversation; a batch reads and writes the entities it names only."""
+
+    def __init__(self, trend: int = 3):
+        self.trend = trend
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.seen = handle.getMapState("seen", "entity STRING", _SEEN)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        named: dict[str, list] = {}
+        for frame in rows:
+            for turn, entity, confidence in frame[["turn_no", "entity", "confidence"]].itertuples(index=False):
+                if entity not in named:
+                    held = self.seen.getValue((entity,)) if self.seen.containsKey((entity,)) else None
+                    named[entity] = [held[0], held[1], held[2], list(zip(held[3], held[4]))] if held else [0, turn, turn, []]
+                state = named[entity]
+                last = sorted([*state[3], (int(turn), float(confidence))])[-self.trend:]
+                named[entity] = [state[0] + 1, min(state[1], turn), max(state[2], turn), last]
+        out = []
+        for entity, (mentions, first, last, recent) in named.items():
+            turns, confidences = [int(t) for t, _ in recent], [float(c) for _, c in recent]
+            self.seen.updateValue((entity,), (int(mentions), int(first), int(last), turns, confidences))
+            out.append((key[0], entity, int(mentions), int(first), int(last), confidences))
+        yield pd.DataFrame(out, columns=["conv_id", "entity", "mentions", "first_mention", "last_mention", "confidence_trend"])
+
+    def close(self) -> None:
+        pass
+
+
+def entity_timeline(entities: DataFrame, trend: int = 3) -> DataFrame:
+    """Timelines of the entities that a batch of rows ``conv_id, turn_no, entity, confidence`` names (update mode).
+
+    An entity's latest row equals that of the batch operator. Rows may come late and in any order; rows
+    without an entity or confidence are left out.
+    """
+    rows = entities.where(F.col("entity").isNotNull() & F.col("confidence").isNotNull()).select(
+        F.col("conv_id").cast("bigint"), F.col("turn_no").cast("int"), "entity", F.col("confidence").cast("double"))
+    return rows.groupBy("conv_id").transformWithStateInPandas(EntityTimeline(trend), _TIMELINE, "Update", "None")
+
+
 def conversation_context(turns: DataFrame, max_turns: int = 10) -> DataFrame:
     """Context per turn from a stream of turns ``conv_id, turn, user_query, entities``."""
     names = F.transform("entities", lambda e: e["concept_name"])

@@ -221,6 +221,29 @@ def test_exact_ranks(spark):
     assert got["b"].p95 == b[950] and got["b"].m0 == b[499]
 
 
+def test_exact_ranks_narrow_wide_brackets(spark, monkeypatch):
+    df = spark.range(1_000_000).select(
+        F.pmod(F.col("id") * 7919, F.lit(1_000_003)).cast("double").alias("v"), F.when(F.col("id") % 3 > 0, F.lit("hot")).alias("g"))
+    widest = []
+    narrowed = od._narrowed
+
+    def watched(hits, g, accuracy, limit):
+        out = narrowed(hits, g, accuracy, limit)
+        count = lambda h: h.groupBy(*g, "_target").count().agg(F.max("count")).first()[0]
+        widest.append((count(hits), count(out)))
+        return out
+
+    monkeypatch.setattr(od, "_narrowed", watched)
+    targets = {"p95": od.nearest_rank(95), "m": od.median_low, "first": lambda n: n * 0, "last": lambda n: n - 1}
+    got = {r.g: r for r in od.exact_ranks(df, ["g"], "v", targets, limit=1000).collect()}
+    assert widest[0][0] > 1000 >= widest[0][1]
+    for g, ids in (("hot", [i for i in range(1_000_000) if i % 3]), (None, range(0, 1_000_000, 3))):
+        v = sorted(i * 7919 % 1_000_003 for i in ids)
+        n = len(v)
+        assert (got[g].n, got[g].p95, got[g].m, got[g].first, got[g]["last"]) == (n, v[int(0.95 * n)], v[(n - 1) // 2], v[0], v[-1])
+    assert od.exact_ranks(df.limit(0), ["g"], "v", targets).count() == 0
+
+
 def test_positions(spark):
     df = spark.range(500).select(F.col("id"), (F.col("id") % 2).alias("g"))
     got = od.dense_index(df.repartition(7), ["id"], "i").collect()
@@ -256,6 +279,19 @@ def test_reliability_average(spark):
     assert got["neural"].accuracy == pytest.approx(0.800650) and got["rag"].accuracy == pytest.approx(0.70)
 
 
+@pytest.mark.parametrize("block", [1, 7, 1024])
+def test_reliability_blocks_equal_the_fold(spark, block):
+    rows = [(s, b, "x", 0.9 if (b * k) % 5 else 0.1, b % k > 0) for k, s in ((2, "neural"), (3, "new")) for b in range(3, 60, k) for _ in range(2)]
+    rows += [("rag", None, "x", 0.9, True)]
+    fb = spark.createDataFrame(rows, "source_type STRING, batch INT, entity STRING, p DOUBLE, truth BOOLEAN")
+    start = {r.source_type: r.accuracy for r in fu.default_reliability(spark).collect()}
+    want = {s: start.get(s, 0.5) for s in ("neural", "new", "rag")}
+    for r in sorted(fu.feedback_confusion(fb).collect(), key=lambda r: r.batch or 0):
+        want[r.source_type] += fu.LEARNING_RATE * (r.accuracy - want[r.source_type])
+    got = {r.source_type: r.accuracy for r in fu.update_reliability(fu.default_reliability(spark), fb, block=block).collect()}
+    assert {s: got[s] for s in want} == pytest.approx(want)
+
+
 def test_safety(spark):
     rows = [(1, "You have a rare disease. Take 5 mg now.", [("chest_pain", "SYMPTOM")], 0.9, 0.2, False), (2, "Rest well.", [], 0.99, 0.1, False),
             (3, "Rest well.", [("flu", "DISEASE")], 0.6, 0.6, True)]

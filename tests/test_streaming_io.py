@@ -3,10 +3,12 @@
 import pytest
 from pyspark.sql import functions as F
 
+from evigraph.operators import conversation as cv
 from evigraph.operators import fusion as fu
 from evigraph.operators import monitoring as mo
 from evigraph.operators import weights as wt
 from evigraph.operators import graph as gr
+from evigraph.sources import graph_store as gs
 from evigraph.sources import readers as rd
 from evigraph.sources import writers as wr
 from evigraph.streaming import ingest as ing
@@ -127,6 +129,21 @@ def test_conversation_stream(spark, tmp_path):
     assert len(got) == 13 and got[12].kept_turns == 10 and got[12].overlapping_turns == [10] and got[0].topics == ["symptom", "symptom_pain"]
 
 
+def test_entity_timeline_stream_equals_batch(spark, tmp_path):
+    rows = [(c, t, f"e{t % (2 + c)}", round(0.5 + (t * 7 % 11) / 25, 2)) for c in (1, 2) for t in range(25)] + [(1, 3, None, 0.5), (2, 4, "e0", 0.1)]
+    df = spark.createDataFrame(rows, "conv_id LONG, turn_no INT, entity STRING, confidence DOUBLE")
+    for part in range(4):  # every file holds turns from all over the conversation, so some come late
+        df.where(F.coalesce(F.pmod("turn_no", F.lit(4)), F.lit(0)) == part).coalesce(1).write.mode("append").parquet(str(tmp_path / "e"))
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "e"))
+    got = {}
+    for r in run(st.entity_timeline(stream), "timeline", "update").collect():
+        if r.mentions > got.get((r.conv_id, r.entity), (0,))[0]:
+            got[r.conv_id, r.entity] = (r.mentions, r.first_mention, r.last_mention, r.confidence_trend)
+    want = {(r.conv_id, r.entity): (r.mentions, r.first_mention, r.last_mention, r.confidence_trend)
+            for r in cv.entity_timeline(df.where("entity is not null")).collect()}
+    assert len(want) == 7 and got == want
+
+
 def test_ingest_equals_batch(spark, tmp_path):
     docs = spark.createDataFrame([(f"f{i}", "Lab report " + "x" * (600 * i)) for i in range(5)], "source_file STRING, text STRING")
     docs.write.parquet(str(tmp_path / "in"))
@@ -151,6 +168,31 @@ def test_graph_round_trip(spark, tmp_path):
         wr.upsert_graph(spark, str(tmp_path / "g"), *tables, str(tmp_path / "g"))
 
 
+def test_merge_rewrites_touched_buckets_only(spark, tmp_path):
+    path = str(tmp_path / "store")
+    edge = "entity_id STRING, feature_id STRING, weight DOUBLE, tfidf_weight DOUBLE, pmi_confidence DOUBLE, category STRING"
+    node = "id STRING, name STRING, display_name STRING"
+    at = lambda day: F.lit(f"2024-01-{day:02d}").cast("timestamp")
+    nodes = lambda ids, name: spark.createDataFrame([(i, name, name.title()) for i in ids], node)
+    edges = lambda rows: spark.createDataFrame([(e, f, w, w, w, "low") for e, f, w in rows], edge)
+    hub = [("hub", f"s{i}", 0.5) for i in range(200)]
+    gs.create_store(nodes(["hub"], "old"), nodes([f"s{i}" for i in range(200)], "old"), edges(hub), path, at(1), buckets=16)
+    files = lambda: {str(f.relative_to(path)): f.stat().st_mtime_ns for f in (tmp_path / "store").rglob("*.parquet")}
+    before = files()
+    gs.merge_store(spark, path, nodes(["hub", "next"], "new"), nodes(["s0", "t"], "new"), edges([("hub", "s0", 0.9), ("next", "t", 0.3)]), at(2))
+    after = files()
+    entities, features, merged = gs.read_store(spark, path)
+    assert {(r.id, r.name) for r in entities.collect()} == {("hub", "old"), ("next", "new")}
+    assert features.count() == 201 and features.where("id = 's0'").first().name == "old"
+    got = {(r.entity_id, r.feature_id): (r.weight, r.updated_at.day) for r in merged.collect()}
+    assert got == {**{(e, f): (w, 1) for e, f, w in hub}, ("hub", "s0"): (0.9, 2), ("next", "t"): (0.3, 2)}
+    rewritten = {f.split("/")[1] for f in before if f.startswith("edges") and f not in after}
+    assert 1 <= len(rewritten) <= 2
+    assert all(after.get(f) == m for f, m in before.items() if not (f.startswith("edges") and f.split("/")[1] in rewritten))
+    gs.merge_store(spark, path, nodes(["hub", "next"], "new"), nodes([], "new"), edges([]), at(3))
+    assert files().keys() >= after.keys() and gs.read_store(spark, path)[2].count() == 201
+
+
 def test_tables_round_trip(spark, tmp_path):
     w = spark.createDataFrame([("1", "D", "A b", 0.5)], "disease_id STRING, disease STRING, symptom STRING, weight DOUBLE")
     wr.write_table(w, str(tmp_path / "w"), ("csv", "parquet"))
