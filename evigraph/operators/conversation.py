@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evigraph.functions import text as tx
-from evigraph.functions.ordered import spread_row_number, top_per_group
+from evigraph.functions.ordered import spread_row_number, spread_running, top_per_group
 
 TURN_BUCKET = 10_000
 MAX_TURNS = 10
@@ -148,11 +148,31 @@ def response_parts(entities: DataFrame, fused: DataFrame, overall: DataFrame, do
                        F.coalesce("_n", F.lit(0)).alias("documents"), F.coalesce("_p", F.lit("")).alias("findings"))
 
 
+def turns_before(queries: DataFrame, messages: DataFrame, turns: int = 3) -> DataFrame:
+    """The last ``turns`` messages before each question ``query_id, conv_id, turn``: ``earlier`` in order.
+
+    An as-of join in linear work: questions and messages of a conversation are laid in one order, a
+    question counts the messages before it, and meets the last ones by an equi-join on their numbers. A
+    message of the question's own turn is not before it. A question without a conversation, a turn or
+    earlier messages has no row.
+    """
+    line = F.concat("role", F.lit(": "), F.coalesce("text", F.lit(""))).alias("line")
+    said = messages.where("conv_id is not null and turn is not null").select(
+        "conv_id", "turn", line, F.lit(None).cast(queries.schema["query_id"].dataType).alias("query_id"), F.lit(1).alias("_message"))
+    asked = queries.where("conv_id is not null and turn is not null").select(
+        "conv_id", "turn", F.lit(None).cast("string").alias("line"), "query_id", F.lit(0).alias("_message"))
+    placed = spread_running(said.unionByName(asked), ["conv_id"], F.floor(F.col("turn") / TURN_BUCKET), ["turn", "_message", "line"],
+                            F.col("_message").cast("bigint"), "_at")
+    wanted = placed.where("_message = 0 and _at > 0").select(
+        "query_id", "conv_id", F.explode(F.sequence(F.greatest(F.col("_at") - turns + 1, F.lit(1)), F.col("_at"))).alias("_at"))
+    met = wanted.join(placed.where("_message = 1").select("conv_id", "_at", "line"), ["conv_id", "_at"])
+    return met.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("_at", "line"))), lambda x: x["line"]).alias("earlier"))
+
+
 def prompt_parts(queries: DataFrame, history: DataFrame, answers: DataFrame, turns: int = 3) -> DataFrame:
-    """Prompt text per query: the last turns of its conversation, the findings, the question."""
-    recent = last_messages(history, turns).groupBy("conv_id").agg(F.array_join(F.transform(
-        F.sort_array(F.collect_list(F.struct("rank", F.concat("role", F.lit(": "), "text").alias("l"))), asc=False), lambda x: x["l"]), "\n").alias("_h"))
-    return queries.join(recent, "conv_id", "left").join(answers.select("query_id", "findings"), "query_id", "left").select(
+    """Prompt text per query: the turns before it in its conversation, the findings, the question."""
+    recent = turns_before(queries, history, turns).select("query_id", F.array_join("earlier", "\n").alias("_h"))
+    return queries.join(recent, "query_id", "left").join(answers.select("query_id", "findings"), "query_id", "left").select(
         "query_id",
         F.concat_ws("\n\n", F.lit("Answer with evidence, state how sure you are, and point to professional care."),
                     F.concat(F.lit("Earlier turns:\n"), "_h"), F.concat(F.lit("Evidence:\n"), F.nullif("findings", F.lit(""))),

@@ -5,7 +5,7 @@ Distances are squared Euclidean; a result is kept when distance <= 1 - threshold
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
@@ -140,16 +140,35 @@ def _prefix(vectors: DataFrame, cosine: float) -> DataFrame:
     return vectors.withColumn("_rest", F.sqrt(F.sum(F.col("w") * F.col("w")).over(rest))).where(F.col("_rest") >= cosine - 1e-9)
 
 
-def search_terms(queries: DataFrame, chunks: DataFrame, n_results: int = MAX_RESULTS, threshold: float = SIMILARITY_THRESHOLD) -> DataFrame:
+def permitted(pairs: DataFrame, filters: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Pairs ``query_id, chunk_id`` that the question's own filters let through.
+
+    ``filters``: ``query_id, collections, wanted``. A null list of collections or a null map of metadata
+    values asks for nothing; a chunk without the collection or value that is asked for does not pass.
+    """
+    asked = filters.select("query_id", "collections", "wanted")
+    holds = lambda e: F.coalesce(F.try_element_at("metadata", e["key"]) == e["value"], F.lit(False))
+    return (
+        pairs.join(asked, "query_id").join(chunks.select("chunk_id", "collection", "metadata"), "chunk_id")
+        .where(F.col("collections").isNull() | F.array_contains("collections", F.col("collection")))
+        .where(F.col("wanted").isNull() | F.forall(F.map_entries("wanted"), holds))
+        .select("query_id", "chunk_id")
+    )
+
+
+def search_terms(queries: DataFrame, chunks: DataFrame, n_results: int = MAX_RESULTS, threshold: float = SIMILARITY_THRESHOLD,
+                 keep: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Nearest chunks of sparse unit vectors under the threshold, exactly.
 
     ``queries``: ``id, term, idf, w``; ``chunks``: the same plus ``collection``. Squared distance
-    d = 2 - 2 cos, so d <= 1 - threshold means cos >= (1 + threshold) / 2.
+    d = 2 - 2 cos, so d <= 1 - threshold means cos >= (1 + threshold) / 2. ``keep`` drops candidate
+    pairs ``query_id, chunk_id`` before they are scored.
     """
     cosine = (1.0 + threshold) / 2.0
     left = _prefix(queries, cosine).select(F.col("id").alias("query_id"), "term")
     right = _prefix(chunks.select("id", "term", "idf", "w"), cosine).select(F.col("id").alias("chunk_id"), "term")
     pairs = left.join(right, "term").select("query_id", "chunk_id").distinct()
+    pairs = pairs if keep is None else keep(pairs)
     dot = (
         pairs.join(queries.select(F.col("id").alias("query_id"), "term", F.col("w").alias("_a")), "query_id")
         .join(chunks.select(F.col("id").alias("chunk_id"), "term", "collection", F.col("w").alias("_b")), ["chunk_id", "term"])
@@ -185,14 +204,21 @@ def retrieve(queries: DataFrame, chunks: DataFrame, collections: Sequence[str] |
              n_results: int = MAX_RESULTS, threshold: float = SIMILARITY_THRESHOLD) -> DataFrame:
     """Query texts ``query_id, text`` expanded, matched on text vectors and formatted.
 
-    ``chunks``: ``collection, chunk_id, text, metadata``.
+    ``chunks``: ``collection, chunk_id, text, metadata``. Queries may carry filters of their own,
+    ``collections`` (list) and ``wanted`` (map of metadata values), see :func:`permitted`; they apply
+    before the best are taken, and term weights stay those of all chunks that are searched.
     """
     wanted = restrict(chunks, collections, metadata)
     words = wanted.select(F.col("chunk_id").alias("id"), F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"))).alias("term")).where(F.col("term") != "")
     idf = inverse_frequency(words)
     vectors = term_weights(wanted, "chunk_id", "text", idf).join(wanted.select(F.col("chunk_id").alias("id"), "collection"), "id")
     asked = term_weights(queries.select("query_id", tx.expand_query(F.col("text")).alias("text")), "query_id", "text", idf)
-    return format_results(search_terms(asked, vectors, n_results, threshold), wanted)
+    own = {"collections": "array<string>", "wanted": "map<string,string>"}
+    keep = None
+    if set(own) & set(queries.columns):
+        filters = queries.select("query_id", *[F.col(c) if c in queries.columns else F.lit(None).cast(t).alias(c) for c, t in own.items()])
+        keep = lambda pairs: permitted(pairs, filters, wanted)
+    return format_results(search_terms(asked, vectors, n_results, threshold, keep), wanted)
 
 
 def retrieve_dense(queries: DataFrame, chunks: DataFrame, collections: Sequence[str] | None = None, metadata: dict[str, str] | None = None,

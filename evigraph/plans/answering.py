@@ -34,14 +34,18 @@ class Knowledge:
     reliability: DataFrame
 
 
-def answer(queries: DataFrame, know: Knowledge, method: str = "weighted_average", min_weight: float = 0.3, top_n: int = 10) -> DataFrame:
+def answer(queries: DataFrame, know: Knowledge, method: str = "weighted_average", min_weight: float = 0.3, top_n: int = 10,
+           history: DataFrame | None = None) -> DataFrame:
     """Questions ``query_id, text`` with response, confidence, uncertainty, risk and flags.
 
+    Questions may carry ``collections`` and ``wanted`` (metadata such as the patient), which restrict the
+    documents of that question. With ``history`` (messages ``conv_id, turn, role, text``) they carry
+    ``conv_id, turn`` and the result has a ``prompt`` from the three turns before the question.
     A question that is null or blank comes back as an error row (confidence 0, uncertainty 1).
     """
     valid = F.trim(F.coalesce("text", F.lit(""))) != ""
     asked = queries.where(valid)
-    linked = cut_lineage(ln.link_documents(asked.withColumnRenamed("query_id", "doc_id"), know.names).withColumnRenamed("doc_id", "query_id"))
+    linked = cut_lineage(ln.link_documents(asked.select(F.col("query_id").alias("doc_id"), "text"), know.names).withColumnRenamed("doc_id", "query_id"))
     # stages below are read several times each, so their small results are written once
     symptoms = linked.where(F.col("concept_type") == "SYMPTOM").select("query_id", F.col("concept_name").alias("feature"))
     found = cut_lineage(rt.retrieve(asked, know.chunks).select("query_id", "rank", "chunk_id"))
@@ -61,6 +65,7 @@ def answer(queries: DataFrame, know: Knowledge, method: str = "weighted_average"
     fused = cut_lineage(fu.fuse_bayesian(evidence, src) if method == "bayesian" else fu.fuse_weighted(evidence, src))
     overall = fu.overall(fused, src, asked)
     text = cv.response_parts(linked, fused, overall, found, asked)
+    text = text if history is None else cut_lineage(text)
     # a question's own entities: as many as its text can hold
     mentions = linked.groupBy("query_id").agg(F.array_sort(F.collect_set(F.struct("concept_name", "concept_type"))).alias("entities"))
     none = F.array().cast("array<struct<concept_name:string,concept_type:string>>")
@@ -87,4 +92,7 @@ def answer(queries: DataFrame, know: Knowledge, method: str = "weighted_average"
         F.lit("moderate").alias("risk_level"), F.array().cast("array<string>").alias("flags"), F.lit(False).alias("human_review_required"),
         F.lit(None).cast("double").alias("confidence_override"), F.lit(0).alias("entities"), F.lit(0).cast("bigint").alias("documents"),
         F.lit(0).cast("bigint").alias("n_sources"), F.array(F.lit("processing failed")).alias("reasoning"), F.lit("empty question").alias("error"))
-    return good.unionByName(bad)
+    if history is None:
+        return good.unionByName(bad)
+    prompts = cv.prompt_parts(asked, history, text)
+    return good.join(prompts, "query_id", "left").unionByName(bad, allowMissingColumns=True)

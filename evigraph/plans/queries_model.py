@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from evigraph.operators import conversation as cv
 from evigraph.operators import predict as pd_
 from evigraph.operators import retrieval as rt
 from evigraph.operators import sampling as sp
@@ -172,6 +173,24 @@ def retrieve_documents(spark, sf_dir):
     return out.select("query_id", "rank", "chunk_id", "collection", rnd("relevance_score").alias("relevance_score"), "source_file")
 
 
+def retrieve_filtered(spark, sf_dir):
+    """Every passage with filters of its own: two languages, one source, both or none."""
+    k = F.col("query_id")
+    asked = passages(spark, sf_dir).select(
+        "*", F.when(k % 2 == 0, F.array(F.lit("en"), F.lit("de"))).alias("collections"),
+        F.when(k % 3 == 0, F.create_map(F.lit("source_file"), F.concat(F.lit("src"), (k % 20).cast("string")))).alias("wanted"))
+    out = rt.retrieve(asked, document_chunks(spark, sf_dir))
+    return out.select("query_id", "rank", "chunk_id", "collection", rnd("relevance_score").alias("relevance_score"), "source_file")
+
+
+def earlier_turns(spark, sf_dir):
+    """Every user turn of all conversations as a question with the three messages before it."""
+    messages = table(spark, sf_dir, "conversations")
+    asked = messages.where(F.col("role") == "user").select(F.struct("conv_id", "turn").alias("query_id"), "conv_id", "turn")
+    out = cv.turns_before(asked, messages)
+    return out.select("query_id.conv_id", "query_id.turn", F.size("earlier").alias("n"), F.array_join("earlier", "\n").alias("earlier"))
+
+
 def retrieve_context(spark, sf_dir):
     found = rt.retrieve(passages(spark, sf_dir), document_chunks(spark, sf_dir), collections=["en", "de"])
     return rt.response_context(found, passages(spark, sf_dir))
@@ -192,7 +211,11 @@ def answer_batch(spark, sf_dir):
     """Every benchmark passage asked as a question against the documents and the passage graph."""
     names, (entities, features, edges) = benchmark_graph(spark, sf_dir)
     know = answering.Knowledge(names, entities, features, edges, document_chunks(spark, sf_dir), fu.default_reliability(spark))
-    out = answering.answer(passages(spark, sf_dir), know)
+    # a passage is asked in the conversation of its number after that one's fourth message, every other one of two languages only
+    asked = passages(spark, sf_dir).select(
+        "*", F.col("query_id").alias("conv_id"), F.lit(4).cast("long").alias("turn"),
+        F.when(F.col("query_id") % 2 == 0, F.array(F.lit("en"), F.lit("de"))).alias("collections"))
+    out = answering.answer(asked, know, history=table(spark, sf_dir, "conversations"))
     return rounded(out, "confidence", "uncertainty", "confidence_override")
 
 
@@ -339,6 +362,13 @@ QUERIES = {
         "SELECT query_id, collection, chunk_id, round(1 - d + 1e-9, 6) AS relevance_score, (SELECT source FROM documents WHERE doc_id = chunk_id) AS source_file,")),
     "retrieve_documents": (retrieve_documents, f"""WITH {RETRIEVE} SELECT query_id, chunk_id, collection, round(1 - d + 1e-9, 6) AS relevance_score, source AS source_file,
         row_number() OVER (PARTITION BY query_id ORDER BY round(d, 9), collection, chunk_id) AS rank FROM p WHERE r <= 5 QUALIFY rank <= 5"""),
+    "retrieve_filtered": (retrieve_filtered, "WITH " + RETRIEVE.replace("WHERE d <= 1 + 1e-9", """WHERE d <= 1 + 1e-9
+          AND (query_id % 2 <> 0 OR collection IN ('en', 'de')) AND (query_id % 3 <> 0 OR source = 'src' || (query_id % 20))""") + """
+        SELECT query_id, chunk_id, collection, round(1 - d + 1e-9, 6) AS relevance_score, source AS source_file,
+          row_number() OVER (PARTITION BY query_id ORDER BY round(d, 9), collection, chunk_id) AS rank FROM p WHERE r <= 5 QUALIFY rank <= 5"""),
+    "earlier_turns": (earlier_turns, """SELECT a.conv_id, a.turn, count(*) AS n, string_agg(m.role || ': ' || coalesce(m.text, ''), chr(10) ORDER BY m.turn) AS earlier
+        FROM conversations a JOIN (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM conversations) m ON m.conv_id = a.conv_id AND m.turn < a.turn
+        WHERE a.role = 'user' AND m.i > (SELECT count(*) FROM conversations c WHERE c.conv_id = a.conv_id AND c.turn < a.turn) - 3 GROUP BY ALL"""),
     "retrieve_context": (retrieve_context, None),
     "answer_batch": (answer_batch, None),
 }

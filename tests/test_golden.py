@@ -244,6 +244,33 @@ def test_exact_ranks_narrow_wide_brackets(spark, monkeypatch):
     assert od.exact_ranks(df.limit(0), ["g"], "v", targets).count() == 0
 
 
+def test_turns_before_a_question(spark):
+    said = [(1, t, "user" if t % 2 == 0 else "assistant", f"m{t}") for t in range(7)] + [(2, 0, "user", None), (None, 0, "user", "lost")]
+    messages = spark.createDataFrame(said, "conv_id LONG, turn LONG, role STRING, text STRING")
+    asked = [("a", 1, 4, "q"), ("b", 1, 99, "q"), ("c", 1, 0, "q"), ("d", 2, 1, "q"), ("e", None, 3, "q"), ("f", 9, 3, "q"), ("g", 1, 4, "q")]
+    queries = spark.createDataFrame(asked, "query_id STRING, conv_id LONG, turn LONG, text STRING")
+    got = {r.query_id: r.earlier for r in cv.turns_before(queries, messages).collect()}
+    assert got == {"a": ["assistant: m1", "user: m2", "assistant: m3"], "b": ["user: m4", "assistant: m5", "user: m6"], "d": ["user: "],
+                   "g": ["assistant: m1", "user: m2", "assistant: m3"]}
+    findings = spark.createDataFrame([("a", "flu")], "query_id STRING, findings STRING")
+    prompts = {r.query_id: r.prompt for r in cv.prompt_parts(queries, messages, findings).collect()}
+    assert len(prompts) == 7 and "m3" in prompts["a"] and "flu" in prompts["a"] and "m4" not in prompts["a"] and "Earlier" not in prompts["e"]
+
+
+def test_questions_with_filters_of_their_own(spark):
+    chunks = spark.createDataFrame(
+        [("x", 1, "fever cough alpha", {"patient_id": "p1"}), ("y", 2, "fever cough alpha", {"patient_id": "p2"}), ("y", 3, "fever cough alpha", None),
+         (None, 4, "fever cough alpha", {"patient_id": "p1"}), ("x", 5, "other words", {}), ("x", 6, "more of them", {})],
+        "collection STRING, chunk_id LONG, text STRING, metadata MAP<STRING, STRING>")
+    asked = [(1, "fever cough", None, None), (2, "fever cough", ["y"], None), (3, "fever cough", None, {"patient_id": "p1"}),
+             (4, "fever cough", ["y"], {"patient_id": "p2"}), (5, "fever cough", [], None)]
+    queries = spark.createDataFrame(asked, "query_id LONG, text STRING, collections ARRAY<STRING>, wanted MAP<STRING, STRING>")
+    got = {}
+    for r in rt.retrieve(queries, chunks).collect():
+        got.setdefault(r.query_id, set()).add(r.chunk_id)
+    assert got == {1: {1, 2, 3, 4}, 2: {2, 3}, 3: {1, 4}, 4: {2}}
+
+
 def test_positions(spark):
     df = spark.range(500).select(F.col("id"), (F.col("id") % 2).alias("g"))
     got = od.dense_index(df.repartition(7), ["id"], "i").collect()
