@@ -224,22 +224,28 @@ def decode_bio(tokens: DataFrame, text: DataFrame) -> DataFrame:
 
 
 def ranking_rows(annotated: DataFrame, context_window: int = 50, document_chars: int = 500) -> DataFrame:
-    """One positive row per annotation: mention, candidate, contexts and similarity."""
-    typed = lambda c, kind: F.transform(
-        F.col(c), lambda x: F.struct(x["entity"].alias("entity"), x["display_name"].alias("display_name"),
-                                     x["position"].alias("position"), F.lit(kind).alias("concept_type")))
+    """One positive row per annotation: mention, candidate, contexts and similarity.
+
+    Contexts are cut inside the text's row: what is exploded and goes through the similarity function has no text in it.
+    """
+    def placed(x: Column, kind: str) -> Column:
+        end = x["position"] + F.char_length(x["entity"])
+        return F.struct(
+            x["entity"].alias("entity"), x["display_name"].alias("display_name"), F.lit(kind).alias("concept_type"),
+            tx.context_left(F.col("text"), x["position"], context_window).alias("left"),
+            tx.context_right(F.col("text"), end, context_window).alias("right"))
+
+    typed = lambda c, kind: F.transform(F.col(c), lambda x: placed(x, kind))
     rows = annotated.select(
-        "id", "text", F.explode(F.concat(typed("diseases", "DISEASE"), typed("symptoms", "SYMPTOM"))).alias("a")
-    )
-    pos = F.col("a.position")
+        "id", F.substr("text", F.lit(1), F.lit(document_chars)).alias("_document"),
+        F.explode(F.concat(typed("diseases", "DISEASE"), typed("symptoms", "SYMPTOM"))).alias("a"))
     mention = F.col("a.entity")
     return rows.select(
         "id",
         mention.alias("mention_text"), mention.alias("candidate_name"),
         F.col("a.display_name").alias("candidate_display_name"), F.col("a.concept_type").alias("concept_type"),
-        tx.context_left(F.col("text"), pos, context_window).alias("left_context"),
-        tx.context_right(F.col("text"), pos + F.char_length(mention), context_window).alias("right_context"),
-        F.substr("text", F.lit(1), F.lit(document_chars)).alias("document_context"),
+        F.col("a.left").alias("left_context"), F.col("a.right").alias("right_context"),
+        F.col("_document").alias("document_context"),
         similarity.sequence_ratio(F.lower(mention), F.lower(mention)).alias("string_similarity"),
         F.lit(1).alias("label"),
     )
