@@ -13,9 +13,16 @@ from pyspark.sql import types as T
 
 @F.pandas_udf(T.DoubleType())
 def sequence_ratio(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    """2 * matched characters / total characters, first argument first (the order matters); null if either is."""
+    """2 * matched characters / total characters, first argument first (the order matters); null if either is.
+
+    A pair that occurs many times in a batch is compared once.
+    """
     for left, right in pairs:
-        yield pd.Series([None if a is None or b is None else SequenceMatcher(None, a, b).ratio() for a, b in zip(left, right)], dtype="float64")
+        known: dict[tuple[str | None, str | None], float | None] = {}
+        for pair in zip(left, right):
+            if pair not in known:
+                known[pair] = None if None in pair else SequenceMatcher(None, *pair).ratio()
+        yield pd.Series([known[pair] for pair in zip(left, right)], dtype="float64")
 
 
 # keeps the optimizer from pushing a filter on the ratio below a distinct and computing it twice

@@ -200,17 +200,20 @@ def decode_arrays(labelled: DataFrame) -> DataFrame:
     parts = F.transform(
         F.slice("_opens", F.lit(1), F.greatest(F.size("_opens") - 1, F.lit(0))),
         lambda at, k: F.slice("labelled", at + 1, F.get(F.col("_opens"), k + 1) - at))
-    rows = opened.select("id", "text", F.explode(parts).alias("_part"))
-    ended = F.array_position(F.transform("_part", lambda t: t["label"]), F.lit("O"))
-    until = F.when(ended > 0, F.slice("_part", F.lit(1), (ended - 1).cast("int"))).otherwise(F.col("_part"))
-    kind = F.substr(F.col("_part")[0]["label"], F.lit(3))
-    own = F.filter(until, lambda t: F.substr(t["label"], F.lit(3)) == kind)
-    spans = once(rows, "_own", own).select(
-        "id", "text", kind.alias("label"), F.array_min("_own.start").alias("start"), F.array_max("_own.end").alias("end"),
-        F.array_max("_own.confidence").alias("confidence"))
-    return spans.select(
-        "id", "start", "end", "label",
-        F.substr("text", F.col("start") + 1, F.col("end") - F.col("start")).alias("text"), "confidence")
+    def own(part: Column) -> Column:
+        """The tokens of an opening's type up to the first O."""
+        ended = F.array_position(F.transform(part, lambda t: t["label"]), F.lit("O"))
+        until = F.when(ended > 0, F.slice(part, F.lit(1), (ended - 1).cast("int"))).otherwise(part)
+        kind = F.substr(part[0]["label"], F.lit(3))
+        return F.filter(until, lambda t: F.substr(t["label"], F.lit(3)) == kind)
+
+    spans = F.transform(F.transform(parts, own), lambda o: F.struct(
+        F.array_min(o["start"]).alias("start"), F.array_max(o["end"]).alias("end"), F.substr(o[0]["label"], F.lit(3)).alias("label"),
+        F.array_max(o["confidence"]).alias("confidence")))
+    placed = once(opened, "_spans", spans).select("id", "text", "_spans")
+    texts = placed.withColumn("_texts", tx.cut(F.col("text"), F.col("_spans.start"), F.col("_spans.end")))
+    rows = texts.select("id", F.explode(F.arrays_zip("_spans", "_texts")).alias("_s"))
+    return rows.select("id", "_s._spans.start", "_s._spans.end", "_s._spans.label", F.col("_s._texts").alias("text"), "_s._spans.confidence")
 
 
 def decode_bio(tokens: DataFrame, text: DataFrame) -> DataFrame:
@@ -228,17 +231,19 @@ def ranking_rows(annotated: DataFrame, context_window: int = 50, document_chars:
 
     Contexts are cut inside the text's row: what is exploded and goes through the similarity function has no text in it.
     """
-    def placed(x: Column, kind: str) -> Column:
-        end = x["position"] + F.char_length(x["entity"])
-        return F.struct(
-            x["entity"].alias("entity"), x["display_name"].alias("display_name"), F.lit(kind).alias("concept_type"),
-            tx.context_left(F.col("text"), x["position"], context_window).alias("left"),
-            tx.context_right(F.col("text"), end, context_window).alias("right"))
-
-    typed = lambda c, kind: F.transform(F.col(c), lambda x: placed(x, kind))
-    rows = annotated.select(
+    typed = lambda c, kind: F.transform(F.col(c), lambda x: F.struct(
+        x["entity"].alias("entity"), x["display_name"].alias("display_name"), F.lit(kind).alias("concept_type"),
+        x["position"].alias("start"), (x["position"] + F.char_length(x["entity"])).alias("end")))
+    spans = annotated.select(
+        "id", "text", F.concat(typed("diseases", "DISEASE"), typed("symptoms", "SYMPTOM")).alias("_all"))
+    spans = spans.withColumns({
+        "_left": tx.cut(F.col("text"), F.transform("_all", lambda x: x["start"] - context_window), F.col("_all.start")),
+        "_right": tx.cut(F.col("text"), F.col("_all.end"), F.transform("_all", lambda x: x["end"] + context_window))})
+    rows = spans.select(
         "id", F.substr("text", F.lit(1), F.lit(document_chars)).alias("_document"),
-        F.explode(F.concat(typed("diseases", "DISEASE"), typed("symptoms", "SYMPTOM"))).alias("a"))
+        F.explode(F.zip_with(F.col("_all"), F.arrays_zip("_left", "_right"), lambda x, c: F.struct(
+            x["entity"].alias("entity"), x["display_name"].alias("display_name"), x["concept_type"].alias("concept_type"),
+            c["_left"].alias("left"), c["_right"].alias("right")))).alias("a"))
     mention = F.col("a.entity")
     return rows.select(
         "id",
