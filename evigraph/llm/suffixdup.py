@@ -142,19 +142,16 @@ def _blocks(texts: list[bytes], length: int):
         yield block()
 
 
-def _run_rows(docs: DataFrame, length: int, full: bool = True, hot: list[int] | None = None) -> DataFrame:
-    """``anchor`` of every run and, if ``full``, ``chunk, k1, k2, at, more``; slices of hot anchors if given."""
+def _run_rows(docs: DataFrame, length: int, hot: list[int] | None = None) -> DataFrame:
+    """``anchor, chunk, k1, k2, at, more`` of every run; slices of hot anchors if given."""
     hot_anchors = None if hot is None else np.sort(np.array(hot, dtype=np.int64))
 
     def run(batches):
         for batch in batches:
             texts = [t.as_py() or b"" for t in batch.column(0).cast(pa.large_binary())]
-            keys = [batch.column(c).to_numpy() for c in (1, 2)] if full else None
+            keys = [batch.column(c).to_numpy() for c in (1, 2)]
             for data, begins, ends, numbers, offsets in _blocks(texts, length):
                 runs = Runs(data, begins, ends, length)
-                if not full:
-                    yield pa.RecordBatch.from_arrays([pa.array(runs.anchor)], ["anchor"])
-                    continue
                 if hot_anchors is not None:
                     runs.divide(hot_anchors)
                 of = numbers[runs.document]
@@ -164,12 +161,12 @@ def _run_rows(docs: DataFrame, length: int, full: bool = True, hot: list[int] |
                     ["anchor", "chunk", "k1", "k2", "at", "more"],
                 )
 
-    plain = docs.select("text", *text_key("text")) if full else docs.select("text")
-    return map_arrow(plain, run, "anchor long, chunk long, k1 long, k2 long, at long, more long" if full else "anchor long", 500)
+    return map_arrow(docs.select("text", *text_key("text")), run, "anchor long, chunk long, k1 long, k2 long, at long, more long", 500)
 
 
-def _chunks(met: DataFrame) -> DataFrame:
-    return met.groupBy("anchor", "chunk").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("k1", "k2", "at", "more")).alias("one"))
+def _counted(runs: DataFrame, *keys: str) -> DataFrame:
+    """``n`` runs per key and the place of one of them."""
+    return runs.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("k1", "k2", "at", "more")).alias("one"))
 
 
 def _open(chunks: DataFrame) -> DataFrame:
@@ -177,34 +174,34 @@ def _open(chunks: DataFrame) -> DataFrame:
     return chunks.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"), F.min("n").alias("least")).where("kinds > 1 and least = 1")
 
 
-def _split_hot(docs: DataFrame, met: DataFrame, chunks: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
-    """The runs and chunks with those of hot anchors divided into slices."""
+def _split_hot(docs: DataFrame, chunks: DataFrame, length: int) -> DataFrame:
+    """The chunks with those of hot anchors divided into slices."""
     total = scalars(chunks, F.count(F.lit(1)))[0]
     # at most HOT_PART anchors can have more than total / HOT_PART chunks, so their number is bounded
     hot = [r.anchor for r in _open(chunks).where(F.col("kinds") > max(HOT_KINDS, total // HOT_PART)).select("anchor").collect()]
     if not hot:
-        return met, chunks
-    slices = written(_run_rows(docs, length, hot=hot))
+        return chunks
     listed = F.broadcast(docs.sparkSession.createDataFrame([(a,) for a in hot], "anchor long"))
-    met = met.join(listed, "anchor", "left_anti").unionByName(slices)
-    chunks = chunks.join(listed, "anchor", "left_anti").unionByName(written(_chunks(slices)))
-    return met, chunks
+    return chunks.join(listed, "anchor", "left_anti").unionByName(written(_counted(_run_rows(docs, length, hot), "anchor", "chunk")))
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """``k1, k2, spans``: per distinct text the starts of repeated strings, as packed (start, more).
+def judged_runs(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """``k1, k2, alone, found``: per distinct text the runs whose chunk occurs once and, within them, the starts of
+    repeated strings, both as packed (start, more). All other starts of a text are repeats.
 
     1. Every start is given the anchor of its string; anchors are counted. A string whose anchor occurs
        once in the corpus is unique, so only runs under repeated anchors go on.
     2. Equal chunks (a run's starts and the bytes of their strings) collapse to one with its count before
-       the shuffle; a chunk that occurs twice is a repeat as a whole.
+       the shuffle; a chunk that occurs twice is a repeat as a whole. Its places need no list, as the runs
+       divide a text: they are what the chunks that occur once leave over. So a passage in very many texts
+       makes one row however often it occurs.
     3. Chunks that occur once beside others under their anchor are suffix-sorted with these: shards of
        whole anchors, sorted by external induction; neighbours that share ``length`` bytes are repeats.
     """
     spark = docs.sparkSession
-    counts = written(_run_rows(docs, length, full=False).groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
-    met = written(_run_rows(docs, length).join(counts.select("anchor"), "anchor"))
-    met, chunks = _split_hot(docs, met, written(_chunks(met)), length)
+    counts = written(_counted(_run_rows(docs, length), "anchor"))
+    met = _run_rows(docs, length).join(counts.where("n > 1").select("anchor"), "anchor")
+    chunks = _split_hot(docs, written(_counted(met, "anchor", "chunk")), length)
     open_ = _open(chunks)
     sorted_ = chunks.join(open_.select("anchor"), "anchor").select("one.*", "anchor", "chunk", (F.col("n") == 1).alias("asked"))
     pieces = sorted_.groupBy("k1", "k2").agg(F.collect_list(F.struct("at", "more", "anchor", "chunk", "asked")).alias("pieces"))
@@ -257,21 +254,33 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             yield solve(shard)
 
     single = written(map_arrow(dealt, sort, "k1 long, k2 long, span long", 2000))
-    packed = F.shiftleft("at", 12).bitwiseOR(F.col("more"))
-    copied = met.join(chunks.where("n > 1").select("anchor", "chunk"), ["anchor", "chunk"]).select("k1", "k2", packed.alias("span"))
-    return written(copied.unionByName(single).groupBy("k1", "k2").agg(F.collect_set("span").alias("spans")))
+    packed = F.shiftleft("one.at", 12).bitwiseOR(F.col("one.more"))
+    once = [t.where("n = 1").select("one.k1", "one.k2", packed.alias("span"), F.lit(True).alias("run")) for t in (counts, chunks)]
+    every = once[0].unionByName(once[1]).unionByName(single.withColumn("run", F.lit(False)))
+    span = lambda run: F.collect_set(F.when(F.col("run") == run, F.col("span")))  # noqa: E731  a text's own
+    return written(every.groupBy("k1", "k2").agg(span(True).alias("alone"), span(False).alias("found")))
 
 
-def _removed(size: int, spans: list[int] | None, length: int) -> tuple[np.ndarray, np.ndarray]:
+def _removed(size: int, alone: list[int] | None, found: list[int] | None, length: int) -> tuple[np.ndarray, np.ndarray]:
     """Begins and ends of the maximal removed runs of a text."""
-    if not spans:
+    starts = size - length + 1
+    if starts <= 0:
         return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
-    packed = np.sort(np.array(spans, dtype=np.int64))
-    begin = packed >> 12
-    end = np.maximum.accumulate(begin + (packed & 4095) + length)
+    unique = np.sort(np.array(alone or [], dtype=np.int64))
+    # what lies between the runs that occur once
+    first = np.concatenate(([0], (unique >> 12) + (unique & 4095) + 1))
+    after = np.concatenate((unique >> 12, [starts]))
+    gap = after > first
+    packed = np.array(found or [], dtype=np.int64)
+    begin = np.concatenate((first[gap], packed >> 12))
+    end = np.concatenate((after[gap] - 1, (packed >> 12) + (packed & 4095))) + length
+    if not len(begin):
+        return begin, end
+    order = np.argsort(begin)
+    begin, end = begin[order], np.maximum.accumulate(end[order])
     new = np.concatenate(([True], begin[1:] > end[:-1]))
     last = np.concatenate((new[1:], [True]))
-    return begin[new], np.minimum(end[last], size)
+    return begin[new], end[last]
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH, keep: list[str] | None = None) -> DataFrame:
@@ -283,17 +292,17 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, keep: list[str] | Non
     bytes, shorter texts none. Rows with equal ``doc_id`` are separate documents.
     """
     keep = keep or ["doc_id"]
-    spans = repeated_spans(docs, length)
+    judged = judged_runs(docs, length)
     fields = docs.select(*keep).schema
     rows = docs.select(F.struct(*keep).alias("row"), *text_key("text"), F.col("text").cast("binary").alias("text"))
-    joined = rows.join(spans, ["k1", "k2"], "left").select("row", "text", "spans")
+    joined = rows.join(judged, ["k1", "k2"], "left").select("row", "text", "alone", "found")
 
     def remove(batches):
         for batch in batches:
             sizes, removed, lists, kept = [], [], [], []
-            for text, held in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            for text, alone, found in zip(*(batch.column(c).to_pylist() for c in (1, 2, 3)), strict=True):
                 text = text or b""
-                begins, ends = _removed(len(text), held, length)
+                begins, ends = _removed(len(text), alone, found, length)
                 left, at = [], 0
                 for a, b in zip(begins.tolist(), ends.tolist(), strict=True):
                     left.append(text[at:a])

@@ -447,6 +447,22 @@ def test_repeats_equal_brute_force(tuned, monkeypatch, hot):
     assert suffixdup.repeat_digest(empty_docs(tuned)).count() == 0
 
 
+def test_places_of_a_common_passage_are_not_listed(tuned):
+    from evigraph.llm import suffixdup
+
+    passage = words(400, 78)
+    docs = tuned.createDataFrame([(i, words(60, 500 + i) + passage) for i in range(30)] + [(i, passage) for i in range(30, 34)], "doc_id long, text string")
+    rows = suffixdup.judged_runs(docs).collect()
+    # the copies of the passage alone have nothing that occurs once; the others have it only up to where the passage begins
+    assert len(rows) == 30
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    held = suffixdup.without_repeats(docs).collect()
+    assert {r.row.doc_id: r.n_removed for r in held if r.row.doc_id >= 30} == dict.fromkeys(range(30, 34), len(passage))
+    want = collections.Counter((i, *w[:2]) for i, w in zip(texts, plain_repeats(texts.values(), 200)))
+    assert collections.Counter((r.row.doc_id, r.n_bytes, r.n_removed) for r in held) == want
+    assert max(start >> 12 for r in rows for start in r.alone) < max(len(t) for t in texts.values()) - len(passage)
+
+
 # 7 sharding ------------------------------------------------------------------------------------------
 
 
