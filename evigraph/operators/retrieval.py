@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from evigraph.functions import text as tx
 from evigraph.functions.ordered import top_per_group
+from evigraph.session import cut_lineage
 
 # Fixed values that results depend on.
 MAX_RESULTS = 5
@@ -122,9 +123,9 @@ def term_weights(texts: DataFrame, id_col: str, text_col: str = "text", idf: Dat
     return raw.join(norm, "id").select("id", "term", "idf", (F.col("_x") / F.col("_l")).alias("w"))
 
 
-def inverse_frequency(tf: DataFrame) -> DataFrame:
-    """ln((texts + 1) / (texts with the term + 1)) per term of ``id, term`` rows."""
-    n = tf.agg(F.count_distinct("id")).scalar()
+def inverse_frequency(tf: DataFrame, n=None) -> DataFrame:
+    """ln((texts + 1) / (texts with the term + 1)) per term of ``id, term`` rows; ``n`` (texts) if it is known."""
+    n = tf.agg(F.count_distinct("id")).scalar() if n is None else n
     return tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")).select("term", F.log((n + 1) / (F.col("df") + 1)).alias("idf"))
 
 
@@ -140,6 +141,26 @@ def _prefix(vectors: DataFrame, cosine: float) -> DataFrame:
     return vectors.withColumn("_rest", F.sqrt(F.sum(F.col("w") * F.col("w")).over(rest))).where(F.col("_rest") >= cosine - 1e-9)
 
 
+def reachable(queries: DataFrame, words: DataFrame, chunks: DataFrame, threshold: float = SIMILARITY_THRESHOLD) -> DataFrame:
+    """``chunk_id`` of the chunks that can be near enough to a question, before their vectors are made.
+
+    ``queries``: ``id, term, idf, w``; ``words``: distinct ``id, term`` of a chunk's row. The cosine of two unit
+    vectors is at most the length of the first one over the terms they share. Shared rare terms are counted;
+    the frequent rest of a question, shorter than half of what is needed, is taken as shared. Rows with one
+    id are one chunk, whose product counts once for each of them.
+    """
+    cosine = (1.0 + threshold) / 2.0
+    rare = cut_lineage(_prefix(queries, cosine / 2).select(F.col("id").alias("query_id"), "term", (F.col("w") * F.col("w")).alias("_m")))
+    rest = rare.groupBy("query_id").agg((1.0 - F.sum("_m")).alias("_rest"))
+    shared = rare.join(words, "term").groupBy("query_id", "id").agg(F.sum("_m").alias("_m"))
+    often = chunks.groupBy(F.col("chunk_id").alias("id")).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    n = F.coalesce("_n", F.lit(1))
+    near = shared.join(rest, "query_id").join(often, "id", "left")
+    if cosine > 0:
+        near = near.where(n * n * (F.col("_m") + F.col("_rest")) >= cosine * cosine - 1e-9)
+    return near.select(F.col("id").alias("chunk_id")).distinct()
+
+
 def permitted(pairs: DataFrame, filters: DataFrame, chunks: DataFrame) -> DataFrame:
     """Pairs ``query_id, chunk_id`` that the question's own filters let through.
 
@@ -209,16 +230,21 @@ def retrieve(queries: DataFrame, chunks: DataFrame, collections: Sequence[str] |
     before the best are taken, and term weights stay those of all chunks that are searched.
     """
     wanted = restrict(chunks, collections, metadata)
-    words = wanted.select(F.col("chunk_id").alias("id"), F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"))).alias("term")).where(F.col("term") != "")
-    idf = inverse_frequency(words)
-    vectors = term_weights(wanted, "chunk_id", "text", idf).join(wanted.select(F.col("chunk_id").alias("id"), "collection"), "id")
-    asked = term_weights(queries.select("query_id", tx.expand_query(F.col("text")).alias("text")), "query_id", "text", idf)
+    # texts are taken apart once
+    terms = F.array_remove(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{N}]+")), "")
+    held = cut_lineage(wanted.select(F.col("chunk_id").alias("id"), terms.alias("terms")))
+    words = held.select("id", F.explode("terms").alias("term"))
+    idf = cut_lineage(inverse_frequency(words, held.where(F.size("terms") > 0).agg(F.count_distinct("id")).scalar()))
+    asked = cut_lineage(term_weights(queries.select("query_id", tx.expand_query(F.col("text")).alias("text")), "query_id", "text", idf))
+    # most chunks share too little with any question: vectors are made of the others only
+    near = cut_lineage(wanted.join(cut_lineage(reachable(asked, words, wanted, threshold)), "chunk_id", "left_semi"))
+    vectors = cut_lineage(term_weights(near, "chunk_id", "text", idf).join(near.select(F.col("chunk_id").alias("id"), "collection"), "id"))
     own = {"collections": "array<string>", "wanted": "map<string,string>"}
     keep = None
     if set(own) & set(queries.columns):
         filters = queries.select("query_id", *[F.col(c) if c in queries.columns else F.lit(None).cast(t).alias(c) for c, t in own.items()])
-        keep = lambda pairs: permitted(pairs, filters, wanted)
-    return format_results(search_terms(asked, vectors, n_results, threshold, keep), wanted)
+        keep = lambda pairs: permitted(pairs, filters, near)
+    return format_results(search_terms(asked, vectors, n_results, threshold, keep), near)
 
 
 def retrieve_dense(queries: DataFrame, chunks: DataFrame, collections: Sequence[str] | None = None, metadata: dict[str, str] | None = None,
