@@ -25,15 +25,22 @@ def build_graph(
     """Entities, features and edges from combined weights at or above ``min_weight``.
 
     Two features with one slug become one node: the first name in (entity, feature) order stays,
-    the last edge in that order wins.
+    the last edge in that order wins. The weights kept are written once, nodes and edges read them; a
+    slug is made once a feature, not once a pair.
     """
-    kept = (
-        weights.where(F.col("final_weight") >= min_weight)
+    kept = cut_lineage(weights.where(F.col("final_weight") >= min_weight).select(
+        "entity_id", "feature", F.col("final_weight").alias("weight"), "tfidf_weight", "pmi_confidence",
+        F.col("weight_category").alias("category"),
+    ))
+    slugs = cut_lineage(
+        kept.groupBy("feature")
+        .agg(F.min("entity_id").alias("entity_id"), F.max(F.col("entity_id").isNull()).alias("unowned"))
         .withColumn("feature_id", tx.slug_id(F.col("feature")))
     )
+    # a row without an entity comes first
+    order = F.struct(F.when(~F.col("unowned"), F.col("entity_id")).alias("entity_id"), "feature")
     features = (
-        kept.groupBy("feature_id")
-        .agg(F.min_by("feature", F.struct("entity_id", "feature")).alias("name"))
+        slugs.groupBy("feature_id").agg(F.min_by("feature", order).alias("name"))
         .select(F.col("feature_id").alias("id"), "name", tx.display_name(F.col("name")).alias("display_name"))
     )
     entities = (
@@ -41,14 +48,13 @@ def build_graph(
         .join(names.select("entity_id", F.col("entity").alias("name")), "entity_id")
         .select(F.col("entity_id").alias("id"), "name", tx.display_name(F.col("name")).alias("display_name"))
     )
-    latest = F.max_by(
-        F.struct(
-            F.col("final_weight").alias("weight"), "tfidf_weight", "pmi_confidence",
-            F.col("weight_category").alias("category"),
-        ),
-        "feature",
-    ).alias("e")
-    edges = kept.groupBy("entity_id", "feature_id").agg(latest).select("entity_id", "feature_id", "e.*")
+    named = kept.join(slugs.select(F.col("feature").alias("_feature"), "feature_id"), F.col("feature").eqNullSafe(F.col("_feature")))
+    # hardly a row is merged before the shuffle, so rows are sorted after it only
+    edges = (
+        named.repartition("entity_id", "feature_id").groupBy("entity_id", "feature_id")
+        .agg(F.max_by(F.struct(*EDGE_PROPERTIES), "feature").alias("e"))
+        .select("entity_id", "feature_id", "e.*")
+    )
     return entities, features, edges
 
 

@@ -21,9 +21,7 @@ MIN_WEIGHT = 0.2
 
 
 def graph_tables(spark: SparkSession, sf_dir: str):
-    # nodes and edges all come from the weights: write them once instead of computing them per table
-    weights = cut_lineage(wt.combined_weights(pair_bag(spark, sf_dir)).where(F.col("final_weight") >= MIN_WEIGHT))
-    return gr.build_graph(weights, customer_names(spark, sf_dir), MIN_WEIGHT)
+    return gr.build_graph(wt.combined_weights(pair_bag(spark, sf_dir)), customer_names(spark, sf_dir), MIN_WEIGHT)
 
 
 def feature_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,31 +108,28 @@ def graph_edges(spark, sf_dir):
     return rounded(edges, "weight", "tfidf_weight", "pmi_confidence")
 
 
-def early_bag(spark, sf_dir):
-    """Customer and part name of the line items of the first order years."""
-    orders = table(spark, sf_dir, "orders").where(F.col("o_orderdate") < "1997-01-01").select("o_orderkey")
-    return (
-        table(spark, sf_dir, "lineitem").join(orders, F.col("l_orderkey") == F.col("o_orderkey"), "left_semi")
-        .select("l_orderkey", "l_partkey")
-        .join(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
-        .join(table(spark, sf_dir, "part").select("p_partkey", "p_name"), F.col("l_partkey") == F.col("p_partkey"))
-        .select(F.col("o_custkey").alias("entity_id"), F.col("p_name").alias("feature"))
-    )
+def dated_counts(spark, sf_dir):
+    """Pair counts of the line items of the first order years, and of all; joined, counted and written once."""
+    counts = cut_lineage(wt.pair_counts(pair_bag(spark, sf_dir, before="1997-01-01"), "early"))
+    early = counts.where(F.col("early_tf") > 0).select(*wt.KEYS, F.col("early_tf").alias("tf"))
+    return early, counts.drop("early_tf")
 
 
 def graph_upsert(spark, sf_dir):
     """Stored graph of the first order years, updated with weights of all years."""
     names = customer_names(spark, sf_dir)
-    _, _, stored = gr.build_graph(wt.combined_weights(early_bag(spark, sf_dir)), names, MIN_WEIGHT)
-    _, _, incoming = gr.build_graph(wt.combined_weights(pair_bag(spark, sf_dir)), names, MIN_WEIGHT)
+    early, counts = dated_counts(spark, sf_dir)
+    _, _, stored = gr.build_graph(wt.combined_weights(early, counted=True), names, MIN_WEIGHT)
+    _, _, incoming = gr.build_graph(wt.combined_weights(counts, counted=True), names, MIN_WEIGHT)
     return rounded(gr.upsert_edges(stored, incoming), "weight", "tfidf_weight", "pmi_confidence")
 
 
 def graph_merge(spark, sf_dir):
     """The graph of the first order years in a store, merged with that of all years: nodes, edges and times."""
     names = customer_names(spark, sf_dir)
-    first = gr.build_graph(cut_lineage(wt.combined_weights(early_bag(spark, sf_dir))), names, MIN_WEIGHT)
-    full = gr.build_graph(cut_lineage(wt.combined_weights(pair_bag(spark, sf_dir))), names, MIN_WEIGHT)
+    early, counts = dated_counts(spark, sf_dir)
+    first = gr.build_graph(wt.combined_weights(early, counted=True), names, MIN_WEIGHT)
+    full = gr.build_graph(wt.combined_weights(counts, counted=True), names, MIN_WEIGHT)
     path = f"{checkpoint_dir(spark)}/stores/{uuid.uuid4().hex}"
     gs.create_store(*first, path, F.lit("1997-01-01").cast("timestamp"))
     gs.merge_store(spark, path, *full, F.lit("1999-01-01").cast("timestamp"))
