@@ -98,59 +98,76 @@ def _annotation(name: str, display: str) -> Column:
     )
 
 
-TOKEN_EDGES = r"(?U)(?<=\w)(?=\W)|(?<=\W)(?=\w)|(?<=[^\w\s])(?=[^\w\s])|(?<=\s)(?=\S)|(?<=\S)(?=\s)"
+# words, runs of white space and single marks: every character is in one
+PIECES = r"(?U)\w+|\s+|[^\w\s]"
+# what \s is there
+_SPACES = np.array([*range(0x9, 0xE), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])
+_LABELS = ["O", "I-DISEASE", "B-DISEASE", "I-SYMPTOM", "B-SYMPTOM"]
 
 
-def _piece_places(pieces: pa.Array, texts: pa.Array, names: pa.Array, positions: pa.Array) -> pa.Array:
-    """Start, end and last covering annotation (its index, else null) of every piece of a text.
+def _covers(own: slice, starts: np.ndarray, ends: np.ndarray, text: str, named: list, placed: list) -> np.ndarray:
+    """Twice the number of the last annotation over each piece of a text, one more where it begins there; -1 for none.
 
-    ``pieces`` are all parts of the text in order, so their running lengths are the offsets. An annotation covers
-    the pieces that its name, sought from its position on (else laid at the position), overlaps.
+    An annotation covers the pieces that its name, sought from its position on (else laid at the position), overlaps.
+    """
+    cover = np.full(own.stop - own.start, -1)
+    known = [(k, n, at) for k, (n, at) in enumerate(zip(named, placed)) if n is not None and at is not None]
+    if not known:
+        return cover
+    found = np.array([max(text.find(n, at), at) for _, n, at in known], dtype=np.int64)
+    after = found + np.array([len(n) for _, n, _ in known], dtype=np.int64)
+    first = np.searchsorted(ends[own], found, "right").tolist()
+    last = np.searchsorted(starts[own], after, "left").tolist()
+    for (k, _, _), i, j in zip(known, first, last):
+        cover[i:j] = k
+    # where an annotation begins decides between the marks of a piece
+    begin = np.zeros(known[-1][0] + 1, dtype=np.int64)
+    begin[[k for k, _, _ in known]] = found
+    return np.where(cover < 0, -1, 2 * cover + (starts[own] <= begin[cover]))
+
+
+def _token_rows(pieces: pa.Array, texts: pa.Array, names: pa.Array, positions: pa.Array, diseases: pa.Array) -> pa.Array:
+    """Token, start, end and label of the words and marks of each text.
+
+    ``pieces`` are all parts of the text in order, so their running lengths are the offsets. The first ``diseases``
+    annotations are diseases, the others symptoms.
     """
     counts = pc.fill_null(pc.list_value_length(pieces), 0).to_numpy(zero_copy_only=False)
-    lengths = pc.utf8_length(pieces.flatten()).to_numpy(zero_copy_only=False)
+    words = pieces.flatten()
+    lengths = pc.utf8_length(words).to_numpy(zero_copy_only=False)
     bounds = np.concatenate([[0], np.cumsum(counts)])
     running = np.concatenate([[0], np.cumsum(lengths)])
     base = np.repeat(running[bounds[:-1]], counts)
     starts, ends = running[:-1] - base, running[1:] - base
-    cover = np.full(len(starts), -1)
-    for row, (text, named, placed) in enumerate(zip(texts, names, positions)):
-        if counts[row] == 0 or not named.is_valid or not placed.is_valid or not len(named):
+    label, token = np.zeros(len(starts), dtype=np.int8), np.zeros(len(starts), dtype=bool)
+    for row, (text, named, placed, n) in enumerate(zip(texts, names, positions, diseases.to_pylist())):
+        if counts[row] == 0:
             continue
         own, text = slice(bounds[row], bounds[row + 1]), text.as_py()
-        known = [(k, n, at) for k, (n, at) in enumerate(zip(named.as_py(), placed.as_py())) if n is not None and at is not None]
-        if not known:
-            continue
-        found = np.array([max(text.find(n, at), at) for _, n, at in known], dtype=np.int64)
-        after = found + np.array([len(n) for _, n, _ in known], dtype=np.int64)
-        first = bounds[row] + np.searchsorted(ends[own], found, "right")
-        last = bounds[row] + np.searchsorted(starts[own], after, "left")
-        for (k, _, _), i, j in zip(known, first, last):
-            cover[i:j] = k
-        # where an annotation begins decides between the marks of a piece
-        hit = cover[own]
-        begin = np.zeros(known[-1][0] + 1, dtype=np.int64)
-        begin[[k for k, _, _ in known]] = found
-        cover[own] = np.where(hit < 0, -1, 2 * hit + (starts[own] <= begin[hit]))
+        points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")
+        token[own] = ~np.isin(points[starts[own]], _SPACES)
+        if named.is_valid and placed.is_valid and len(named):
+            cover = _covers(own, starts, ends, text, named.as_py(), placed.as_py())
+            label[own] = np.where(cover < 0, 0, 1 + (cover & 1) + 2 * ((cover >> 1) >= n))
+    kept = np.flatnonzero(token)
     flat = pa.StructArray.from_arrays(
-        [pa.array(starts, pa.int32()), pa.array(ends, pa.int32()),
-         pa.array(cover >> 1, pa.int32(), mask=cover < 0), pa.array((cover & 1).astype(bool), pa.bool_())],
-        names=["start", "end", "cover", "first"])
-    return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), flat)
+        [words.take(pa.array(kept)), pa.array(starts[kept], pa.int32()), pa.array(ends[kept], pa.int32()),
+         pa.array(_LABELS).take(pa.array(label[kept]))],
+        names=["token", "start", "end", "label"])
+    ahead = np.concatenate([[0], np.cumsum(token)])[bounds]
+    missing = pieces.is_null().to_numpy(zero_copy_only=False)
+    return pa.ListArray.from_arrays(pa.array(ahead, pa.int32(), mask=np.append(missing, False)) if missing.any() else pa.array(ahead, pa.int32()), flat)
 
 
-_PLACE = T.StructType([T.StructField(c, T.IntegerType()) for c in ("start", "end", "cover")] + [T.StructField("first", T.BooleanType())])
-_place_pieces = F.arrow_udf(_piece_places, T.ArrayType(_PLACE)).asNondeterministic()
+_TOKEN = T.StructType([T.StructField("token", T.StringType()), T.StructField("start", T.IntegerType()),
+                       T.StructField("end", T.IntegerType()), T.StructField("label", T.StringType())])
+_tokens_of = F.arrow_udf(_token_rows, T.ArrayType(_TOKEN)).asNondeterministic()
 
 
-def _placed_tokens(texts: DataFrame, names: Column, positions: Column) -> DataFrame:
-    """``texts`` with ``_tokens``: words and marks in order, with places and covering annotation."""
-    pieces = once(texts, "_pieces", F.split("text", TOKEN_EDGES))
-    placed = pieces.withColumn("_at", _place_pieces("_pieces", "text", names, positions))
-    # zipped once: a later filter or projection would otherwise repeat the whole expression
-    zipped = F.zip_with("_pieces", "_at", lambda t, p: F.struct(
-        t.alias("token"), p["start"].alias("start"), p["end"].alias("end"), p["cover"].alias("cover"), p["first"].alias("first")))
-    return once(placed, "_tokens", F.filter(zipped, lambda t: t["token"].rlike(r"(?U)\S"))).drop("_pieces", "_at")
+def _with_tokens(texts: DataFrame, names: Column, positions: Column, diseases: Column) -> DataFrame:
+    """``texts`` with ``labelled``: words and marks in order, with places and labels, made in one Arrow pass over the pieces."""
+    pieces = once(texts, "_pieces", F.regexp_extract_all("text", F.lit(PIECES), F.lit(0)))
+    return pieces.withColumn("labelled", _tokens_of("_pieces", "text", names, positions, diseases)).drop("_pieces")
 
 
 def tokens_with_offsets(texts: DataFrame) -> DataFrame:
@@ -160,8 +177,8 @@ def tokens_with_offsets(texts: DataFrame) -> DataFrame:
     Null and empty texts have no tokens.
     """
     none = F.array()
-    placed = _placed_tokens(texts.select("id", "text"), none.cast("array<string>"), none.cast("array<int>"))
-    return placed.select("id", F.posexplode("_tokens").alias("token_index", "_t")).select(
+    placed = _with_tokens(texts.select("id", "text"), none.cast("array<string>"), none.cast("array<int>"), F.lit(0))
+    return placed.select("id", F.posexplode("labelled").alias("token_index", "_t")).select(
         "id", "token_index", "_t.token", "_t.start", "_t.end")
 
 
@@ -174,12 +191,7 @@ def label_arrays(annotated: DataFrame) -> DataFrame:
     diseases = F.coalesce("diseases", F.filter("symptoms", lambda x: F.lit(False)))
     symptoms = F.coalesce("symptoms", F.filter("diseases", lambda x: F.lit(False)))
     both = annotated.select("id", "text", F.coalesce(F.size(diseases), F.lit(0)).alias("_n"), F.concat(diseases, symptoms).alias("_all"))
-    placed = _placed_tokens(both, F.col("_all.entity"), F.col("_all.position"))
-    kind = lambda t: F.when(t["cover"] < F.col("_n"), F.lit("DISEASE")).otherwise(F.lit("SYMPTOM"))
-    label = lambda t: F.when(t["cover"].isNull(), F.lit("O")).otherwise(
-        F.concat(F.when(t["first"], F.lit("B-")).otherwise(F.lit("I-")), kind(t)))
-    return placed.select("id", "text", F.transform("_tokens", lambda t: F.struct(
-        t["token"].alias("token"), t["start"].alias("start"), t["end"].alias("end"), label(t).alias("label"))).alias("labelled"))
+    return _with_tokens(both, F.col("_all.entity"), F.col("_all.position"), F.col("_n")).select("id", "text", "labelled")
 
 
 def bio_labels(annotated: DataFrame) -> DataFrame:
@@ -188,32 +200,67 @@ def bio_labels(annotated: DataFrame) -> DataFrame:
         "id", "token_index", "_t.token", "_t.start", "_t.end", "_t.label")
 
 
+def _part_extremes(values: pa.Array, order: np.ndarray, cuts: np.ndarray, least: bool) -> pa.Array:
+    """Least or greatest value of each part of the places ``order`` that begins at ``cuts``; nulls are passed over."""
+    null = values.is_null().to_numpy(zero_copy_only=False)[order]
+    whole = pa.types.is_integer(values.type)
+    plain = (values.fill_null(0) if values.null_count else values).to_numpy(zero_copy_only=False)[order]
+    edge = (np.iinfo(plain.dtype).max if least else np.iinfo(plain.dtype).min) if whole else (np.inf if least else -np.inf)
+    filled = np.where(null, np.array(edge, dtype=plain.dtype), plain)
+    out = (np.minimum if least else np.maximum).reduceat(filled, cuts)
+    return pa.array(out, values.type, mask=np.logical_and.reduceat(null, cuts))
+
+
+def _decoded(texts: pa.Array, labelled: pa.Array) -> pa.Array:
+    """Spans of each row: start, end, label, text, confidence."""
+    counts = pc.fill_null(pc.list_value_length(labelled), 0).to_numpy(zero_copy_only=False)
+    tokens = labelled.flatten()
+    coded = tokens.field("label").dictionary_encode()
+    words = [w or "" for w in coded.dictionary.to_pylist()]
+    code = coded.indices.fill_null(len(words)).to_numpy(zero_copy_only=False)
+    kinds = [w[2:] for w in words]
+    numbers = {k: i for i, k in enumerate(dict.fromkeys(kinds))}
+    opens = np.array([w.startswith("B-") for w in words] + [False])[code]
+    closes = np.array([w == "O" for w in words] + [False])[code]
+    kind = np.array([numbers[k] for k in kinds] + [-1])[code]
+    row = np.repeat(np.arange(len(counts)), counts)
+    openings = np.flatnonzero(opens)
+    # the last opening before or at each token, if it is of the same row
+    part = np.cumsum(opens) - 1
+    inside = part >= 0
+    inside[inside] = row[openings[part[inside]]] == row[inside]
+    ended = np.concatenate([[0], np.cumsum(closes)])
+    at = np.flatnonzero(inside)
+    first = openings[part[at]]
+    at = at[(ended[at + 1] == ended[first]) & (kind[at] == kind[first])]
+    if len(at):
+        cuts = np.flatnonzero(np.concatenate([[True], part[at][1:] != part[at][:-1]]))
+        start, end, confidence = (_part_extremes(tokens.field(c), at, cuts, c == "start") for c in ("start", "end", "confidence"))
+    else:
+        start, end, confidence = (tokens.field(c)[:0] for c in ("start", "end", "confidence"))
+    ahead = np.concatenate([[0], np.cumsum(np.bincount(row[openings], minlength=len(counts)))]).astype(np.int32)
+    lists = [pa.ListArray.from_arrays(pa.array(ahead), c) for c in (start, end)]
+    # a text that is null has spans without text
+    cut = zip(tx.cut_parts(texts, *lists).to_pylist(), np.diff(ahead).tolist())
+    parts = pa.array([t for own, n in cut for t in ([None] * n if own is None else own)], pa.string())
+    flat = pa.StructArray.from_arrays(
+        [start, end, pa.array([words[c][2:] for c in code[openings].tolist()], pa.string()), parts, confidence],
+        names=["start", "end", "label", "text", "confidence"])
+    return pa.ListArray.from_arrays(pa.array(ahead), flat)
+
+
 def decode_arrays(labelled: DataFrame) -> DataFrame:
     """Spans of ``id, text, labelled`` rows, read off inside the row.
 
     ``labelled`` holds ``start, end, label, confidence`` in token order. A span opens at B-, goes on over I- of its
-    own type, ends at O or the next B-. Openings cut the array in slices; each is read once.
+    own type, ends at O or the next B-. One Arrow pass reads the tokens and cuts the spans' texts.
     """
-    tokens = F.col("labelled")
-    opens = F.filter(F.transform(tokens, lambda t, i: F.when(t["label"].startswith("B-"), i)), lambda i: i.isNotNull())
-    opened = once(labelled.select("id", "text", "labelled"), "_opens", F.concat(opens, F.array(F.size(tokens))))
-    parts = F.transform(
-        F.slice("_opens", F.lit(1), F.greatest(F.size("_opens") - 1, F.lit(0))),
-        lambda at, k: F.slice("labelled", at + 1, F.get(F.col("_opens"), k + 1) - at))
-    def own(part: Column) -> Column:
-        """The tokens of an opening's type up to the first O."""
-        ended = F.array_position(F.transform(part, lambda t: t["label"]), F.lit("O"))
-        until = F.when(ended > 0, F.slice(part, F.lit(1), (ended - 1).cast("int"))).otherwise(part)
-        kind = F.substr(part[0]["label"], F.lit(3))
-        return F.filter(until, lambda t: F.substr(t["label"], F.lit(3)) == kind)
-
-    spans = F.transform(F.transform(parts, own), lambda o: F.struct(
-        F.array_min(o["start"]).alias("start"), F.array_max(o["end"]).alias("end"), F.substr(o[0]["label"], F.lit(3)).alias("label"),
-        F.array_max(o["confidence"]).alias("confidence")))
-    placed = once(opened, "_spans", spans).select("id", "text", "_spans")
-    texts = placed.withColumn("_texts", tx.cut(F.col("text"), F.col("_spans.start"), F.col("_spans.end")))
-    rows = texts.select("id", F.explode(F.arrays_zip("_spans", "_texts")).alias("_s"))
-    return rows.select("id", "_s._spans.start", "_s._spans.end", "_s._spans.label", F.col("_s._texts").alias("text"), "_s._spans.confidence")
+    types = {f.name: f.dataType.simpleString() for f in labelled.schema["labelled"].dataType.elementType.fields}
+    kind = f"array<struct<start:{types['start']},end:{types['end']},label:string,text:string,confidence:{types['confidence']}>>"
+    tokens = F.transform("labelled", lambda t: F.struct(*[t[c].alias(c) for c in ("start", "end", "label", "confidence")]))
+    spans = F.arrow_udf(_decoded, kind).asNondeterministic()("text", tokens if set(types) != {
+        "start", "end", "label", "confidence"} else F.col("labelled"))
+    return labelled.select("id", spans.alias("_spans")).select("id", F.inline("_spans"))
 
 
 def decode_bio(tokens: DataFrame, text: DataFrame) -> DataFrame:

@@ -31,3 +31,34 @@ def test_near_vectors_in_rounds_shuffle_no_block(spark, monkeypatch):
     # every block is sent in one round, and there are several rounds
     assert len(rounds) > 3 and len({k for r in rounds for k in r}) == sum(len(r) for r in rounds)
     assert own([(8, 1, 60), (8, 0, 60), (5, 0, 200), (8, 2, 60)], 120) == [[(5, 0)], [(8, 0), (8, 1)], [(8, 2)]]
+
+
+def test_tokens_are_labelled_and_decoded_in_small_batches(spark):
+    from pyspark.sql import functions as F
+
+    from evigraph.operators import corpus as cp
+    from evigraph.session import tune
+
+    ann = "array<struct<entity:string,display_name:string,position:int>>"
+    rows = [("a", "Öl ist nicht_gut, 😀😀!", [("ist", "", 3)], [("gut", "", 13), ("nicht_gut", "", 7)]),
+            ("b", "", [], []), ("c", None, [], []), ("d", "x y", None, None), ("e", "\x1cz", None, [("z", "", 1)]), ("f", "p q r", [("p q", "", 0)], None)]
+    labelled = cp.label_arrays(spark.createDataFrame(rows, f"id string, text string, diseases {ann}, symptoms {ann}"))
+    got = {r.id: r.labelled and [(t.token, t.start, t.end, t.label) for t in r.labelled] for r in labelled.collect()}
+    assert got == {
+        "a": [("Öl", 0, 2, "O"), ("ist", 3, 6, "B-DISEASE"), ("nicht_gut", 7, 16, "B-SYMPTOM"), (",", 16, 17, "O"), ("😀", 18, 19, "O"),
+              ("😀", 19, 20, "O"), ("!", 20, 21, "O")],
+        "b": [], "c": None, "d": [("x", 0, 1, "O"), ("y", 2, 3, "O")], "e": [("\x1c", 0, 1, "O"), ("z", 1, 2, "B-SYMPTOM")],
+        "f": [("p", 0, 1, "B-DISEASE"), ("q", 2, 3, "I-DISEASE"), ("r", 4, 5, "O")]}
+    # nothing is done token by token outside the Arrow pass, whose batches are small
+    plan = labelled._jdf.queryExecution().optimizedPlan().toString()
+    assert "zip_with" not in plan and "lambdafunction" not in plan.split("_tokens")[0].split("Project")[0]
+    assert tune(spark).conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == "4m"
+
+    token = "array<struct<start:int,end:int,label:string,confidence:double>>"
+    rows = [("a", "one two 😀 four", [(0, 3, "I-X", 0.1), (0, 3, "B-X", 0.2), (4, 7, "I-Y", 0.9), (8, 9, "I-X", 0.7), (None, 9, "I-X", None), (10, 14, "O", 0.5), (10, 14, "I-X", 1.0)]),
+            ("b", "p q", [(0, 1, "B-", None), (2, 3, "B-X", 0.5)]), ("c", "p", []), ("d", None, [(0, 1, "B-X", 0.3), (1, 2, None, 0.4), (1, 5, "I-X", 0.2)]), ("e", "p", None)]
+    out = cp.decode_arrays(spark.createDataFrame(rows, f"id string, text string, labelled {token}")).orderBy("id", "start")
+    assert [tuple(r) for r in out.collect()] == [
+        ("a", 0, 9, "X", "one two 😀", 0.7), ("b", 0, 1, "", "p", None), ("b", 2, 3, "X", "q", 0.5), ("d", 0, 5, "X", None, 0.3)]
+    assert cp.decode_arrays(labelled.withColumn("labelled", F.transform("labelled", lambda t: F.struct(
+        t["start"].alias("start"), t["end"].alias("end"), t["label"].alias("label"), F.lit(0.9).alias("confidence"))))).count() == 4
