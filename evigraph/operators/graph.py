@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from evigraph.functions import text as tx
 from evigraph.functions.ordered import bags, top_per_group
+from evigraph.operators.product import best_entities, entity_rows
 from evigraph.session import cut_lineage
 
 EDGE_PROPERTIES = ["weight", "tfidf_weight", "pmi_confidence", "category"]
@@ -163,33 +164,30 @@ def resolve_query_features(queries: DataFrame, features: DataFrame, normalise_li
     return by_name.select("query_id", "feature_id").unionByName(by_id.select("query_id", "feature_id")).distinct()
 
 
-def _matches(wanted, features, edges, min_weight) -> DataFrame:
-    return edges.where(F.col("weight") >= min_weight).join(wanted, "feature_id").join(
-        features.select(F.col("id").alias("feature_id"), F.col("name").alias("feature")), "feature_id"
-    )
-
-
 def rank_entities(
     queries: DataFrame, entities: DataFrame, features: DataFrame, edges: DataFrame,
     min_weight: float = 0.3, top_n: int = 10, normalise_like_store: bool = False,
 ) -> DataFrame:
     """Entities per query by summed edge weight, then matched count; a batch of queries is a table.
 
-    The sums are partial aggregates and the cut to ``top_n`` runs before names or lists are built,
-    so a feature with very many edges never meets in one task. Queries that resolve to the same features have the
-    same answer: edges meet each set of features once, its best entities are handed to its queries.
+    Edges are gathered by entity and meet sets of features in the tasks that read them (:mod:`.product`); each task
+    keeps ``top_n`` a set, so matches are never shuffled. Names are looked up for the best only. Queries that resolve
+    to the same features have the same answer, their set is scored once.
     """
     members, wanted = bags(resolve_query_features(queries, features, normalise_like_store), "query_id", "feature_id")
-    scored = _matches(wanted, features, edges, min_weight)
-    totals = scored.groupBy("bag_id", "entity_id").agg(
-        F.sum("weight").alias("total_score"),
-        F.count(F.lit(1)).alias("matched_count"),
-        # at most the query's own features
-        F.array_sort(F.collect_list("feature")).alias("matched_features"),
+    near = cut_lineage(edges.where(F.col("weight") >= min_weight).join(
+        features.select(F.col("id").alias("feature_id"), F.col("name").alias("feature")), "feature_id"
+    ).select("entity_id", "feature_id", "feature", "weight"))
+    ranked = top_per_group(
+        best_entities(wanted, entity_rows(near), top_n), ["bag_id"],
+        [F.desc(F.round("total_score", 9)), F.desc("matched_count"), F.asc("entity_id")], top_n)
+    # at most the query's own features
+    best = (
+        ranked.join(wanted, "bag_id").join(near.drop("weight"), ["entity_id", "feature_id"])
+        .groupBy("bag_id", "entity_id", "rank", "total_score", "matched_count")
+        .agg(F.array_sort(F.collect_list("feature")).alias("matched_features"))
+        .join(members, "bag_id")
     )
-    best = top_per_group(
-        totals, ["bag_id"], [F.desc(F.round("total_score", 9)), F.desc("matched_count"), F.asc("entity_id")], top_n
-    ).join(members, "bag_id")
     return best.join(
         entities.select(F.col("id").alias("entity_id"), F.col("display_name").alias("entity_name")), "entity_id"
     ).select("query_id", "rank", "entity_id", "entity_name", "total_score", "matched_count", "matched_features")

@@ -62,3 +62,41 @@ def test_tokens_are_labelled_and_decoded_in_small_batches(spark):
         ("a", 0, 9, "X", "one two 😀", 0.7), ("b", 0, 1, "", "p", None), ("b", 2, 3, "X", "q", 0.5), ("d", 0, 5, "X", None, 0.3)]
     assert cp.decode_arrays(labelled.withColumn("labelled", F.transform("labelled", lambda t: F.struct(
         t["start"].alias("start"), t["end"].alias("end"), t["label"].alias("label"), F.lit(0.9).alias("confidence"))))).count() == 4
+
+
+def test_bags_meet_entities_in_rounds_without_a_shuffle_of_matches(spark, monkeypatch):
+    import math
+    import random
+
+    from evigraph.operators import product as pt
+
+    for name, value in (("ROUND_ITEMS", 20), ("EDGES", 30), ("MATCHES", 25)):
+        monkeypatch.setattr(pt, name, value)
+    rng = random.Random(3)
+    names = [f"f{i}" for i in range(9)]
+    edges = [(e, f, rng.choice([0.3, 0.45, 0.5000000004, 0.5000000006, 0.9])) for e in [None, *range(60)] for f in rng.sample(names, rng.randrange(1, 4))]
+    bags = {b: rng.sample([*names, "unknown"], rng.randrange(1, 4)) for b in range(30)} | {99: ["unknown"]}
+    items = spark.createDataFrame([(b, f) for b, fs in bags.items() for f in fs] + [(98, None)], "bag_id long, feature_id string")
+    entities = pt.entity_rows(spark.createDataFrame(edges + edges[:1], "entity_id long, feature_id string, weight double"))
+    scores = collections.defaultdict(lambda: collections.defaultdict(list))
+    for e, f, w in edges + edges[:1]:
+        for b, fs in bags.items():
+            if f in fs:
+                scores[b][e].append(w)
+    order = lambda e: -1 if e is None else e
+    want = {b: sorted(own, key=lambda e: (-round(sum(own[e]), 9), -len(own[e]), order(e)))[:4] for b, own in scores.items()}
+    got = collections.defaultdict(list)
+    rows = pt.best_entities(items, entities, 4).collect()
+    for r in rows:
+        got[r.bag_id].append((-round(r.total_score, 9), -r.matched_count, order(r.entity_id), r.entity_id))
+    assert {b: [x[-1] for x in sorted(own, key=lambda x: x[:3])[:4]] for b, own in got.items()} == want
+    # far fewer rows than matches, and some, as each task keeps its best
+    assert len(rows) < sum(len(own) for own in scores.values())
+
+    parts = {r.bag_id: r for r in pt.softmax_parts(items, entities, 2.0).collect()}
+    assert set(parts) == set(scores)
+    for b, own in scores.items():
+        s = [sum(w) / 2 for w in own.values()]
+        assert parts[b].k == len(s) and math.isclose(parts[b].m, max(s)) and math.isclose(parts[b].z, sum(math.exp(x - max(s)) for x in s))
+    assert pt.best_entities(items.where("bag_id = 99"), entities, 4).count() == pt.best_entities(items.limit(0), entities, 4).count() == 0
+    assert pt.rounded_keys(np.array([0.1234567885, 0.1234567895, 2.5e-10, -1.0]), 9).tolist() == [123456789, 123456790, 0, -1e9]
